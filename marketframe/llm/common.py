@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 #: Words that one Python worker remembers before it starts afresh; bounds its memory, changes no result.
 WORDS_KEPT = 1 << 20
+_BITS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,18 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose value in ``column`` may be among those of ``ids`` (one column of the same type).
+
+    What is broadcast is a bitmap of ``_BITS`` hashed values: 65,536 rows of 16 bytes at most, whatever ``ids`` holds.  A few other
+    rows come through, and more the fuller it is; what follows must be right without it.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
+    bits = ids.select(spot(ids.columns[0]).alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot % 64 as int)))").alias("_bits"))
+    met = df.withColumn("_spot", spot(column)).join(F.broadcast(bits), F.shiftright("_spot", 6) == F.col("_slot"))
+    return met.where("shiftright(_bits, cast(_spot % 64 as int)) & 1 = 1").drop("_spot", "_slot", "_bits")
+
+
 class WordHashes:
     """64-bit xxHash of words, remembered for the words a worker has met."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import bitplanes, minhash, packing, quality
+from marketframe.llm import bitplanes, bpe, minhash, multiindex, packing, pii, quality
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bitplanes.write_ids(_table(spark, sf_dir, "documents"), WORD_BPE, 2)
     return bitplanes.read_documents(spark, path)
@@ -25,6 +29,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op7_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -35,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bitplanes, op5_minhash, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op3_pii, op4_bitplanes, op5_minhash, op6_bpe, op7_multiindex, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,11 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import grams, id_text, in_batches, is_empty, rows_of, word_hashes, words_of, written
+from marketframe.llm.common import grams, id_text, in_batches, is_empty, maybe_among, rows_of, word_hashes, words_of, written
 from marketframe.llm.components import components
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-_BITS = 1 << 22
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -43,16 +42,6 @@ def sketches(docs: DataFrame, words: int, size: int, *, id_col: str = "doc_id",
     return id_text(docs, id_col, text_col).mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, n_shingles long, key binary, sketch array<long>")
 
 
-def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id may be among ``ids``: a bitmap of 2**22 hashed ids, 65,536 rows at most, is broadcast.
-
-    It lets through a few others, and the more the fuller it gets; what follows must not depend on it.
-    """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
-    bits = ids.select(spot(ids.columns[0]).alias("spot")).groupBy(F.shiftright("spot", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
-    return df.withColumn("spot", spot(column)).join(F.broadcast(bits), F.shiftright("spot", 6) == F.col("slot")).where("shiftright(bits, cast(spot % 64 as int)) & 1 = 1").drop("spot", "slot", "bits")
-
-
 def _ceil_share(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100)).cast("long")
 
@@ -94,7 +83,7 @@ class _Search:
         """Pairs whose union sketch, the smallest values of both, has as many shared values as a linked pair surely has."""
         need = surely(self.size, self.percent, 1e-6)
         ids = written(pairs.distinct(), "pairs")
-        side = lambda c: _only(self.reps, "rep", ids.select(c)).select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+        side = lambda c: maybe_among(self.reps, "rep", ids.select(c)).select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
         both = ids.join(side("a"), "a").join(side("b"), "b")
         both = both.select("a", "b", F.array_intersect("sa", "sb").alias("shared"), F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.size).alias("u"))
         hits = F.size(F.filter("shared", lambda x: x <= F.element_at("u", -1)))
@@ -110,7 +99,7 @@ class _Search:
                 s = np.unique(shingles(text, words) >> np.uint64(15))
                 yield doc, s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-        return _only(self.docs, "id", ids).mapInArrow(lambda b: in_batches(make(b), kinds, 256), "id long, set binary")
+        return maybe_among(self.docs, "id", ids).mapInArrow(lambda b: in_batches(make(b), kinds, 256), "id long, set binary")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -123,7 +112,7 @@ class _Search:
                 if shared * 100 >= percent * (len(p) + len(q) - shared):
                     yield a, b
 
-        side = lambda c, name: _only(sets, "id", pairs.select(c)).select(F.col("id").alias(c), F.col("set").alias(name)).dropDuplicates([c])
+        side = lambda c, name: maybe_among(sets, "id", pairs.select(c)).select(F.col("id").alias(c), F.col("set").alias(name)).dropDuplicates([c])
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         return written(both.mapInArrow(lambda b: in_batches(test(b), kinds), "a long, b long"), "links")
 
@@ -153,7 +142,7 @@ class _Search:
                 s = unpacked(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], schema=kinds)
 
-        own = _only(sets, "id", members.select("rep")).join(members, F.col("id") == members.rep, "left_semi").dropDuplicates(["id"])
+        own = maybe_among(sets, "id", members.select("rep")).join(members, F.col("id") == members.rep, "left_semi").dropDuplicates(["id"])
         each = own.mapInArrow(spread, "rep long, n long, value long")
         often = each.groupBy("value").agg(F.count("*").alias("f"))
         ranked = each.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v"))
