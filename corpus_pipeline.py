@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketframe.llm import minhash, packing, quality
+from marketframe.llm import minhash, packing, pii, quality
 from marketframe.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,6 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.one_of_each(docs.select(COLUMNS), words=5, percent=80)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and the terms that reveal it taken out of their texts; n_chars follows."""
+    return pii.sanitise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their sequence and place."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 0, 2048), 2048)
@@ -31,6 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("packing", packed),
 ]
 #: Sketches, hashed n-grams and tokenizers are beyond SQL; tests/llm compares the stages with brute force.
