@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm import bitplanes, bpe, minhash, multiindex, packing, pii, quality
+from marketframe.llm import bitplanes, bpe, lm, minhash, multiindex, packing, pii, quality, urls, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(pii.find(_table(spark, sf_dir, "documents")))
 
@@ -42,13 +50,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve_revisits(warc.captures_of(_table(spark, sf_dir, "pages"))))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), WORD_BPE, 0, 2048), 2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_bitplanes, op5_minhash, op6_bpe, op7_multiindex, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_urls, op2_lm, op3_pii, op4_bitplanes, op5_minhash, op6_bpe, op7_multiindex, op8_quality, op9_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.SQL}
