@@ -68,11 +68,11 @@ def refresh(spark: SparkSession, root: str, name: str, landed: DataFrame, today:
                 return Summary(spec.name, "up_to_date", start, end)
             if spec.name == "Stock_Basic_Data":
                 start -= timedelta(1)
-    rows = ranked(landed, spec.name, source)
+    if spec.time_col and spec.name != "Dividend_History":
+        landed = landed.where(F.col(spec.time_col).between(F.lit(start), F.lit(end)))
+    rows = ranked(landed, spec.name, source)  # which source has data is asked for the window
     if spec.name == "Stock_Basic_Data":
         rows = basic_data(rows)
-    if spec.time_col and spec.name != "Dividend_History":
-        rows = rows.where(F.col(spec.time_col).between(F.lit(start), F.lit(end)))
     if rows.isEmpty():
         return Summary(spec.name, "skipped", start, end)
     n = table.upsert(rows)
