@@ -134,19 +134,21 @@ class Table:
 
         Returns the incoming rows; under 'ignore' those that were new.
         """
-        new = validated(without_nan(df), self.spec)
-        if new.isEmpty():
-            return 0
-        _, parts = self._pointer()
-        if self.by_year:
-            years = [r[0] for r in new.select(F.coalesce(F.year(self.spec.time_col), F.lit(0))).distinct().collect()]
-            keep = {y: f for y, f in parts.items() if y not in years}
-        else:
+        new = without_nan(df).persist()  # looked at several times: rules, keys, years, rows
+        try:
+            n = validated(new, self.spec).count()
+            if not n:
+                return 0
+            _, parts = self._pointer()
             years, keep = None, {}
-        old = self._all(years)
-        before = old.count() if conflict == "ignore" else 0
-        n = new.count()
-        self._publish(upserted(old, new, self.spec.key, conflict, dedup), keep)
+            if self.by_year:
+                years = [r[0] for r in new.select(F.coalesce(F.year(self.spec.time_col), F.lit(0))).distinct().collect()]
+                keep = {y: f for y, f in parts.items() if y not in years}
+            old = self._all(years)
+            before = old.count() if conflict == "ignore" else 0
+            self._publish(upserted(old, new, self.spec.key, conflict, dedup), keep)
+        finally:
+            new.unpersist()
         return self._all(years).count() - before if conflict == "ignore" else n
 
     def keys(self) -> DataFrame:
