@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-#: Words that one Python worker remembers before it starts afresh; bounds its memory, changes no result.
+#: Words that one Python worker remembers before it starts afresh; bounds its memory, changes no result.  Hashes are cheap to make again.
 WORDS_KEPT = 1 << 20
+HASHES_KEPT = 1 << 17
 _BITS = 1 << 22
 
 
@@ -61,7 +62,7 @@ class WordHashes:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > HASHES_KEPT:
             self.known.clear()
         known, digest = self.known, xxhash.xxh64_intdigest
         found = list(map(known.get, words))
