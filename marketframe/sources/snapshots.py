@@ -50,11 +50,11 @@ class Table:
     def _pointer(self) -> tuple[int, dict[int | None, str]]:
         """(number of the newest pointer, snapshot folder by year; the key None holds an unpartitioned table)."""
         found = _read(self.spark, f"{self.path}/_pointer", _POINTER)
-        rows = [] if found is None else found.collect()  # a row for each snapshot that is part of a version
-        if not rows:
+        seq = None if found is None else found.agg(F.max("seq")).first()[0]
+        if seq is None:
             return 0, {}
-        seq = max(r.seq for r in rows)
-        return seq, {y: r.snapshot for r in rows if r.seq == seq for y in (r.years if self.by_year else [None])}
+        rows = found.where(F.col("seq") == seq).collect()  # a row for each snapshot folder of the newest version
+        return seq, {y: r.snapshot for r in rows for y in (r.years if self.by_year else [None])}
 
     def exists(self) -> bool:
         return self._pointer()[0] > 0
