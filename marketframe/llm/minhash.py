@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import grams, id_text, in_batches, is_empty, maybe_among, rows_of, word_hashes, words_of, written
 from marketframe.llm.components import components
 
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -31,15 +31,16 @@ def surely(draws: int, percent: int, miss: float) -> int:
     return max(1, c)
 
 
-def sketches(docs: DataFrame, words: int, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (128-bit hash of the set; null if empty), sketch (the ``size`` smallest hashes, ascending)."""
+def sketches(docs: DataFrame, words: int, size: int, keys: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, key (128-bit hash of the set; null if empty), lows (the ``keys`` smallest hashes), sketch (the first 31 bits of
+    the ``size`` smallest hashes, enough for an estimate), both ascending."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for doc, text in rows_of(batches, "id", "text"):
             s = shingles(text, words)
-            yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:size].view(np.int64)
+            yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:keys].view(np.int64), (s[:size] >> np.uint64(32)).astype(np.int32)
 
-    return id_text(docs, id_col, text_col).mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, n_shingles long, key binary, sketch array<long>")
+    return id_text(docs, id_col, text_col).mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, n_shingles long, key binary, lows array<long>, sketch array<int>")
 
 
 def _ceil_share(n: Column, percent: int) -> Column:
@@ -51,7 +52,7 @@ def _in_order(a: Column, b: Column) -> list[Column]:
 
 
 class _Search:
-    """The steps of near_duplicates over documents with distinct shingle sets (``reps``: rep, n, sketch)."""
+    """The steps of near_duplicates over documents with distinct shingle sets (``reps``: rep, n, lows, sketch)."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, size: int, keys: int, small: int) -> None:
         self.docs, self.reps, self.words, self.percent, self.size, self.keys, self.small = docs, reps, words, percent, size, keys, small
@@ -66,7 +67,7 @@ class _Search:
         others (the corpus's most frequent ones) need no list.  central: how frequent a document's values are together.
         """
         least = surely(self.keys, self.percent, 1e-5)
-        held = self.reps.select("rep", "n", F.explode(F.slice("sketch", 1, self.keys)).alias("value"))
+        held = self.reps.select("rep", "n", F.explode("lows").alias("value"))
         often = held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
         ranked = held.join(often, "value", "left").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "value"))).alias("v"))
         room = F.size("v") - F.least(F.lit(least), _ceil_share(F.col("n"), self.percent)) + 1
@@ -154,20 +155,17 @@ class _Search:
         """Component of every document that has a link: node, component."""
         lists = written(self.postings(), "postings")
         long_ = lists.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > self.small).select("value")
-        # Short lists: all their pairs.  Any list: a star.  The estimate thins out both before texts are read.
-        short = lists.join(long_, "value", "left_anti")
-        x, y = short.alias("x"), short.alias("y")
-        inside = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & self.close_sizes(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        star = self.likely(self.stars(lists)).withColumn("star", F.lit(True))
-        pairs = written(star.unionByName(self.likely(inside).withColumn("star", F.lit(False))), "likely")
         hot = written(lists.join(long_, "value", "left_semi"), "long-lists")
-        sets = written(self.sets(pairs.select("a").union(pairs.select("b")).union(hot.select("rep"))), "sets")
-        links = self.verified(pairs.where("star").select("a", "b"), sets)
+        # Any list: a star.  The estimate thins it out before texts are read.
+        star = written(self.likely(self.stars(lists)), "likely")
+        sets = written(self.sets(star.select("a").union(star.select("b")).union(hot.select("rep"))), "sets")
+        links = self.verified(star, sets)
         groups = components(links)
         # What the stars left open: pairs of short lists in different components; and long lists, by exact prefixes.
-        left = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        rest = pairs.where("not star").join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        short = self.grouped(lists.join(long_, "value", "left_anti"), groups)
+        x, y = short.alias("x"), short.alias("y")
+        inside = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.close_sizes(F.col("x.n"), F.col("y.n")))
+        rest = self.likely(inside.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
         open_ = self.grouped(hot, groups)
         mixed = open_.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
         members = written(open_.join(mixed, "value", "left_semi").select("rep").distinct(), "members")
@@ -175,7 +173,8 @@ class _Search:
         if not is_empty(members):
             exact = written(self.full_prefixes(members, sets), "prefixes")
             rest = rest.union(self.likely(self.stars(exact)))
-        links = links.union(self.verified(written(rest.distinct(), "pairs"), sets))
+        rest = written(rest.distinct(), "likely")
+        links = links.union(self.verified(rest, written(self.sets(rest.select("a").union(rest.select("b"))), "sets")))
         groups = components(links)
         if exact is not None:
             share = F.ceil((F.col("x.n") + F.col("y.n")) * self.percent / F.lit(100 + self.percent))
@@ -208,9 +207,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, size:
     group.  Rows repeated with one id get equal results.  Null ids: never a group's name; component_id is the group's, or null if it
     has none.  An empty table gives no rows.  Columns other than the two named are not read.
     """
-    found = written(sketches(docs, words, size, id_col=id_col, text_col=text_col), "sketches")
-    reps = written(found.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "representatives")
-    groups = _Search(id_text(docs, id_col, text_col), reps.select("rep", "n", "sketch"), words, percent, size, keys, small).run()
+    found = written(sketches(docs, words, size, keys, id_col=id_col, text_col=text_col), "sketches")
+    reps = written(found.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lows").alias("lows"), F.first("sketch").alias("sketch")), "representatives")
+    groups = _Search(id_text(docs, id_col, text_col), reps.select("rep", "n", "lows", "sketch"), words, percent, size, keys, small).run()
     named = reps.join(groups, reps.rep == groups.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = found.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
