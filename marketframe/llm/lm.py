@@ -12,7 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import HASHES_KEPT, id_text, in_batches, rows_of, words_of
+from marketframe.llm.common import HASHES_KEPT, id_text, in_batches, rows_of, word_hashes, words_of, written
+
+#: Counts of the most frequent words in buckets that each task holds, to spare most of the join; changes no result.
+COUNTS_HELD = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,9 @@ class Tokens:
         self.known = dict(self.first)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(text, lower=True)
+        return self.of(words_of(text, lower=True))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > HASHES_KEPT:
             self.known = dict(self.first)
         known = self.known
@@ -140,15 +145,16 @@ def _chunks(found: Iterator[tuple], least: int) -> Iterator[list[tuple]]:
         yield part
 
 
-def vocabulary(rows: DataFrame, shape: Shape) -> list[str]:
-    """The most frequent words over all texts; counts are summed on the executors, ``own`` words reach the driver."""
-    kinds = pa.schema([("word", pa.string()), ("n", pa.int64())])
+def counts(rows: DataFrame) -> DataFrame:
+    """Every word of all texts with its 64-bit hash and its count: word, hash, n.  A table in the shared folder that grows with the input."""
+    kinds = pa.schema([("word", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
         def spill() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen]), pa.array(list(seen.values()), pa.int64())], schema=kinds)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64).view(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(hashes), pa.array(list(seen.values()), pa.int64())], schema=kinds)
             seen.clear()
             return out
 
@@ -158,8 +164,24 @@ def vocabulary(rows: DataFrame, shape: Shape) -> list[str]:
                 yield spill()
         yield spill()
 
-    sums = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in sums.orderBy(F.desc("n"), "word").limit(shape.own).collect()]
+    return written(rows.select("text").mapInArrow(count, "word string, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def vocabulary(words: DataFrame, shape: Shape) -> list[str]:
+    """The most frequent words; ``own`` of them reach the driver."""
+    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(shape.own).collect()]
+
+
+def _in_buckets(words: DataFrame, own: list[str], shape: Shape) -> tuple[DataFrame, np.ndarray]:
+    """Counts of the words that share a bucket (hash, n), and the log of each token's total count (0 for a word with a token of its own)."""
+    mine = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own], np.uint64).view(np.int64).tolist()
+    rare = words.where(~F.col("hash").isin(mine)).groupBy("hash").agg(F.sum("n").alias("n")) if own else words.select("hash", "n")
+    buckets = shape.tokens - len(own)
+    logs = np.zeros(shape.tokens)
+    spot = F.pmod(F.pmod("hash", F.lit(buckets)) + F.when(F.col("hash") < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets))
+    for r in rare.groupBy(spot.alias("spot")).agg(F.sum("n").alias("n")).collect():
+        logs[len(own) + r.spot] = np.log(r.n)
+    return rare, logs
 
 
 def train(rows: DataFrame, own: list[str], shape: Shape, *, rounds: int = 1, batch: int = 2048, rate: float = 1.5) -> dict[str, np.ndarray]:
@@ -197,30 +219,62 @@ def train(rows: DataFrame, own: list[str], shape: Shape, *, rounds: int = 1, bat
 
 
 def score(docs: DataFrame, *, shape: Shape | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens of log p(token | both sides)), score (its mean) for every document.
+    """doc_id, n_tokens, log_likelihood (sum over all words of log p(word | tokens on both sides)), score (its mean) for every document.
+
+    The network is trained on all texts of ``docs`` first.  It gives p(token | both sides); a word that shares its bucket with others
+    has p(word | bucket) besides, its part of the bucket's count over all texts, so the probabilities of all words of the corpus sum to
+    1.  Those counts are a table as large as the corpus's vocabulary, met in a join on the word's 64-bit hash.
 
-    The network is trained on all texts of ``docs`` first.  Null, empty and all-space texts have no tokens: log_likelihood 0, score
-    null.  Repeated ids are scored row by row; equal texts get equal scores.  An empty table gives no rows.  Columns other than the two
-    named are not read.
+    Null, empty and all-space texts have no tokens: log_likelihood 0, score null.  Repeated ids are scored row by row; equal texts get
+    equal scores.  An empty table gives no rows.  Columns other than the two named are not read.
     """
     shape = shape or Shape()
     rows = id_text(docs, id_col, text_col)
-    own = vocabulary(rows, shape)
+    words = counts(rows)
+    own = vocabulary(words, shape)
+    rare, logs = _in_buckets(words, own, shape)
+    top = sorted((r.hash, r.n) for r in rare.orderBy(F.desc("n"), "hash").limit(COUNTS_HELD).collect())
+    held, held_logs = np.array([h for h, _ in top], np.int64), np.log(np.array([n for _, n in top], np.float64))
     p = train(rows, own, shape, rounds=rounds)
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("score", pa.float64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.float64()), ("hashes", pa.list_(pa.int64()))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tokens = Tokens(own, shape)
-        for part in _chunks(((doc, tokens(text)) for doc, text in rows_of(batches, "id", "text")), 1 << 15):
+
+        def read(text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
+            """Tokens; the sum of log p(word | bucket) but for the counts not held here; the hashes of the words those belong to."""
+            found = words_of(text, lower=True)
+            ids = tokens.of(found)
+            shared = np.flatnonzero(ids >= tokens.base)
+            if not len(shared):
+                return ids, 0.0, np.zeros(0, np.int64)
+            hashes = word_hashes([found[k] for k in shared]).view(np.int64)
+            at = np.searchsorted(held, hashes)
+            hit = held[np.minimum(at, len(held) - 1)] == hashes
+            return ids, float(held_logs[at[hit]].sum() - logs[ids[shared]].sum()), hashes[~hit]
+
+        def texts() -> Iterator[tuple]:
+            for doc, text in rows_of(batches, "id", "text"):
+                ids, inside, hashes = read(text)
+                yield (doc, inside, hashes), ids
+
+        for part in _chunks(texts(), 1 << 15):
             full = [ids for _, ids in part if len(ids)]
             each = np.zeros(0)
             if full:
                 around, ids = contexts(full, shape), np.concatenate(full)
                 each = np.concatenate([log_likelihoods(p, around[:, k : k + 4096], ids[k : k + 4096], shape) for k in range(0, len(ids), 4096)]).astype(np.float64)
             at = 0
-            for doc, ids in part:
+            for (doc, inside, hashes), ids in part:
                 total = float(each[at : at + len(ids)].sum())
                 at += len(ids)
-                yield doc, len(ids), total, total / len(ids) if len(ids) else None
-
-    return rows.mapInArrow(lambda b: in_batches(judge(b), kinds), "doc_id long, n_tokens long, log_likelihood double, score double")
+                yield doc, len(ids), total + inside, hashes
+
+    judged = rows.mapInArrow(lambda b: in_batches(judge(b), kinds), "doc_id long, n_tokens long, known double, hashes array<long>")
+    judged = written(judged.withColumn("place", F.monotonically_increasing_id()), "lm-judged")
+    # In fixed order: a sum of doubles must not depend on how rows arrive.
+    met = judged.select("place", F.explode("hashes").alias("hash")).groupBy("place", "hash").agg(F.count("*").alias("times")).join(rare, "hash")
+    rest = met.groupBy(F.col("place").alias("at")).agg(F.aggregate(F.array_sort(F.collect_list(F.col("times") * F.log("n"))), F.lit(0.0), lambda a, x: a + x).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    out = judged.join(rest, F.col("place") == F.col("at"), "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

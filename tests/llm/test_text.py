@@ -162,3 +162,23 @@ def test_scores_of_documents(spark):
     assert all((out[i].n_tokens, out[i].log_likelihood, out[i].score) == (0, 0.0, None) for i in (72, 73, 74))
     assert out[75].score == out[76].score and out[0].n_tokens == 120
     assert lm.score(frame(spark, [])).count() == 0
+
+
+def test_words_in_one_bucket_have_their_own_probability(spark, monkeypatch):
+    """Texts that differ only in words of one bucket differ by the words' counts, whether a task holds the counts or they are joined."""
+    shape = lm.Shape(classes=3, members=3, own=8)  # eight words with a token, one bucket
+    counts = {"rare": 1, "seldom": 5, "often": 9, "é": 3}
+    texts = [f"a b c {w} d e f g h" for w, n in counts.items() for _ in range(n)] + ["rare rare é a", None, "a b"]
+    total = sum(counts.values()) + 3
+    found = []
+    for held in (1 << 16, 2, 1):
+        monkeypatch.setattr(lm, "COUNTS_HELD", held)
+        found.append({r.doc_id: r for r in lm.score(frame(spark, texts), shape=shape).collect()})
+    for out in found:
+        assert len(out) == len(texts) and (out[19].n_tokens, out[19].log_likelihood, out[19].score) == (0, 0.0, None)
+        assert abs(out[1].log_likelihood - out[0].log_likelihood - np.log(5 / 3)) < 1e-4  # rare: 1 + 2
+        assert abs(out[6].log_likelihood - out[15].log_likelihood - np.log(9 / 4)) < 1e-4  # e acute: 3 + 1
+        assert all(abs(out[i].log_likelihood - found[0][i].log_likelihood) < 1e-9 for i in out)
+    words = lm.counts(frame(spark, texts).select("text"))
+    rare, logs = lm._in_buckets(words, lm.vocabulary(words, shape), shape)
+    assert abs(logs[8] - np.log(total)) < 1e-9 and sorted(r.n for r in rare.collect()) == [3, 4, 5, 9]
