@@ -18,6 +18,8 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}{3,}+"
+#: Matches whose places are summed in one go; a text of many matches takes time in proportion to it.
+_RUN = 512
 _SPAN = "struct<start: int, kind: int, end: int, value: string>"
 
 
@@ -33,7 +35,15 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(F.coalesce(done["spans"], F.array().cast(f"array<{_SPAN}>")), F.array(span)).alias("spans"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, add)["spans"]).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    few = F.aggregate(pairs, empty, add)["spans"]
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _RUN).cast("int")), lambda k: F.slice(pairs, k * _RUN + 1, F.lit(_RUN)))
+
+    def add_run(done: Column, run: Column) -> Column:
+        part = F.aggregate(run, F.struct(done["at"].alias("at"), F.lit(None).cast(f"array<{_SPAN}>").alias("spans")), add)
+        return F.struct(part["at"].alias("at"), F.concat(done["runs"], F.array(part["spans"])).alias("runs"))
+
+    many = F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("runs")), add_run)["runs"])
+    return F.when(F.size(hits) > _RUN, many).when(F.size(hits) > 0, few).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -56,32 +66,24 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(valid(kind, _found(text, p, k)) for k, (kind, p) in enumerate(PATTERNS.items()))))
 
 
-def _terms(text: Column, spans: Column, reach: int) -> Column:
-    """Words of three letters or more within ``reach`` code points of each span and outside all spans: (kind, value, term, start, end)."""
-
-    def side(s: Column, a: Column, b: Column, cut_a: Column, cut_b: Column) -> Column:
-        """Words between two places, without one that is cut at the outer end."""
-        words = F.transform(
-            _found(F.substring(text, a + 1, b - a), _WORD, len(PATTERNS)),
-            lambda w: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.lower(w["value"]).alias("term"), (w["start"] + a).alias("start"), (w["end"] + a).alias("end")),
-        )
-        return F.filter(words, lambda w: ~((cut_a & (w["start"] == a)) | (cut_b & (w["end"] == b))))
+def _folded(text: Column) -> Column:
+    """Lower case; every letter stays one code point."""
+    return F.lower(F.translate(text, "\u0130", "i"))
 
-    def near(s: Column) -> Column:
-        first, last = F.greatest(s["start"] - reach, F.lit(0)), F.least(s["end"] + reach, F.length(text))
-        return F.concat(side(s, first, s["start"], first > 0, F.lit(False)), side(s, s["end"], last, F.lit(False), last < F.length(text)))
 
-    return F.filter(F.flatten(F.transform(spans, near)), lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+def _terms(text: Column) -> Column:
+    """The distinct words of three letters or more, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(_folded(text), F.lit(_WORD), F.lit(0)))
 
 
-def find(docs: DataFrame, *, reach: int = 64, disclosure: float = 0.9, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of every text: doc_id, text_hash, spans (array of start, kind number, end), base (those of the patterns), removed.
 
-    Base: the patterns, each validated.  Every distinct value found is a protected entity.  For each entity e and each word t met near
-    it, corpus counts say how much t reveals: ``PMI(e; t) / IC(e) = log(n_et * N / (n_e * n_t)) / log(N / n_e)``, n counting
-    documents (n_et those with t near e, n_t those with t anywhere).  A term that reaches ``disclosure``, in ``support`` different
-    texts at least, becomes a span of kind ``term`` wherever it stands near e; removed holds those that reveal e in full (1 or
-    more), which are to be taken out, while the others are to be generalised.
+    Base: the patterns, each validated.  Every distinct value found is a protected entity.  For each entity e and each word t in a
+    text that holds it, however far from it, corpus counts say how much t reveals: ``PMI(e; t) / IC(e) = log(n_et * N / (n_e * n_t)) /
+    log(N / n_e)``, n counting rows (n_et those that hold both).  A term that reaches ``disclosure``, together with e in ``support``
+    different texts at least, becomes a span of kind ``term`` at every place, outside the base spans, of every text that holds both;
+    removed holds those that reveal e in full (1 or more), which are to be taken out, while the others are to be generalised.
 
     Null texts are empty and have no spans.  Repeated ids are separate rows; the same id with the same text gives equal rows.  An
     empty table gives no rows.  Columns other than the two named are not read.
@@ -89,29 +91,36 @@ def find(docs: DataFrame, *, reach: int = 64, disclosure: float = 0.9, support:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     maybe = F.col("text").rlike("[0-9@]")  # every pattern needs one
     spans = F.when(maybe, base_spans(F.col("text"))).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    looked = rows.withColumn("base", spans).withColumn("near", F.when(F.size("base") > 0, _terms(F.col("text"), F.col("base"), reach)))
-    seen = written(looked.select("doc_id", "text_hash", "base", "near"), "pii-base")
+    looked = rows.withColumn("base", spans).withColumn("text", F.when(F.size("base") > 0, F.col("text"))).withColumn("place", F.monotonically_increasing_id())
+    seen = written(looked.select("place", "doc_id", "text_hash", "base", "text"), "pii-base")
+    total = seen.count()
 
     entity = ["kind", "value"]
-    near = seen.select("doc_id", "text_hash", F.explode("near").alias("w")).select("doc_id", "text_hash", "w.*")
-    met = near.groupBy(*entity, "term", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
+    held = seen.where(F.size("base") > 0).select("place", "text_hash", "text", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
+    own = held.groupBy("e.kind", "e.value").agg(F.count("*").alias("n_e"), F.countDistinct("text_hash").alias("texts"))
+    own = written(own.where((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts"), "pii-entities")
+    # An entity in fewer texts has no pair in as many.  Pairs are summed before they meet the entities: a frequent one is no hot key.
+    frequent = maybe_among(held.withColumn("key", F.xxhash64("e.kind", "e.value")), "key", own.select(F.xxhash64(*entity).alias("key")))
+    met = frequent.select("place", "text_hash", "e.kind", "e.value", F.explode(_terms(F.col("text"))).alias("term"))
     pairs = met.groupBy(*entity, "term").agg(F.countDistinct("text_hash").alias("texts"), F.count("*").alias("n_et")).where(F.col("texts") >= support)
     pairs = written(pairs, "pii-pairs")
-    own = seen.select("doc_id", "text_hash", F.explode("base").alias("s")).groupBy("s.kind", "s.value", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy(*entity).agg(F.count("*").alias("n_e"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term"))
+    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
     often = maybe_among(words, "term", pairs.select("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = seen.count()
     share = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    told = pairs.join(often, "term").join(own, entity).where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= disclosure)
-    extra = near.join(told.select(*entity, "term", "share"), [*entity, "term"])
-    extra = extra.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    extra = extra.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
-        F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end")).alias("terms"), F.sort_array(F.collect_list(F.when(F.col("share") > 1 - 1e-9, F.col("start")))).alias("removed")
-    )
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    both = seen.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    none = F.array().cast("array<int>")
-    return both.select("doc_id", "text_hash", F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start: int, kind: int, end: int>>")))).alias("spans"), plain.alias("base"), F.coalesce("removed", none).alias("removed"))
+    told = pairs.join(often, "term").join(own, entity).withColumn("share", share).where(F.col("share") >= disclosure)
+    told = written(told.select(*entity, "term", "share"), "pii-told")
+    here = maybe_among(met.withColumn("key", F.xxhash64(*entity, "term")), "key", told.select(F.xxhash64(*entity, "term").alias("key")))
+    extra = here.select("place", *entity, "term").join(told, [*entity, "term"]).groupBy("place", "term").agg(F.max("share").alias("share"))
+    extra = extra.groupBy(F.col("place").alias("at")).agg(F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("share") > 1 - 1e-9, F.col("term"))).alias("full"))
+
+    both = seen.join(extra, F.col("place") == F.col("at"), "left")
+    at = F.filter(_found(_folded(F.col("text")), _WORD, len(PATTERNS)), lambda w: F.array_contains("told", w["value"]))
+    at = F.filter(at, lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    both = both.withColumn("terms", F.when(F.col("told").isNotNull(), at))
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    removed = F.transform(F.filter("terms", lambda w: F.array_contains("full", w["value"])), lambda w: w["start"])
+    terms = F.coalesce(bare(F.col("terms")), F.array().cast("array<struct<start: int, kind: int, end: int>>"))
+    return both.select("doc_id", "text_hash", F.array_sort(F.concat(bare(F.col("base")), terms)).alias("spans"), bare(F.col("base")).alias("base"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
 
 
 def listed(spans: Column) -> Column:

@@ -182,3 +182,25 @@ def test_words_in_one_bucket_have_their_own_probability(spark, monkeypatch):
     words = lm.counts(frame(spark, texts).select("text"))
     rare, logs = lm._in_buckets(words, lm.vocabulary(words, shape), shape)
     assert abs(logs[8] - np.log(total)) < 1e-9 and sorted(r.n for r in rare.collect()) == [3, 4, 5, 9]
+
+
+def test_terms_far_from_the_value_are_found_at_every_place(spark):
+    """A name in a heading, far from the address, and once more at the end, in whatever case; the address is a frequent one or not."""
+    rng = random.Random(6)
+    filler = lambda n: " ".join(rng.choice(["plain", "words", "every", "where", "other"]) for _ in range(n))
+    secret = [f"Falkenhorst {filler(60)} k.f@mail.example.com {filler(60)} FALKENHORST, falkenhorst" for _ in range(3)]
+    others = [f"{filler(12)} n{k}@mail.example.com" for k in range(30)] + [filler(10) + " \u0130zmir izmir"] + ["Brandt wrote to info@firm.example"] * 3
+    docs = frame(spark, secret + others)
+    out = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i, t in enumerate(secret):
+        places = {m.start() for m in re.finditer("falkenhorst", t, re.I)}
+        assert len(places) == 3 and places <= {s.start for s in out[i].spans if s.kind == 4} and places <= set(out[i].removed)
+    assert not any(s.kind == 4 for i in range(3, 37) for s in out[i].spans)  # one text each, however often
+    clear = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("falkenhorst" in clear[i].lower() for i in range(3)) and clear[33] == (secret + others)[33]
+
+
+def test_places_of_very_many_matches(spark):
+    text = " \u00e9, ".join(["word", "more"] * 2000)
+    got = spark.createDataFrame([(text,)], "text string").select(pii._found(F.col("text"), pii._WORD, 4).alias("s")).first().s
+    assert [(w.start, w.end, w.value) for w in got] == [(m.start(), m.end(), m.group()) for m in re.finditer("[a-z]{3,}", text)]
