@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import grams, id_text, in_batches, is_empty, maybe_among, rows_of, word_hashes, words_of, written
 from marketframe.llm.components import components
 
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -31,16 +31,23 @@ def surely(draws: int, percent: int, miss: float) -> int:
     return max(1, c)
 
 
+def row_key(doc: Column | str, text: Column | str) -> Column:
+    """63-bit hash of a row's id and text: different for two texts under one id, and there for null ids.  (Two of 10 million rows share
+    one with a chance of 1 in 100,000.)"""
+    return F.shiftrightunsigned(F.xxhash64(doc, text), 1)
+
+
 def sketches(docs: DataFrame, words: int, size: int, keys: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (128-bit hash of the set; null if empty), lows (the ``keys`` smallest hashes), sketch (the first 31 bits of
+    """doc_id, row, n_shingles, key (128-bit hash of the set; null if empty), lows (the ``keys`` smallest hashes), sketch (the first 31 bits of
     the ``size`` smallest hashes, enough for an estimate), both ascending."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for doc, text in rows_of(batches, "id", "text"):
+        for doc, row, text in rows_of(batches, "id", "row", "text"):
             s = shingles(text, words)
-            yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:keys].view(np.int64), (s[:size] >> np.uint64(32)).astype(np.int32)
+            yield doc, row, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:keys].view(np.int64), (s[:size] >> np.uint64(32)).astype(np.int32)
 
-    return id_text(docs, id_col, text_col).mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, n_shingles long, key binary, lows array<long>, sketch array<int>")
+    rows = id_text(docs, id_col, text_col).withColumn("row", row_key("id", "text"))
+    return rows.mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, row long, n_shingles long, key binary, lows array<long>, sketch array<int>")
 
 
 def _ceil_share(n: Column, percent: int) -> Column:
@@ -52,7 +59,7 @@ def _in_order(a: Column, b: Column) -> list[Column]:
 
 
 class _Search:
-    """The steps of near_duplicates over documents with distinct shingle sets (``reps``: rep, n, lows, sketch)."""
+    """The steps of near_duplicates over rows (``docs``: id, a row_key, and text) with distinct shingle sets (``reps``: rep, n, lows, sketch)."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, size: int, keys: int, small: int) -> None:
         self.docs, self.reps, self.words, self.percent, self.size, self.keys, self.small = docs, reps, words, percent, size, keys, small
@@ -203,19 +210,34 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, size:
     one; whatever that leaves unlinked goes on to exact prefix lists of full sets, where only pairs of different components meet.
     No pair is dropped for a list's length.
 
-    Null, empty and all-space texts have no shingles and no links: component_id is their own id.  Ties: the smallest id stands for a
-    group.  Rows repeated with one id get equal results.  Null ids: never a group's name; component_id is the group's, or null if it
-    has none.  An empty table gives no rows.  Columns other than the two named are not read.
+    Null, empty and all-space texts have no shingles and no links: component_id is their own id, and they are kept.  One row of every
+    group is kept: of those with the smallest id one text, and of identical rows one.  Ids need not be there or unique, as the search
+    goes by id and text.  component_id is the smallest id of the group, so null if no member has one; two groups headed by
+    different texts under one id carry the same.  An empty table gives no rows.  Columns other than the two named are not read.
     """
-    found = written(sketches(docs, words, size, keys, id_col=id_col, text_col=text_col), "sketches")
-    reps = written(found.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lows").alias("lows"), F.first("sketch").alias("sketch")), "representatives")
-    groups = _Search(id_text(docs, id_col, text_col), reps.select("rep", "n", "lows", "sketch"), words, percent, size, keys, small).run()
-    named = reps.join(groups, reps.rep == groups.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = found.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return _judged(docs, words, percent, size, keys, small, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 64, keys: int = 24, small: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of near_duplicates with their row_key."""
+    found = written(sketches(docs, words, size, keys, id_col=id_col, text_col=text_col).withColumn("place", F.monotonically_increasing_id()), "sketches")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("head")
+    reps = found.where("key is not null").groupBy("key").agg(head, F.first("n_shingles").alias("n"), F.first("lows").alias("lows"), F.first("sketch").alias("sketch"))
+    reps = written(reps.withColumn("rep", F.col("head.row")), "representatives")
+    texts = id_text(docs, id_col, text_col).select(row_key("id", "text").alias("id"), "text")
+    groups = _Search(texts, reps.select("rep", "n", "lows", "sketch"), words, percent, size, keys, small).run()
+    heads = groups.join(reps.select("rep", "head"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("head").alias("first"))
+    firsts = groups.join(heads, "component").select("node", "first")
+    named = reps.join(firsts, reps.rep == firsts.node, "left").select("key", F.coalesce("first", "head").alias("head"))
+    out = found.join(named, "key", "left")
+    alone = F.col("key").isNull()
+    return out.select("doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), (alone | (F.col("place") == F.col("head.place"))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns: one document of each group."""
-    ids = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs[options.get("id_col", "doc_id")] == ids.kept_id, "left_semi")
+    """The rows of ``docs`` that are kept, with all their columns: exactly one of each group, and every row without shingles."""
+    doc, text = docs[options.get("id_col", "doc_id")].cast("long"), docs[options.get("text_col", "text")].cast("string")
+    ids = _judged(docs, **options).where("kept and n_shingles > 0").select(F.col("row").alias("_kept_row"))
+    full = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    met = docs.where(full).withColumn("_row", row_key(doc, text)).join(ids, F.col("_row") == F.col("_kept_row"), "left_semi")
+    return met.dropDuplicates(["_row"]).drop("_row").union(docs.where(~full))

@@ -133,3 +133,19 @@ def test_cells_come_nearest_first():
     d1, d2 = np.array([3.0, 1.0, 2.0]), np.array([0.5, 4.0])
     cells = list(multiindex.multi_sequence(d1, d2))
     assert len({(i, j) for _, i, j in cells}) == 6 and [d for d, *_ in cells] == sorted(d for d, *_ in cells)
+
+
+def test_null_and_repeated_ids(spark):
+    """One row of each group stays: a unique null id, a group of null ids only, identical rows, two texts under one id."""
+    base = [f"w{k}" for k in range(40)]
+    near = [*base[:-1], "other"]
+    rows = [(None, "only one here"), (None, "null group"), (None, "NULL group"), (7, "same row"), (7, "same row"), (7, "same row"), (None, None), (None, " "), (8, ""), (8, "")]
+    rows += [(3, " ".join(base)), (3, "quite another text"), (4, " ".join(near)), (5, "quite another TEXT"), (6, " ".join(base[::-1])), (6, " ".join([*base[::-1][:-1], "other"]))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = sorted(r.n for r in minhash.one_of_each(docs, words=2).collect())
+    assert len(kept) == 10 and set(kept) >= {0, 6, 7, 8, 9, 10, 11} and not set(kept) & {12, 13}
+    assert [len(set(kept) & g) for g in ({1, 2}, {3, 4, 5}, {14, 15})] == [1, 1, 1]
+    out = minhash.near_duplicates(docs, words=2)
+    assert out.count() == 16 and out.where("kept").count() == len(kept)
+    assert sorted(r.component_id for r in out.where("n_shingles > 0 and doc_id between 3 and 6").collect()) == [3, 3, 3, 3, 6, 6]
+    assert out.where("n_shingles > 0 and doc_id is null and component_id is not null").count() == 0
