@@ -8,15 +8,18 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import in_batches, rows_of, written
 from marketframe.llm.components import components
 
-#: Rows of a cell's block; a pair of blocks is one task's matrix product.
-BLOCK = 512
-_CELLS = "rep long, label string, unit binary, times long, cell int, visits array<int>"
+#: Rows of a shard, and of those that visit it at once; both together are one matrix product.
+BLOCK = 1024
+#: Rows of one label that a cell of the grid holds on average, while the codebooks can grow.
+CELL_ROWS = 16
+#: Vector sizes that have codebooks of their own.
+INDEXED_SIZES = 16
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
@@ -86,9 +89,9 @@ class MultiIndex:
         return found
 
 
-def usable(vector: list | None, size: int | None = None) -> np.ndarray | None:
-    """The unit vector in double precision; None for null or zero vectors, null or non-finite components, or another size."""
-    if not vector or None in vector or size not in (None, len(vector)):
+def usable(vector: list | None) -> np.ndarray | None:
+    """The unit vector in double precision; None for null, empty or zero vectors, and for null or non-finite components."""
+    if not vector or None in vector:
         return None
     x = np.array(vector, np.float64)
     top = np.abs(x).max()
@@ -98,71 +101,111 @@ def usable(vector: list | None, size: int | None = None) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, recall: float = 0.99, sample_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def words_for(rows: int, least: int, sample_rows: int) -> int:
+    """Words of a half's codebook: a power of two, so many that ``rows`` leave about ``CELL_ROWS`` in each cell of the grid, but at most
+    one for each 32 sampled rows, so that a codebook is fitted on enough of them."""
+    words = least
+    while words * words * CELL_ROWS < rows and words * 64 <= sample_rows:
+        words *= 2
+    return words
+
+
+def _fitted(units: DataFrame, cosine: float, words: int, recall: float, sample_rows: int) -> dict[int, MultiIndex]:
+    """An index for each of the ``INDEXED_SIZES`` most frequent vector sizes (2 components or more), fitted on the rows of that size only.
+
+    Vectors of any other size lie in one cell, which all of that size visit: exact, and slower.
+    """
+    labels = units.groupBy("size", "label").agg(F.count("*").alias("n"))
+    sizes = labels.where("size >= 2").groupBy("size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "size").limit(INDEXED_SIZES).collect()
+    found = {}
+    for size, n, most in sizes:
+        if n < 4 * BLOCK and n < sample_rows:  # one cell is as fast
+            continue
+        k = words_for(most, words, sample_rows)
+        rows = units.where(F.col("size") == size).orderBy(F.xxhash64("id", "label"), "id", "unit").limit(max(min(sample_rows, 4096), 32 * k)).select("unit").collect()
+        found[size] = MultiIndex(np.stack([np.frombuffer(r.unit) for r in rows]), cosine, words=k, recall=recall)
+    return found
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, recall: float = 0.99, sample_rows: int = 32768, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row: vectors of one label whose cosine is ``cosine`` or more are linked.
 
-    Vectors equal as unit vectors are one representative with a count from the start.  Codebooks for both halves are fitted on at most
-    ``sample_rows`` usable rows (those with the smallest hash of id and label), every vector is indexed.  Each representative visits the nearest
-    cells of the product grid by the multi-sequence algorithm, and the cosine of what it meets is computed in double precision.  A pair
-    is looked for from its smaller id only, so it is found at most once and counts for both.  A cell is dealt in blocks of about ``BLOCK``
-    rows, so one large cell is many tasks; a task returns counts and a spanning forest of its links, never its pairs.
+    Vectors equal as unit vectors are one representative with a count from the start.  Vectors of different sizes are never compared;
+    each frequent size has an index of its own.  Codebooks for both halves are fitted on a bounded sample of at most ``sample_rows``
+    rows of the size (those with the smallest hash of id and label); every vector is indexed.  The grid grows with the rows of the
+    largest label (``words_for``).  Each representative visits the nearest cells of the product grid by the multi-sequence algorithm,
+    and the cosine of what it meets is computed in double precision.  A pair is looked for from one side only, so it is found at most
+    once and counts for both.
+
+    Cells that follow each other are one shard of about ``BLOCK`` rows; a larger cell is several, dealt by hash, and so are the rows that
+    visit a shard.  A vector is copied once for each shard it visits.  A task returns counts and a spanning forest of its links, never
+    its pairs.
 
-    Null, zero or non-finite vectors, null components, null labels, and vectors of another size than the first sampled one: no links,
-    component_id is their own id.  Rows repeated with one id count as separate vectors.  An empty table gives no rows.
+    Null, empty or zero vectors, null or non-finite components, null labels and null ids: no links, component_id is their own id, and
+    they are kept.  Rows repeated with one id count as separate vectors.  An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    good = rows.where("id is not null and label is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
-    sample = [usable(r.vector) for r in good.orderBy(F.xxhash64("id", "label"), "id").limit(sample_rows).collect()]
-    sample = [x for x in sample if x is not None and len(x) == len(sample[0])]
-    none = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.coalesce(F.col("id") == F.col("id"), F.lit(False)).alias("kept"))
-    if not sample or len(sample[0]) < 2:
-        return none
-    index, size = MultiIndex(np.array(sample), cosine, words=words, recall=recall), len(sample[0])
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for row, label, vector in rows_of(batches, "id", "label", "vector"):
-            x = usable(vector, size) if label is not None and row is not None else None
-            yield row, label, None if x is None else x.tobytes()
+            x = usable(vector) if label is not None and row is not None else None
+            yield row, label, None if x is None else len(x), None if x is None else x.tobytes()
 
-    kinds = pa.schema([("id", pa.int64()), ("label", pa.string()), ("unit", pa.binary())])
-    each = rows.mapInArrow(lambda b: in_batches(units(b), kinds), "id long, label string, unit binary")
-    reps = each.where("unit is not null").groupBy("label", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    kinds = pa.schema([("id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("unit", pa.binary())])
+    each = written(rows.mapInArrow(lambda b: in_batches(units(b), kinds), "id long, label string, size int, unit binary"), "units")
+    good = each.where("unit is not null")
+    index = _fitted(good, cosine, words, recall, sample_rows)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rep, label, unit, times in rows_of(batches, "rep", "label", "unit", "times"):
-            d1, d2 = (d[0] for d in index.distances(np.frombuffer(unit)[None]))
-            yield rep, label, unit, times, int(d1.argmin()) * len(index.books[1]) + int(d2.argmin()), index.visits(d1, d2)
-
-    kinds_placed = pa.schema([("rep", pa.int64()), ("label", pa.string()), ("unit", pa.binary()), ("times", pa.int64()), ("cell", pa.int32()), ("visits", pa.list_(pa.int32()))])
-    placed_reps = written(reps.mapInArrow(lambda b: in_batches(placed(b), kinds_placed), _CELLS), "cells")
-
-    stored = placed_reps.select("rep", "label", "unit", "times", "cell")
-    asking = placed_reps.select("rep", "label", "unit", "times", F.explode("visits").alias("cell"))
-    blocks = lambda df, name: df.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
-    plan = blocks(stored, "stored_blocks").join(blocks(asking, "asking_blocks"), ["label", "cell"])
-    dealt = lambda df, own, other: df.join(plan, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-    left = dealt(stored, "stored_blocks", "asking_blocks").select("label", "cell", F.col("own").alias("sb"), F.col("other").alias("ab"), "rep", "unit", "times", F.lit(True).alias("stored"))
-    right = dealt(asking, "asking_blocks", "stored_blocks").select("label", "cell", F.col("other").alias("sb"), F.col("own").alias("ab"), "rep", "unit", "times", F.lit(False).alias("stored"))
+        for first, label, size, unit, times in rows_of(batches, "first", "label", "size", "unit", "times"):
+            own, cell, visits = index.get(size), 0, [0]
+            if own is not None:
+                d1, d2 = (d[0] for d in own.distances(np.frombuffer(unit)[None]))
+                cell, visits = int(d1.argmin()) * len(own.books[1]) + int(d2.argmin()), own.visits(d1, d2)
+            yield first, label, size, unit, times, cell, visits
+
+    reps = good.groupBy("label", "size", "unit").agg(F.min("id").alias("first"), F.count("*").alias("times"))
+    kinds_placed = pa.schema([("first", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("unit", pa.binary()), ("times", pa.int64()), ("cell", pa.int32()), ("visits", pa.list_(pa.int32()))])
+    at = reps.mapInArrow(lambda b: in_batches(placed(b), kinds_placed), "first long, label string, size int, unit binary, times long, cell int, visits array<int>")
+    at = written(at.withColumn("rep", F.monotonically_increasing_id()), "cells")
+
+    grid = ["size", "label", "cell"]
+    shard = ["size", "label", "shard", "part"]
+    cells = at.groupBy(*grid).agg(F.count("*").alias("n"))
+    # A row for each cell in use; numbers run within stretches of cells, so no window holds a whole label.
+    before = F.sum("n").over(Window.partitionBy("size", "label", F.shiftright("cell", 10)).orderBy("cell")) - F.col("n")
+    plan = written(cells.select(*grid, (F.shiftright("cell", 10).cast("long") * (1 << 40) + F.floor(before / BLOCK)).alias("shard"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "shards")
+    asking = at.select("rep", "size", "label", F.explode("visits").alias("cell")).join(plan, grid)
+    asking = asking.select("rep", "size", "label", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct()
+    asking = written(asking, "visits")
+    asked = asking.groupBy(*shard).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    stored = at.select("rep", *grid).join(plan, grid).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(asked, shard)
+    stored = stored.select("rep", *shard, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("stored"))
+    asking = asking.join(asked, shard).select("rep", *shard, F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("stored"))
+    dealt = stored.unionByName(asking).join(at.select("rep", "unit", "times"), "rep")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         s, a = group[group["stored"]], group[~group["stored"]]
-        x, y = (np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), size) for g in (s, a))
-        si, ai = s["rep"].to_numpy(), a["rep"].to_numpy()
-        hit = (y @ x.T >= cosine) & (ai[:, None] < si[None, :])
-        st, at = s["times"].to_numpy(), a["times"].to_numpy()
+        x, y = (np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1) if len(g) else np.zeros((0, 1)) for g in (s, a))
+        si, ai, st, at = s["rep"].to_numpy(), a["rep"].to_numpy(), s["times"].to_numpy(), a["times"].to_numpy()
+        hit = np.zeros((len(ai), len(si)), bool)
+        for k in range(0, len(ai) if len(si) else 0, 512):
+            hit[k : k + 512] = (y[k : k + 512] @ x.T >= cosine) & (ai[k : k + 512, None] < si[None, :])
         rows_hit, cols_hit = hit.any(1), hit.any(0)
-        counts = pd.concat([pd.DataFrame({"a": ai[rows_hit], "n": (hit @ st)[rows_hit]}), pd.DataFrame({"a": si[cols_hit], "n": (at @ hit)[cols_hit]})])
+        counts = pd.concat([pd.DataFrame({"a": ai[rows_hit], "n": (hit[rows_hit] @ st)}), pd.DataFrame({"a": si[cols_hit], "n": (at @ hit[:, cols_hit])})])
         edges = pd.DataFrame(_forest(hit, ai, si), columns=["a", "b"], dtype="int64")
         return pd.concat([counts.assign(b=None), edges.assign(n=None)])[["a", "b", "n"]].astype("Int64")
 
-    met = written(left.union(right).groupBy("label", "cell", "sb", "ab").applyInPandas(meet, "a long, b long, n long"), "met")
+    met = written(dealt.groupBy(*shard, "block").applyInPandas(meet, "a long, b long, n long"), "met")
     groups = components(met.where("b is not null").select("a", "b"))
     others = met.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    named = placed_reps.select("rep", "label", "unit", "times").join(others, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("label").alias("l"), F.col("unit").alias("u"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = each.join(named, (F.col("label") == F.col("l")) & (F.col("unit") == F.col("u")), "left")
-    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = at.select("rep", "first", "label", "unit", "times").join(others, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
+    named = named.join(smallest, "component").select(F.col("label").alias("l"), F.col("unit").alias("u"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "smallest")
+    # Copies of one vector may be a hot key here: both sides are plain rows, so Spark can split it.
+    out = each.join(written(named, "named"), (F.col("label") == F.col("l")) & (F.col("unit") == F.col("u")), "left")
+    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _forest(hit: np.ndarray, ai: np.ndarray, si: np.ndarray) -> list[tuple[int, int]]:

@@ -121,6 +121,34 @@ def test_near_vectors(spark, monkeypatch):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
 
 
+def test_vectors_of_other_sizes_do_no_harm(spark, monkeypatch):
+    """Whatever is sampled first: rows of other sizes, one component included, take no links from the rest and have their own."""
+    monkeypatch.setattr(multiindex, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(12)
+    rows = [(i, (hot + 0.02 * rng.standard_normal(12)).tolist(), 0) for i in range(50)]
+    odd = [(100 + i, v, 0) for i, v in enumerate([[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [5.0], [7.0], [-1.0], [0.0, 1.0, 0.0]])] + [(None, hot.tolist(), 0), (None, None, 0)]
+    kind = "vec_id long, embedding array<double>, label int"
+    for sizes in (1, 16):
+        monkeypatch.setattr(multiindex, "INDEXED_SIZES", sizes)
+        out = multiindex.near_vectors(spark.createDataFrame(odd + rows, kind), 0.93, words=2).collect()
+        links = {r.vec_id: r.n_links for r in out}
+        assert sum(links[i] for i in range(50)) >= 0.98 * 50 * 49 and len(out) == 58
+        assert [links[100 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
+        assert {r.vec_id: r.component_id for r in out if r.vec_id is not None and r.vec_id >= 100} == {100: 100, 101: 100, 102: 102, 103: 102, 104: 104, 105: 105}
+        assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+
+
+def test_two_vectors_under_one_id_are_linked(spark):
+    rows = [(4, [1.0, 0.0], 1), (4, [1.0, 0.01], 1), (9, [0.0, 1.0], 1), (9, [1.0, 0.0], 1)]
+    out = multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(4, 2, 4), (4, 2, 4), (9, 0, 9), (9, 2, 4)]
+
+
+def test_the_grid_grows_with_the_rows():
+    assert [multiindex.words_for(n, 16, 32768) for n in (10, 4096, 5000, 10**6, 10**9)] == [16, 16, 32, 256, 1024]
+
+
 def test_odd_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert multiindex.near_vectors(spark.createDataFrame([], kind)).count() == 0
