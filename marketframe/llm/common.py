@@ -32,10 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marketframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder.  Cuts the lineage; survives the loss of executors."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, a subfolder for each value of the columns ``by`` (last in ``df``).  Cuts the lineage;
+    survives the loss of executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import HASHES_KEPT, id_text, in_batches, rows_of, word_hashes, words_of, written
+from marketframe.llm.common import HASHES_KEPT, id_text, in_batches, rows_of, words_of, written
 
 #: Counts of the most frequent words in buckets that each task holds, to spare most of the join; changes no result.
 COUNTS_HELD = 1 << 16
+#: Tokens of a shard: what one network sees between two averages.
+SHARD_TOKENS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -24,9 +29,9 @@ class Shape:
 
     window: int = 2
     width: int = 16
-    classes: int = 16
-    members: int = 16
-    own: int = 192
+    classes: int = 32
+    members: int = 32
+    own: int = 768
 
     @property
     def tokens(self) -> int:
@@ -46,28 +51,52 @@ class Shape:
         }
 
 
-class Tokens:
-    """Words (A-Z lower-cased) as token numbers; remembers the words a worker has met."""
+class Lexicon:
+    """Words (A-Z lower-cased) as token numbers, and log p(word | bucket) of words that share one; remembers the words a worker has met.
 
-    def __init__(self, own: list[str], shape: Shape) -> None:
-        self.first = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(own)}
-        self.base, self.buckets = len(own), shape.tokens - len(own)
-        self.known = dict(self.first)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        return self.of(words_of(text, lower=True))
+    ``held``, ``held_logs``: hashes in order and log counts of the words whose counts are here; ``logs``: log count of each token.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def __init__(self, own: list[str], shape: Shape, logs: np.ndarray, held: np.ndarray, held_logs: np.ndarray) -> None:
+        self.own = [w.encode("utf-8", "surrogatepass") for w in own]
+        self.buckets, self.logs, self.held, self.held_logs = shape.tokens - len(own), logs, held, held_logs
+        self._afresh()
+
+    def _afresh(self) -> None:
+        self.known = {w: k for k, w in enumerate(self.own)}
+        n = max(1024, 2 * len(self.own))
+        self.token, self.inside, self.hash = np.zeros(n, np.uint16), np.zeros(n), np.zeros(n, np.int64)
+        self.token[: len(self.own)] = np.arange(len(self.own))
+
+    def _learn(self, words: list[bytes]) -> None:
+        at = len(self.known)
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        end = at + len(new)
+        if end > len(self.token):
+            self.token, self.inside, self.hash = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.token, self.inside, self.hash))
+        self.known.update(zip(new, range(at, end), strict=True))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
+        tokens, hashes = (len(self.own) + hashes % np.uint64(self.buckets)).astype(np.uint16), hashes.view(np.int64)
+        spot = np.minimum(np.searchsorted(self.held, hashes), len(self.held) - 1)
+        here = self.held[spot] == hashes
+        self.token[at:end], self.hash[at:end] = tokens, hashes
+        self.inside[at:end] = np.where(here, self.held_logs[spot] - self.logs[tokens], np.nan)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
+        """Tokens; the sum of log p(word | bucket) but for the counts not held; the hashes of the words those belong to."""
         if len(self.known) > HASHES_KEPT:
-            self.known = dict(self.first)
-        known = self.known
-        found = list(map(known.get, words))
+            self._afresh()
+        words = words_of(text, lower=True)
+        found = list(map(self.known.get, words))
         if None in found:
-            for i, k in enumerate(found):
-                if k is None:
-                    w = words[i]
-                    found[i] = known[w] = self.base + xxhash.xxh64_intdigest(w) % self.buckets
-        return np.array(found, np.int32)
+            self._learn([w for w, k in zip(words, found, strict=True) if k is None])
+            found = list(map(self.known.get, words))
+        at = np.array(found, np.int64)
+        tokens, inside = self.token[at], self.inside[at]
+        away = np.isnan(inside)
+        if away.any():
+            inside = np.where(away, -self.logs[tokens], inside)
+        return tokens, float(inside.sum()), self.hash[at[away]]
 
 
 def contexts(docs: list[np.ndarray], shape: Shape) -> np.ndarray:
@@ -79,57 +108,77 @@ def contexts(docs: list[np.ndarray], shape: Shape) -> np.ndarray:
 
 
 def _hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    h = p["bias"] + p["inputs"][0][around[0]]
+    h = p["inputs"][0].take(around[0], 0)
     for k in range(1, len(around)):
-        h += p["inputs"][k][around[k]]
+        h += p["inputs"][k].take(around[k], 0)
+    h += p["bias"]
     return np.tanh(h, out=h)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
+
+
+def _by_number(tokens: np.ndarray) -> np.ndarray:
+    return np.argsort(tokens.astype(np.uint16), kind="stable")
+
+
+def _stretches(kind: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
+    """(class, start, end) of each class that is there; ``kind`` ascends."""
+    ends = np.searchsorted(kind, np.arange(classes + 1))
+    return ((c, s, e) for c, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if s < e)
 
 
 def log_likelihoods(p: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray, shape: Shape) -> np.ndarray:
     """log p(token | tokens on both sides) of each place."""
-    h = _hidden(p, around)
-    kind, member = np.divmod(tokens, shape.members)
-    at = np.arange(len(tokens))
-    out = np.log(np.maximum(_softmax(h @ p["class_out"] + p["class_bias"])[at, kind], 1e-12))
-    for c in np.unique(kind):
-        i = np.flatnonzero(kind == c)
-        q = _softmax(h[i] @ p["member_out"][c] + p["member_bias"][c])
-        out[i] += np.log(np.maximum(q[np.arange(len(i)), member[i]], 1e-12))
+    order = _by_number(tokens)
+    kind, member = np.divmod(tokens[order].astype(np.int64), shape.members)
+    h, at = np.ascontiguousarray(_hidden(p, around[:, order]).T), np.arange(len(tokens))
+
+    def log_share(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+        z -= z.max(0)
+        own = z[row, at[: len(row)]]
+        return own - np.log(np.exp(z, out=z).sum(0))
+
+    found = log_share(p["class_out"].T @ h + p["class_bias"][:, None], kind)
+    for c, s, e in _stretches(kind, shape.classes):
+        found[s:e] += log_share(p["member_out"][c].T @ h[:, s:e] + p["member_bias"][c][:, None], member[s:e])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def train_step(p: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray, shape: Shape, rate: float) -> None:
     """One step of gradient descent on a batch, in place."""
-    n = len(tokens)
-    h = _hidden(p, around)
-    kind, member = np.divmod(tokens, shape.members)
-    at, rate = np.arange(n), np.float32(rate / n)
-    d = _softmax(h @ p["class_out"] + p["class_bias"])
-    d[at, kind] -= 1
-    dh = d @ p["class_out"].T
-    p["class_out"] -= rate * (h.T @ d)
-    p["class_bias"] -= rate * d.sum(0)
-    for c in np.unique(kind):
-        i = np.flatnonzero(kind == c)
-        own = _softmax(h[i] @ p["member_out"][c] + p["member_bias"][c])
-        own[np.arange(len(i)), member[i]] -= 1
-        dh[i] += own @ p["member_out"][c].T
-        p["member_out"][c] -= rate * (h[i].T @ own)
-        p["member_bias"][c] -= rate * own.sum(0)
+    n, order = len(tokens), _by_number(tokens)
+    around = around[:, order]
+    kind, member = np.divmod(tokens[order].astype(np.int64), shape.members)
+    at, rate = np.arange(n), p["bias"].dtype.type(rate / n)
+    h = np.ascontiguousarray(_hidden(p, around).T)
+    d = _softmax(p["class_out"].T @ h + p["class_bias"][:, None])
+    d[kind, at] -= 1
+    dh = p["class_out"] @ d
+    p["class_out"] -= rate * (h @ d.T)
+    p["class_bias"] -= rate * d.sum(1)
+    for c, s, e in _stretches(kind, shape.classes):
+        x = h[:, s:e]
+        d = _softmax(p["member_out"][c].T @ x + p["member_bias"][c][:, None])
+        d[member[s:e], at[: e - s]] -= 1
+        dh[:, s:e] += p["member_out"][c] @ d
+        p["member_out"][c] -= rate * (x @ d.T)
+        p["member_bias"][c] -= rate * d.sum(1)
     dh *= 1 - h * h
-    p["bias"] -= rate * dh.sum(0)
+    p["bias"] -= rate * dh.sum(1)
+    dh = np.ascontiguousarray(dh.T)
     for k in range(len(around)):
-        order = np.argsort(around[k].astype(np.uint16), kind="stable")
+        order = _by_number(around[k])
         ids = around[k][order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        p["inputs"][k][ids[starts]] -= rate * np.add.reduceat(dh[order], starts, axis=0)
+        p["inputs"][k][ids[starts]] -= rate * np.add.reduceat(dh.take(order, 0), starts, axis=0)
 
 
 def _chunks(found: Iterator[tuple], least: int) -> Iterator[list[tuple]]:
@@ -184,97 +233,122 @@ def _in_buckets(words: DataFrame, own: list[str], shape: Shape) -> tuple[DataFra
     return rare, logs
 
 
-def train(rows: DataFrame, own: list[str], shape: Shape, *, rounds: int = 1, batch: int = 2048, rate: float = 1.5) -> dict[str, np.ndarray]:
-    """Parameters trained on every token of every text.
+def encoded(rows: DataFrame, own: list[str], rare: DataFrame, logs: np.ndarray, shape: Shape, total: int, rounds: int) -> DataFrame:
+    """Every text as tokens, written once for training and scoring: doc_id, place (unique), key, shard, ids (16 bits each), inside, away,
+    turn.
+
+    A row's shard is drawn by a hash of id and text from as many as hold ``SHARD_TOKENS`` tokens each, and turn is the round that
+    trains on it, so both depend on the rows and not on how they are split among files or tasks.
+    """
+    top = sorted((r.hash, r.n) for r in rare.orderBy(F.desc("n"), "hash").limit(COUNTS_HELD).collect()) or [(0, 1)]
+    held, held_logs = np.array([h for h, _ in top], np.int64), np.log(np.array([n for _, n in top], np.float64))
+    kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary()), ("inside", pa.float64()), ("away", pa.list_(pa.int64()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        lexicon = Lexicon(own, shape, logs, held, held_logs)
+        for doc, key, text in rows_of(batches, "id", "key", "text"):
+            ids, inside, away = lexicon(text)
+            yield doc, key, ids.tobytes(), inside, away
+
+    shards = max(1, -(-total // SHARD_TOKENS))
+    out = rows.withColumn("key", F.xxhash64("id", "text")).mapInArrow(lambda b: in_batches(read(b), kinds), "doc_id long, key long, ids binary, inside double, away array<long>")
+    shard = F.pmod("key", F.lit(shards))
+    return written(out.withColumns({"place": F.monotonically_increasing_id(), "shard": shard, "turn": (shard % min(rounds, shards)).cast("int")}), "lm-tokens", "turn")
+
+
+def _summed(parts: DataFrame, groups: int) -> DataFrame:
+    """Weighted sums of parameters, added up in ``groups`` tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table["value"][0].as_py()) // 8)
+        for v in table["value"]:
+            total += np.frombuffer(v.as_py())
+        return pa.table({"weight": [sum(table["weight"].to_pylist())], "value": [total.tobytes()]})
 
-    In each round every task starts from the same parameters, descends over its own texts, and the results are averaged with the number
-    of tokens as weight.  The sums are taken on the executors; one row for each parameter reaches the driver, however large the input.
+    return parts.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(add, "weight double, value binary")
+
+
+def train(texts: DataFrame, shape: Shape, total: int, *, rounds: int = 4, batch: int = 2048, rate: float = 1.5) -> dict[str, np.ndarray]:
+    """Parameters trained on every token of every text (``texts``: what ``encoded`` has written).
+
+    Each round takes the shards of its turn; every shard starts from the same parameters and descends over its own texts, in the order
+    of their keys; the results are averaged with the number of tokens as weight.  With fewer shards than rounds, shards take several
+    turns.  Steps and shards follow from the rows alone, so the parameters are the same (but for the last bits of sums) however the
+    table is split.  Tasks add up their own shards, and at most ``64`` sums reach the driver.
     """
-    p = shape.blank()
-    for _ in range(rounds):
-        flat = np.concatenate([x.ravel() for x in p.values()])
-
-        def descend(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray] = p) -> Iterator[pa.RecordBatch]:
-            tokens, q, steps, seen = Tokens(own, shape), {k: v.copy() for k, v in p.items()}, 0, 0
-            for part in _chunks(((None, tokens(text)) for (text,) in rows_of(batches, "text")), 1 << 16):
-                docs = [ids for _, ids in part if len(ids)]
-                if not docs:
-                    continue
-                around, ids = contexts(docs, shape), np.concatenate(docs)
-                for k in range(0, len(ids), batch):
-                    train_step(q, around[:, k : k + batch], ids[k : k + batch], shape, rate / (1 + steps / 400) ** 0.5)
-                    steps += 1
-                seen += len(ids)
-            if seen:
-                out = np.concatenate([x.ravel() for x in q.values()]).astype(np.float64) * seen
-                yield pa.RecordBatch.from_pydict({"at": np.arange(len(out), dtype=np.int32), "value": out, "weight": np.full(len(out), float(seen))})
-
-        sums = rows.select("text").mapInArrow(descend, "at int, value double, weight double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
-        for r in sums.collect():
-            flat[r["at"]] = r["value"] / r["weight"]
-        at = 0
+    p, shards = shape.blank(), max(1, -(-total // SHARD_TOKENS))
+    turns, spark = min(rounds, shards), texts.sparkSession
+    tasks = max(1, min(-(-shards // turns), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    for number in range(rounds):
+
+        def descend(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray] = p, done: int = number * SHARD_TOKENS // batch) -> Iterator[pa.RecordBatch]:
+            total, weight = np.zeros(sum(x.size for x in p.values())), 0
+            for _, own in groupby(((shard, np.frombuffer(ids, np.uint16)) for shard, ids in rows_of(batches, "shard", "ids")), itemgetter(0)):
+                q, seen, steps = {k: v.copy() for k, v in p.items()}, 0, done
+                for part in _chunks(own, 1 << 16):
+                    docs = [ids for _, ids in part if len(ids)]
+                    if not docs:
+                        continue
+                    around, ids = contexts(docs, shape), np.concatenate(docs)
+                    for k in range(0, len(ids), batch):
+                        train_step(q, around[:, k : k + batch], ids[k : k + batch], shape, rate / (1 + steps / 400) ** 0.5)
+                        steps += 1
+                    seen += len(ids)
+                total += np.concatenate([x.ravel() for x in q.values()]).astype(np.float64) * seen
+                weight += seen
+            if weight:
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "weight": [float(weight)], "value": [total.tobytes()]})
+
+        own = texts.where(F.col("turn") == number % turns).select("shard", "key", "ids")
+        own = own.repartitionById(tasks, (F.floor(F.col("shard") / turns) % tasks).cast("int")).sortWithinPartitions("shard", "key")
+        sums = _summed(own.mapInArrow(descend, "part long, weight double, value binary"), min(64, -(-tasks // 8))).collect()
+        weight = sum(r["weight"] for r in sums)
+        if not weight:  # no tokens at all, or all of them have other turns
+            continue
+        flat, at = sum(np.frombuffer(r["value"]) for r in sums) / weight, 0
+        p = dict(p)
         for k, v in p.items():
             p[k], at = flat[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
     return p
 
 
-def score(docs: DataFrame, *, shape: Shape | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, shape: Shape | None = None, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all words of log p(word | tokens on both sides)), score (its mean) for every document.
 
     The network is trained on all texts of ``docs`` first.  It gives p(token | both sides); a word that shares its bucket with others
     has p(word | bucket) besides, its part of the bucket's count over all texts, so the probabilities of all words of the corpus sum to
     1.  Those counts are a table as large as the corpus's vocabulary, met in a join on the word's 64-bit hash.
 
-    Null, empty and all-space texts have no tokens: log_likelihood 0, score null.  Repeated ids are scored row by row; equal texts get
-    equal scores.  An empty table gives no rows.  Columns other than the two named are not read.
+    Null, empty and all-space texts have no tokens: log_likelihood 0, score null.  Repeated and null ids are scored row by row; equal
+    texts get equal scores.  Scores do not depend on how the table is split.  An empty table gives no rows.  Columns other than the two
+    named are not read.
     """
     shape = shape or Shape()
     rows = id_text(docs, id_col, text_col)
     words = counts(rows)
     own = vocabulary(words, shape)
     rare, logs = _in_buckets(words, own, shape)
-    top = sorted((r.hash, r.n) for r in rare.orderBy(F.desc("n"), "hash").limit(COUNTS_HELD).collect())
-    held, held_logs = np.array([h for h, _ in top], np.int64), np.log(np.array([n for _, n in top], np.float64))
-    p = train(rows, own, shape, rounds=rounds)
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.float64()), ("hashes", pa.list_(pa.int64()))])
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    texts = encoded(rows, own, rare, logs, shape, total, rounds)
+    p = train(texts, shape, total, rounds=rounds)
+    kinds = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.float64())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        tokens = Tokens(own, shape)
-
-        def read(text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
-            """Tokens; the sum of log p(word | bucket) but for the counts not held here; the hashes of the words those belong to."""
-            found = words_of(text, lower=True)
-            ids = tokens.of(found)
-            shared = np.flatnonzero(ids >= tokens.base)
-            if not len(shared):
-                return ids, 0.0, np.zeros(0, np.int64)
-            hashes = word_hashes([found[k] for k in shared]).view(np.int64)
-            at = np.searchsorted(held, hashes)
-            hit = held[np.minimum(at, len(held) - 1)] == hashes
-            return ids, float(held_logs[at[hit]].sum() - logs[ids[shared]].sum()), hashes[~hit]
-
-        def texts() -> Iterator[tuple]:
-            for doc, text in rows_of(batches, "id", "text"):
-                ids, inside, hashes = read(text)
-                yield (doc, inside, hashes), ids
-
-        for part in _chunks(texts(), 1 << 15):
+        for part in _chunks((((doc, place, inside), np.frombuffer(ids, np.uint16)) for doc, place, inside, ids in rows_of(batches, "doc_id", "place", "inside", "ids")), 1 << 15):
             full = [ids for _, ids in part if len(ids)]
             each = np.zeros(0)
             if full:
                 around, ids = contexts(full, shape), np.concatenate(full)
                 each = np.concatenate([log_likelihoods(p, around[:, k : k + 4096], ids[k : k + 4096], shape) for k in range(0, len(ids), 4096)]).astype(np.float64)
             at = 0
-            for (doc, inside, hashes), ids in part:
-                total = float(each[at : at + len(ids)].sum())
+            for (doc, place, inside), ids in part:
+                yield doc, place, len(ids), float(each[at : at + len(ids)].sum()) + inside
                 at += len(ids)
-                yield doc, len(ids), total + inside, hashes
 
-    judged = rows.mapInArrow(lambda b: in_batches(judge(b), kinds), "doc_id long, n_tokens long, known double, hashes array<long>")
-    judged = written(judged.withColumn("place", F.monotonically_increasing_id()), "lm-judged")
+    judged = texts.select("doc_id", "place", "inside", "ids").mapInArrow(lambda b: in_batches(judge(b), kinds), "doc_id long, place long, n_tokens long, known double")
     # In fixed order: a sum of doubles must not depend on how rows arrive.
-    met = judged.select("place", F.explode("hashes").alias("hash")).groupBy("place", "hash").agg(F.count("*").alias("times")).join(rare, "hash")
+    met = texts.select("place", F.explode("away").alias("hash")).groupBy("place", "hash").agg(F.count("*").alias("times")).join(rare, "hash")
     rest = met.groupBy(F.col("place").alias("at")).agg(F.aggregate(F.array_sort(F.collect_list(F.col("times") * F.log("n"))), F.lit(0.0), lambda a, x: a + x).alias("rest"))
-    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
-    out = judged.join(rest, F.col("place") == F.col("at"), "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    known = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    out = judged.join(rest, F.col("place") == F.col("at"), "left").select("doc_id", "n_tokens", known.alias("log_likelihood"))
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
