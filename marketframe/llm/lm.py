@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import HASHES_KEPT, id_text, in_batches, rows_of, words_of, written
 
 #: Counts of the most frequent words in buckets that each task holds, to spare most of the join; changes no result.
-COUNTS_HELD = 1 << 16
+COUNTS_HELD = 1 << 18
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED = 1 << 18
 #: Tokens of a shard: what one network sees between two averages.
 SHARD_TOKENS = 1 << 19
 
@@ -57,16 +59,15 @@ class Lexicon:
     ``held``, ``held_logs``: hashes in order and log counts of the words whose counts are here; ``logs``: log count of each token.
     """
 
-    def __init__(self, own: list[str], shape: Shape, logs: np.ndarray, held: np.ndarray, held_logs: np.ndarray) -> None:
-        self.own = [w.encode("utf-8", "surrogatepass") for w in own]
-        self.buckets, self.logs, self.held, self.held_logs = shape.tokens - len(own), logs, held, held_logs
+    def __init__(self, own: list[int], shape: Shape, logs: np.ndarray, held: np.ndarray, held_logs: np.ndarray) -> None:
+        self.base, self.buckets = len(own), shape.tokens - len(own)
+        self.own, self.number = np.sort(np.array(own, np.int64)), np.argsort(np.array(own, np.int64))
+        self.logs, self.held, self.held_logs = logs, held, held_logs
         self._afresh()
 
     def _afresh(self) -> None:
-        self.known = {w: k for k, w in enumerate(self.own)}
-        n = max(1024, 2 * len(self.own))
-        self.token, self.inside, self.hash = np.zeros(n, np.uint16), np.zeros(n), np.zeros(n, np.int64)
-        self.token[: len(self.own)] = np.arange(len(self.own))
+        self.known: dict[bytes, int] = {}
+        self.token, self.inside, self.hash = np.zeros(1024, np.uint16), np.zeros(1024), np.zeros(1024, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         at = len(self.known)
@@ -76,11 +77,14 @@ class Lexicon:
             self.token, self.inside, self.hash = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.token, self.inside, self.hash))
         self.known.update(zip(new, range(at, end), strict=True))
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-        tokens, hashes = (len(self.own) + hashes % np.uint64(self.buckets)).astype(np.uint16), hashes.view(np.int64)
+        tokens, hashes = (self.base + hashes % np.uint64(self.buckets)).astype(np.uint16), hashes.view(np.int64)
         spot = np.minimum(np.searchsorted(self.held, hashes), len(self.held) - 1)
-        here = self.held[spot] == hashes
-        self.token[at:end], self.hash[at:end] = tokens, hashes
-        self.inside[at:end] = np.where(here, self.held_logs[spot] - self.logs[tokens], np.nan)
+        inside = np.where(self.held[spot] == hashes, self.held_logs[spot] - self.logs[tokens], np.nan)
+        if self.base:
+            spot = np.minimum(np.searchsorted(self.own, hashes), self.base - 1)
+            mine = self.own[spot] == hashes
+            tokens[mine], inside[mine] = self.number[spot[mine]], 0
+        self.token[at:end], self.hash[at:end], self.inside[at:end] = tokens, hashes, inside
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
         """Tokens; the sum of log p(word | bucket) but for the counts not held; the hashes of the words those belong to."""
@@ -195,36 +199,35 @@ def _chunks(found: Iterator[tuple], least: int) -> Iterator[list[tuple]]:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """Every word of all texts with its 64-bit hash and its count: word, hash, n.  A table in the shared folder that grows with the input."""
-    kinds = pa.schema([("word", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+    """The count of every word of all texts: hash (64 bits; two of 10 million words share one with a chance of 1 in 100,000), n.  A table in
+    the shared folder that grows with the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
-        def spill() -> pa.RecordBatch:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64).view(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(hashes), pa.array(list(seen.values()), pa.int64())], schema=kinds)
+        def handed() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+            out = pa.RecordBatch.from_pydict({"hash": hashes, "n": np.fromiter(seen.values(), np.int64, len(seen))})
             seen.clear()
             return out
 
         for (text,) in rows_of(batches, "text"):
             seen.update(words_of(text, lower=True))
-            if len(seen) > HASHES_KEPT:
-                yield spill()
-        yield spill()
+            if len(seen) > COUNTED:
+                yield handed()
+        yield handed()
 
-    return written(rows.select("text").mapInArrow(count, "word string, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")), "lm-words")
+    return written(rows.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "lm-words")
 
 
-def vocabulary(words: DataFrame, shape: Shape) -> list[str]:
-    """The most frequent words; ``own`` of them reach the driver."""
-    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(shape.own).collect()]
+def vocabulary(words: DataFrame, shape: Shape) -> list[int]:
+    """Hashes of the most frequent words; ``own`` of them reach the driver."""
+    return [r.hash for r in words.orderBy(F.desc("n"), "hash").limit(shape.own).collect()]
 
 
-def _in_buckets(words: DataFrame, own: list[str], shape: Shape) -> tuple[DataFrame, np.ndarray]:
+def _in_buckets(words: DataFrame, own: list[int], shape: Shape) -> tuple[DataFrame, np.ndarray]:
     """Counts of the words that share a bucket (hash, n), and the log of each token's total count (0 for a word with a token of its own)."""
-    mine = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own], np.uint64).view(np.int64).tolist()
-    rare = words.where(~F.col("hash").isin(mine)).groupBy("hash").agg(F.sum("n").alias("n")) if own else words.select("hash", "n")
+    rare = words.where(~F.col("hash").isin(own)) if own else words
     buckets = shape.tokens - len(own)
     logs = np.zeros(shape.tokens)
     spot = F.pmod(F.pmod("hash", F.lit(buckets)) + F.when(F.col("hash") < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets))
@@ -233,15 +236,15 @@ def _in_buckets(words: DataFrame, own: list[str], shape: Shape) -> tuple[DataFra
     return rare, logs
 
 
-def encoded(rows: DataFrame, own: list[str], rare: DataFrame, logs: np.ndarray, shape: Shape, total: int, rounds: int) -> DataFrame:
+def encoded(rows: DataFrame, own: list[int], rare: DataFrame, logs: np.ndarray, shape: Shape, total: int, rounds: int) -> DataFrame:
     """Every text as tokens, written once for training and scoring: doc_id, place (unique), key, shard, ids (16 bits each), inside, away,
     turn.
 
     A row's shard is drawn by a hash of id and text from as many as hold ``SHARD_TOKENS`` tokens each, and turn is the round that
     trains on it, so both depend on the rows and not on how they are split among files or tasks.
     """
-    top = sorted((r.hash, r.n) for r in rare.orderBy(F.desc("n"), "hash").limit(COUNTS_HELD).collect()) or [(0, 1)]
-    held, held_logs = np.array([h for h, _ in top], np.int64), np.log(np.array([n for _, n in top], np.float64))
+    top = rare.orderBy(F.desc("n"), "hash").limit(COUNTS_HELD).toArrow().sort_by("hash")
+    held, held_logs = (top["hash"].to_numpy(), np.log(top["n"].to_numpy())) if len(top) else (np.zeros(1, np.int64), np.zeros(1))
     kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary()), ("inside", pa.float64()), ("away", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

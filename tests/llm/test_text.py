@@ -211,7 +211,9 @@ def plain_log_likelihood(words, own, counts, p, shape):
     import xxhash
 
     buckets = shape.tokens - len(own)
-    token = lambda w: own.index(w) if w in own else len(own) + xxhash.xxh64_intdigest(w.encode()) % buckets
+    number = lambda w: xxhash.xxh64_intdigest(w.encode())
+    signed = lambda w: number(w) - (number(w) >> 63 << 64)
+    token = lambda w: own.index(signed(w)) if signed(w) in own else len(own) + number(w) % buckets
     share = Counter()
     for w, n in counts.items():
         share[token(w)] += n
@@ -222,7 +224,7 @@ def plain_log_likelihood(words, own, counts, p, shape):
         h = np.tanh(p["bias"] + sum(p["inputs"][k][t] for k, t in enumerate(around)))
         c, m = divmod(line[i], shape.members)
         total += np.log(softmax(h @ p["class_out"] + p["class_bias"])[c]) + np.log(softmax(h @ p["member_out"][c] + p["member_bias"][c])[m])
-        if w not in own:
+        if signed(w) not in own:
             total += np.log(counts[w] / share[line[i]])
     return total
 
