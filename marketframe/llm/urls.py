@@ -13,10 +13,12 @@ from marketframe.llm.common import written
 
 #: (host, start of the path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Words that mark the hosts from which the classifier learns what else such hosts are called and publish.
+#: Words that a blocked site's name may hold: a prior, not labels.  ``SEED_ODDS``: how much likelier each is taken to be in the block class
+#: than elsewhere, before any page is counted.
 BLOCK_WORDS = ["ads", "adult", "bet", "bets", "bingo", "casino", "cheap", "jackpot", "loans", "pills", "poker", "porn", "spam", "track", "viagra", "warez", "xxx"]
-#: Letters of the longest word that the segmentation may take.
-LONGEST = 20
+SEED_ODDS = 50.0
+#: Letters of the longest word that the segmentation may take: a whole host label.
+LONGEST = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,44 +79,57 @@ def segmented(tokens: DataFrame, unigrams: DataFrame, total: float) -> DataFrame
     return tokens.join(known, "token", "left").mapInPandas(split, "token string, words array<string>")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, *, block_words: list[str] = BLOCK_WORDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _tokens_of(path: Column) -> Column:
+    """Runs of letters and digits in lower case; a number, whatever it is, is the token ``0``."""
+    return F.transform(F.filter(F.split(F.lower(path), "[^a-z0-9]+"), lambda t: t != ""), lambda t: F.regexp_replace(t, "^[0-9]+$", "0"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, *, block_words: list[str] = BLOCK_WORDS, trained_on: Column | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, score, words for every row of ``pages``.
 
     verdict: the longest fitting rule's, else 'block' if the naive Bayes score is above 0.  Unigrams: words of all pages' texts without
-    markup, and the block words once each.  Host names are split at everything but letters, then by unigram Viterbi.  Classes: pages
-    whose host has a block word, and all others; multinomial counts of host words and path tokens over all pages, one added to each.
-    score: log odds of block, prior included.
+    markup, and the block words once each.  Host names are split at everything but letters, then by unigram Viterbi.
+
+    Classes: pages that a rule blocks, and all other pages of the crawl; so the classifier learns how hosts are called and what their
+    paths hold where the rules block, against the rest.  Multinomial counts of host words and path tokens over all pages; each class is
+    smoothed by as many tokens as there are different ones, drawn as in all pages together, so that a token without evidence counts
+    for neither class.  ``block_words`` are a prior: each has ``SEED_ODDS`` besides.  score: log odds of block, prior included.
+    ``trained_on``: which pages the counts are taken from (a condition on host and path; all by default).
 
     Null urls, and urls without ``://``, have an empty host and path, and only the prior.  Ties (score 0) are allowed.  Repeated ids
-    are judged row by row.  Null html has no words.  An empty table gives no rows.  Equal hosts and paths are judged once and joined
-    back, so neither a hot host nor a hot path gathers in one task.
+    are judged row by row.  Null html has no words.  An empty table gives no rows.  Counts are summed by host and by path before
+    anything is joined; the odds of a host or path come back by plain joins of rows with written tables, whose hot keys Spark splits.
     """
     plain = F.regexp_replace(F.regexp_replace(F.lower(html_col), r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
     lexicon = pages.sparkSession.createDataFrame([(w,) for w in block_words], "word string")
-    unigrams = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(rf"(?<![a-z])[a-z]{{1,{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word")).unionByName(lexicon)
+    found = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{LONGEST}}}+(?!\p{{L}})"), F.lit(0))).alias("word"))
+    unigrams = found.where(F.col("word").rlike("^[a-z]+$")).unionByName(lexicon)  # what a host's name can hold
     unigrams = written(unigrams.groupBy("word").agg(F.count("*").alias("count")), "unigrams")
     total = float(unigrams.agg(F.sum("count")).first()[0] or 1)
 
-    rows = written(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), "urls")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    parts = hosts.select("host", "pages", F.posexplode_outer(F.regexp_extract_all("host", F.lit("[a-z]{1,63}"), F.lit(0))).alias("at", "token"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = written(rows.withColumn("best", rule_for(F.col("host"), F.col("path"), rules)), "urls")
+    kept = rows if trained_on is None else rows.where(trained_on)
+    b, a = F.count_if(F.col("best.verdict") == "block").alias("b"), F.count_if(~F.coalesce(F.col("best.verdict") == "block", F.lit(False))).alias("a")
+    hosts = rows.select("host").distinct().join(kept.groupBy("host").agg(b, a), "host", "left")
+    parts = hosts.select("host", "b", "a", F.posexplode_outer(F.regexp_extract_all("host", F.lit(f"[a-z]{{1,{LONGEST}}}"), F.lit(0))).alias("at", "token"))
     split = segmented(parts.where("token is not null").select("token").distinct(), unigrams, total)
-    named = parts.join(split, "token", "left").groupBy("host", "pages").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: F.coalesce(p["words"], F.array().cast("array<string>")))).alias("words"))
-    named = written(named.withColumn("block", F.arrays_overlap("words", F.array(*map(F.lit, block_words)))), "hosts")
-
-    tokens_of = F.filter(F.split(F.lower("path"), "[^a-z0-9]+"), lambda t: t != "")
-    paths = written(rows.join(named.select("host", "block"), "host").groupBy("path", "block").agg(F.count("*").alias("pages")), "paths")
-    weighted = named.select("block", "pages", F.explode("words").alias("token")).unionByName(paths.select("block", "pages", F.explode(tokens_of).alias("token")))
-    counts = written(weighted.groupBy("token").agg(F.sum(F.when(F.col("block"), F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block"), 0).otherwise(F.col("pages"))).alias("a")), "tokens")
-    sums = counts.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
-    nb, na, v = (sums.b or 0) + sums.v + 1, (sums.a or 0) + sums.v + 1, sums.v
-    odds = counts.select("token", (F.log((F.col("b") + 1) / F.lit(float(nb))) - F.log((F.col("a") + 1) / F.lit(float(na)))).alias("odds"))
-    kinds = named.agg(F.sum(F.when(F.col("block"), F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block"), 0).otherwise(F.col("pages"))).alias("a")).first()
-    prior = log((kinds.b or 0) + 1) - log((kinds.a or 0) + 1)
-
-    by_host = named.select("host", F.explode("words").alias("token")).join(odds, "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
-    by_path = paths.select("path").distinct().select("path", F.explode(tokens_of).alias("token")).join(odds, "token").groupBy("path").agg(F.sum("odds").alias("path_odds"))
-    best = rule_for(F.col("host"), F.col("path"), rules)
-    scored = rows.join(named.select("host", "words").join(by_host, "host", "left"), "host", "left").join(by_path, "path", "left")
+    named = parts.join(split, "token", "left").groupBy("host", "b", "a").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: F.coalesce(p["words"], F.array().cast("array<string>")))).alias("words"))
+    named = written(named, "hosts")
+
+    counted = named.where("b is not null").select("b", "a", F.explode("words").alias("token")).unionByName(kept.groupBy("path").agg(b, a).select("b", "a", F.explode(_tokens_of(F.col("path"))).alias("token")))
+    counts = written(counted.groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "tokens")
+    seeds = lexicon.select(F.col("word").alias("token")).distinct()
+    sums = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count("*").alias("v")).first()
+    drawn = (F.col("b") + F.col("a")) * F.lit(sums.v / max(1, sums.b + sums.a))
+    each = F.log((F.col("b") + drawn) / F.lit(float(sums.b + sums.v))) - F.log((F.col("a") + drawn) / F.lit(float(sums.a + sums.v)))
+    seeds = lexicon.select(F.col("word").alias("token"), F.lit(log(SEED_ODDS)).alias("odds")).distinct()
+    odds = written(counts.select("token", each.alias("odds")).unionByName(seeds).groupBy("token").agg(F.sum("odds").alias("odds")), "odds")
+    kinds = kept.agg(b, a).first()
+    prior = log(kinds.b + 1) - log(kinds.a + 1)
+
+    by_host = named.select("host", "words", F.explode_outer("words").alias("token")).join(odds, "token", "left").groupBy("host").agg(F.first("words").alias("words"), F.sum("odds").alias("host_odds"))
+    by_path = rows.select("path").distinct().select("path", F.explode(_tokens_of(F.col("path"))).alias("token")).join(odds, "token").groupBy("path").agg(F.sum("odds").alias("path_odds"))
+    scored = rows.join(written(by_host, "host-odds"), "host", "left").join(written(by_path, "path-odds"), "path", "left")
     score = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
-    return scored.withColumn("best", best).withColumn("score", score).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score", F.array_join("words", " ").alias("words"))
+    return scored.withColumn("score", score).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score", F.array_join("words", " ").alias("words"))

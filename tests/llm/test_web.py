@@ -1,6 +1,8 @@
 """URL filters and revisit resolution."""
 
 import random
+import re
+from collections import Counter
 from math import log
 from pathlib import Path
 
@@ -62,16 +64,40 @@ def test_viterbi_is_the_best_split():
         assert "".join(words) == token and abs(total - best(len(token))) < 1e-9
 
 
-def test_classifier_on_held_out_hosts(spark):
-    """Hosts without a seed word are judged by the words and paths that they share with hosts that have one."""
+def crawl():
+    """Pages of which one rule blocks a part; others share words with the blocked ones, or with none."""
     rng = random.Random(2)
-    block = [f"http://casino-{rng.choice(['lucky', 'vegas', 'royal'])}{k % 7}.test/win/{k}" for k in range(60)]
+    block = [f"http://{rng.choice(['lucky', 'vegas', 'royal'])}win{k % 7}.bad.test/win/{k}" for k in range(60)]
     allow = [f"http://{rng.choice(['garden', 'museum', 'school'])}-{k % 7}.test/read/{k}" for k in range(120)]
     held = [f"http://lucky-vegas{k}.test/win/{900 + k}" for k in range(10)] + [f"http://school-garden{k}.test/read/{900 + k}" for k in range(10)]
-    html = "<p>lucky vegas royal garden museum school casino win read test</p>"
-    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(block + allow + held)], "page_id long, url string, html string")
-    out = {r.page_id: r.verdict for r in urls.judge_urls(pages, []).collect()}
-    assert [out[180 + k] for k in range(20)] == ["block"] * 10 + ["allow"] * 10
+    html = "<p>lucky vegas royal garden museum school win read test bad</p>"
+    return [(i, u, html) for i, u in enumerate(block + allow + held + [None, "x", "http://casino.test/", "http://casino.test/"])]
+
+
+def test_classifier_on_held_out_hosts(spark):
+    """No rule fits these hosts, and none has a seed word: the words that they share with blocked or other hosts judge them."""
+    pages = spark.createDataFrame(crawl(), "page_id long, url string, html string")
+    out = {r.page_id: r for r in urls.judge_urls(pages, [("bad.test", "/", "block")], block_words=[]).collect()}
+    assert [out[180 + k].verdict for k in range(20)] == ["block"] * 10 + ["allow"] * 10
+    assert [out[i].rule for i in (0, 180)] == ["bad.test/", None]
+
+
+def test_scores_are_the_plain_naive_bayes_ones(spark):
+    pages = spark.createDataFrame(crawl(), "page_id long, url string, html string").repartition(3)
+    seeds, rules = ["casino", "royal"], [("bad.test", "/", "block")]
+    out = urls.judge_urls(pages, rules, block_words=seeds).collect()
+    tokens = lambda r: r.words.split() + ["0" if t.isdigit() else t for t in re.split("[^a-z0-9]+", r.path.lower()) if t]
+    blocked = {r.page_id for r in out if r.rule}
+    count = {c: Counter(t for r in out if (r.page_id in blocked) == c for t in tokens(r)) for c in (True, False)}
+    both, v = count[True] + count[False], len(count[True] + count[False])
+    total = sum(both.values())
+
+    def odds(t):
+        share = [log((count[c][t] + v * both[t] / total) / (sum(count[c].values()) + v)) for c in (True, False)] if both[t] else [0.0, 0.0]
+        return share[0] - share[1] + (log(urls.SEED_ODDS) if t in seeds else 0.0)
+
+    prior = log(len(blocked) + 1) - log(len(out) - len(blocked) + 1)
+    assert len(out) == 204 and all(abs(r.score - prior - sum(map(odds, tokens(r)))) < 1e-9 for r in out)
 
 
 CAPTURES = "record_id long, url string, at long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
