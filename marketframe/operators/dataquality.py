@@ -87,19 +87,32 @@ def date_gaps(calendar: Calendar, bars: DataFrame) -> DataFrame:
     return due.join(bars.select("trade_date").distinct(), "trade_date", "left_anti")
 
 
-def report(universe: DataFrame, calendar: Calendar, bars: DataFrame, columns: Sequence[str], threshold: float = 0.01) -> DataFrame:
-    """dimension, n_missing, worst_ratio, status of the three dimensions, and of all: the worst of them.
+def report(universe: DataFrame, calendar: Calendar, bars: DataFrame, columns: Sequence[str], threshold: float = 0.01, shown: int = 5) -> DataFrame:
+    """dimension, n_missing, worst_ratio, status, samples, reason of the three dimensions, and of all: the worst of them.
 
-    How a dimension is graded is our own rule: no bars at all 'fail'; something missing, or a ratio above the threshold, 'warn'.
+    samples: the ``shown`` smallest missing codes or dates, or the columns with the largest ratios (``column: ratio``); a report's top
+    rows, however many are missing.  reason: why a dimension is not ok, else null.  How a dimension is graded is our own rule: no bars
+    at all 'fail'; something missing, or a ratio above the threshold, 'warn'.
     """
     empty = F.lit(bars.limit(1).count() == 0)
-    counted = lambda name, gaps: gaps.agg(F.lit(name).alias("dimension"), F.count("*").alias("n_missing"), F.lit(None).cast("double").alias("worst_ratio"))
-    top = null_ratios(bars, columns).agg(F.lit("null_ratio").alias("dimension"), F.count_if(F.col("null_ratio") > threshold).alias("n_missing"), F.max("null_ratio").alias("worst_ratio"))
-    parts = reduce(DataFrame.unionByName, [counted("stock_coverage", stock_gaps(universe, bars)), counted("date_coverage", date_gaps(calendar, bars)), top])
+    first = lambda gaps, c: gaps.select(F.col(c).cast("string").alias("s")).orderBy("s").limit(shown).agg(F.array_sort(F.collect_list("s")).alias("samples"))
+
+    def counted(name: str, gaps: DataFrame, column: str) -> DataFrame:
+        n = gaps.agg(F.lit(name).alias("dimension"), F.count("*").alias("n_missing"), F.lit(None).cast("double").alias("worst_ratio"))
+        return n.join(first(gaps, column).withColumn("_of", F.lit(name)), F.col("dimension") == F.col("_of")).drop("_of")
+
+    ratios = null_ratios(bars, columns)
+    bad = F.col("null_ratio") > threshold
+    text = lambda x: F.concat(x["column_name"], F.lit(": "), F.format_number(x["null_ratio"], 4))
+    worst_first = F.slice(F.sort_array(F.collect_list(F.when(bad, F.struct((-F.col("null_ratio")).alias("minus"), "column_name", "null_ratio")))), 1, shown)
+    top = ratios.agg(F.lit("null_ratio").alias("dimension"), F.count_if(bad).alias("n_missing"), F.max("null_ratio").alias("worst_ratio"), F.transform(worst_first, text).alias("samples"))
+    parts = reduce(DataFrame.unionByName, [counted("stock_coverage", stock_gaps(universe, bars), "stock_code"), counted("date_coverage", date_gaps(calendar, bars), "trade_date"), top])
     graded = parts.withColumn("severity", F.when(empty, 2).when(F.col("n_missing") > 0, 1).otherwise(0))
-    total = graded.agg(F.lit("overall").alias("dimension"), F.sum("n_missing").alias("n_missing"), F.max("worst_ratio").alias("worst_ratio"), F.max("severity").alias("severity"))
+    what = F.when(F.col("dimension") == "stock_coverage", "codes without a bar").when(F.col("dimension") == "date_coverage", "sessions without a bar").otherwise(f"columns above {threshold:g}")
+    graded = graded.withColumn("reason", F.when(empty, "no bars").when(F.col("n_missing") > 0, F.concat(F.col("n_missing").cast("string"), F.lit(" "), what)))
+    total = graded.agg(F.lit("overall").alias("dimension"), F.sum("n_missing").alias("n_missing"), F.max("worst_ratio").alias("worst_ratio"), F.array().cast("array<string>").alias("samples"), F.max("severity").alias("severity"), F.lit(None).cast("string").alias("reason"))
     status = F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.col("severity") + 1)
-    return graded.unionByName(total).select("dimension", "n_missing", "worst_ratio", status.alias("status"))
+    return graded.unionByName(total).select("dimension", "n_missing", "worst_ratio", status.alias("status"), "samples", "reason")
 
 
 def exit_code(status: str) -> int:
@@ -107,6 +120,6 @@ def exit_code(status: str) -> int:
     return SEVERITY[status]
 
 
-def must_rebuild(rows: int, universe_size: int) -> bool:
-    """An implausibly small table: some rows, but fewer than 10 and than a quarter of the universe."""
-    return 0 < rows < min(10, universe_size / 4)
+def must_rebuild(rows: int | Column, universe_size: int) -> bool | Column:
+    """An implausibly small table: some rows, but fewer than 10 and than a quarter of the universe.  Of a number, or of a column."""
+    return (rows > 0) & (rows < min(10, universe_size / 4))

@@ -53,6 +53,11 @@ def tally(df: DataFrame, group: str, success: str, rows: str, code: str) -> Data
     return df.groupBy(group).agg(F.count_if(F.col(success)).alias("n_ok"), F.count_if(~F.col(success)).alias("n_failed"), F.sum(rows).alias("total_rows"), failed.alias("failed_codes"))
 
 
+def failed(df: DataFrame, code: str, success: str) -> DataFrame:
+    """A row for each code that failed, with how often: the form for any number of codes (``tally`` gathers them for its report)."""
+    return df.where(~F.col(success)).groupBy(code).agg(F.count("*").alias("n_failed"))
+
+
 def map_tables(df: DataFrame, code: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows that ``fn`` makes of each code's rows, codes whose call failed or gave no rows)."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import from_dotted_code, to_day, to_full_stock_code, to_number
@@ -97,7 +97,7 @@ def adj_factor_b(raw: DataFrame, *, start: str | None = None, end: str | None =
 def adj_factor_panel(parts: Sequence[DataFrame]) -> DataFrame:
     """Factors of many sources in order of day and code; none gives an empty typed table."""
     if not parts:
-        raise ValueError("adj_factor_panel needs a frame to take its session from")
+        return SparkSession.active().createDataFrame([], "trade_date date, stock_code string, adj_factor double")
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 FIELDS = ["open", "high", "low", "close", "volume"]
 MATRIX = [*FIELDS, "adj_close"]
+#: Date axes longer than this are not broadcast.
+AXIS_BROADCAST = 100_000
 
 
 class Panel:
@@ -16,7 +18,7 @@ class Panel:
 
     ``codes``: the columns, in that order; none or an empty list means every code, ascending.  Dates are those that the selection has.
     A cell without a bar is null.  adj_close is the bars' own column of that name, else their close.  A day and code that occur twice
-    are an error (``checked``) or the grid would silently take one of them.
+    are an error: at once if ``checked``, else when the rows are computed.
     """
 
     def __init__(self, bars: DataFrame, codes: Sequence[str] | None = None, *, checked: bool = False) -> None:
@@ -34,24 +36,29 @@ class Panel:
         adj = F.col("adj_close") if "adj_close" in bars.columns else F.col("close") if "close" in bars.columns else F.lit(None)
         self.bars = bars.select("trade_date", "stock_code", *fields, adj.cast("double").alias("adj_close"))
 
-    @property
-    def grid(self) -> DataFrame:
-        """Every (t, n): each code with all places of the date axis, dates by equal place."""
-        size = self.dates.count()
-        if not size:
-            return self.stocks.limit(0).select(F.lit(0).cast("long").alias("t"), F.lit(None).cast("date").alias("trade_date"), "n", "stock_code")
-        each = self.stocks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
-        return each.join(F.broadcast(self.dates) if size < 100_000 else self.dates, "t").select("t", "trade_date", "n", "stock_code")
-
     def rows(self) -> DataFrame:
-        return self.grid.join(self.bars, ["trade_date", "stock_code"], "left").select("t", "trade_date", "n", "stock_code", *MATRIX)
+        """The dense grid.  One shuffle, on the code: a code's bars (at most one for each date) come together and are spread over all
+        places of the date axis; the cells stay where they are, and so does what ``returns`` adds.  Dates and codes are joined as
+        broadcasts while they are few."""
+        size = self.dates.count()
+        axis = F.broadcast(self.dates) if size < AXIS_BROADCAST else self.dates
+        bar = F.struct(*MATRIX)
+        placed = self.bars.join(axis, "trade_date").join(self.stocks, "stock_code").select("n", "stock_code", F.struct("t", bar.alias("bar")).alias("cell"))
+        none = self.stocks.select("n", "stock_code", F.lit(None).cast(placed.schema["cell"].dataType).alias("cell"))  # codes without a bar
+        by_code = placed.unionByName(none).groupBy("n", "stock_code").agg(F.collect_list("cell").alias("cells"))
+        empty = F.lit(None).cast(placed.select("cell.bar").schema["bar"].dataType).alias("bar")
+        places = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")) if size else F.array().cast("array<long>")
+        spread = by_code.select("n", "stock_code", F.explode(F.concat(F.transform(places, lambda t: F.struct(t.alias("t"), empty)), "cells")).alias("c"))
+        once = F.when(F.count("c.bar") > 1, F.raise_error(F.concat(F.lit("a day and code occur more than once: "), F.first("stock_code")))).otherwise(F.first("c.bar", ignorenulls=True))
+        cells = spread.groupBy("n", "stock_code", F.col("c.t").alias("t")).agg(once.alias("bar"))
+        return cells.join(axis, "t").select("t", "trade_date", "n", "stock_code", *(F.col(f"bar.{c}").alias(c) for c in MATRIX))
 
     def returns(self, kind: str = "simple") -> DataFrame:
         """t, trade_date, n, stock_code, ret against the session before; null on the first, or if either price is missing or unfit.
 
         'simple': p / p_before - 1; 'log': its logarithm.  A price of 0 before, and a ratio that has no logarithm, give null.
         """
-        before = F.lag("adj_close").over(Window.partitionBy("stock_code").orderBy("t"))
+        before = F.lag("adj_close").over(Window.partitionBy("n", "stock_code").orderBy("t"))
         ratio = F.try_divide(F.col("adj_close"), before)
         if kind == "simple":
             value: Column = ratio - 1
@@ -63,7 +70,7 @@ class Panel:
 
     def active_mask(self, asof: str) -> DataFrame:
         """n, stock_code, is_active: whether each code has a price on that date; all false if the date is not in the panel."""
-        on = self.bars.where(F.col("trade_date") == F.lit(asof).cast("date")).where("adj_close is not null").select("stock_code", F.lit(True).alias("_on"))
+        on = self.bars.where(F.col("trade_date") == F.lit(asof).cast("date")).where("adj_close is not null").select("stock_code", F.lit(True).alias("_on")).distinct()
         return self.stocks.join(on, "stock_code", "left").select("n", "stock_code", F.coalesce("_on", F.lit(False)).alias("is_active"))
 
     def matrix(self) -> DataFrame:
@@ -72,5 +79,6 @@ class Panel:
         return self.rows().groupBy("t", "trade_date").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["cell"]).alias("cells"))
 
     def wide(self, field: str, codes: Sequence[str]) -> DataFrame:
-        """One row for each date, one column for each of ``codes``; null where there is no bar."""
-        return self.bars.groupBy("trade_date").pivot("stock_code", list(codes)).agg(F.first(field))
+        """One row for each date, one column for each of ``codes``; null where there is no bar; an error where there are two."""
+        once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a day and code occur more than once")).cast("double")).otherwise(F.first(field))
+        return self.bars.groupBy("trade_date").pivot("stock_code", list(codes)).agg(once)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -437,7 +438,7 @@ def null_ratio(d: Domain) -> DataFrame:
     UNION ALL SELECT 'date_coverage', count(*), NULL FROM calendar WHERE trade_date BETWEEN (SELECT min(trade_date) FROM bars_wide) AND (SELECT max(trade_date) FROM bars_wide) AND trade_date NOT IN (SELECT trade_date FROM bars_wide)
     UNION ALL SELECT 'null_ratio', count(*) FILTER (null_ratio > 0.01), max(null_ratio) FROM r"""))
 def quality_overall(d: Domain) -> DataFrame:
-    return Q.report(d.universe(), Calendar(d.calendar()), _gaps(d), ["high", "amount", "volume"])
+    return Q.report(d.universe(), Calendar(d.calendar()), _gaps(d), ["high", "amount", "volume"]).drop("samples", "reason")
 
 
 # Universe
@@ -495,8 +496,7 @@ def throttle_gate(d: Domain) -> DataFrame:
 
 @query(sql("SELECT o_custkey, row_count, row_count > 0 AND row_count < least(10e0, (SELECT count(*) FROM part) / 4e0) rebuild FROM m", **_LAST))
 def small_table_gate(d: Domain) -> DataFrame:
-    limit = min(10.0, d.table("part").count() / 4)
-    return _manifest(d).select("o_custkey", "row_count", ((F.col("row_count") > 0) & (F.col("row_count") < limit)).alias("rebuild"))
+    return _manifest(d).select("o_custkey", "row_count", Q.must_rebuild(F.col("row_count"), d.table("part").count()).alias("rebuild"))
 
 
 def _mapped(d: Domain) -> DataFrame:
@@ -539,16 +539,18 @@ def map_tables(d: Domain) -> DataFrame:
 # Stored tables
 
 
-def _root(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+def new_root(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only in local mode, and where ``spark.checkpoint.dir`` is unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/market-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="spark-market-")
 
 
 @query(sql("SELECT trade_date, stock_code, CAST(NULL AS DOUBLE) AS open, high, low, CAST(NULL AS DOUBLE) AS close, CASE WHEN trade_date >= DATE '1997-01-01' THEN amount * 2 ELSE amount END amount, volume FROM bars_wide", "bars_wide"))
 def table_upsert(d: Domain) -> DataFrame:
     """Two upserts into a stored table, the second of which touches only its own years, then a read."""
-    table = Table(d.spark, _root(d.spark), "Stock_KData")
+    table = Table(d.spark, new_root(d.spark), "Stock_KData")
     full = [F.lit(None).cast("double").alias(c) if c in ("open", "close") else F.col(c) for c in table.spec.columns]
     for part in d.upsert_pair():
         table.upsert(part.select(*full))
@@ -560,7 +562,7 @@ def stream_upsert(d: Domain) -> DataFrame:
     """Bars landed as files and read as a stream of upserts until all is there."""
     from marketframe.streaming.upsert import stream_upsert as run
 
-    root = _root(d.spark)
+    root = new_root(d.spark)
     landed = f"{root}/landed"
     d.bars().withColumn("seq", F.lit(1)).write.parquet(landed)
     stream = d.spark.readStream.schema(d.spark.read.parquet(landed).schema).parquet(landed)

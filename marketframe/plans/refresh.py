@@ -31,6 +31,11 @@ class Summary:
     rows: int = 0
 
 
+def due(updated: date, today: date) -> bool:
+    """Whether dividends are to be loaded again."""
+    return (today - updated).days >= DIVIDEND_DAYS
+
+
 def ranked(landed: DataFrame, name: str, source: str | None = None) -> DataFrame:
     """Rows of the first source, in the dataset's order, that has any for each code; or those of one named source."""
     if "source" not in landed.columns:
@@ -55,7 +60,7 @@ def refresh(spark: SparkSession, root: str, name: str, landed: DataFrame, today:
     start, end = default, today
     fresh = full or now is None or not table.exists()
     if spec.name == "Dividend_History":
-        if not fresh and (today - now.updated_at.date()).days < DIVIDEND_DAYS:
+        if not fresh and not due(now.updated_at.date(), today):
             return Summary(spec.name, "up_to_date")
         fresh = True
     elif not fresh:

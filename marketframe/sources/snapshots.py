@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -21,7 +21,7 @@ from marketframe.operators.relational import in_order, keys_of, scan, upserted
 from marketframe.specs import DatasetSpec, spec_of
 
 _POINTER = "seq long, snapshot string, years array<int>"
-MANIFEST = "type_name string, first_date date, last_date date, row_count long, code_count long, fingerprint string, schema_version string, universe_sha string, updated_at timestamp"
+MANIFEST = "type_name string, first_date date, last_date date, row_count long, code_count long, n_bytes long, fingerprint string, schema_version string, universe_sha string, updated_at timestamp"
 DEFAULT_START = date(2020, 1, 1)
 
 
@@ -50,11 +50,10 @@ class Table:
     def _pointer(self) -> tuple[int, dict[int | None, str]]:
         """(number of the newest pointer, snapshot folder by year; the key None holds an unpartitioned table)."""
         found = _read(self.spark, f"{self.path}/_pointer", _POINTER)
-        seq = None if found is None else found.agg(F.max("seq")).first()[0]
-        if seq is None:
+        newest = [] if found is None else found.groupBy("seq").agg(F.collect_list(F.struct("snapshot", "years")).alias("parts")).orderBy(F.desc("seq")).limit(1).collect()
+        if not newest:
             return 0, {}
-        rows = found.where(F.col("seq") == seq).collect()  # a row for each snapshot folder of the newest version
-        return seq, {y: r.snapshot for r in rows for y in (r.years if self.by_year else [None])}
+        return newest[0].seq, {y: r.snapshot for r in newest[0].parts for y in (r.years if self.by_year else [None])}
 
     def exists(self) -> bool:
         return self._pointer()[0] > 0
@@ -68,8 +67,8 @@ class Table:
         df = self.spark.read.schema(self._stored).parquet(at)
         return (df.where(F.col("_year").isin(list(years))) if years is not None else df).select(self.spec.columns)
 
-    def _all(self, years: Sequence[int] | None = None) -> DataFrame:
-        _, parts = self._pointer()
+    def _all(self, years: Sequence[int] | None = None, parts: dict[int | None, str] | None = None) -> DataFrame:
+        parts = self._pointer()[1] if parts is None else parts
         out = self.spark.createDataFrame([], self.spec.schema)
         folders: dict[str, list[int | None]] = {}
         for year, folder in parts.items():
@@ -87,43 +86,62 @@ class Table:
         """
         if manifest is not None and self.spec.format != "csv":
             manifest.check_version(self.spec)
-        if not self.exists():
+        seq, parts = self._pointer()
+        if not seq:
             raise FileNotFoundError(self.path)
-        years = list(range(int(str(start)[:4]), int(str(end)[:4]) + 1)) if start is not None and end is not None else None
-        df = scan(self._all(years), start=start, end=end, codes=codes, columns=columns, days=days, time_col=self.spec.time_col or "", code_col=self.spec.code_col or "")
+        first, last = int(str(start)[:4]) if start is not None else None, int(str(end)[:4]) if end is not None else None
+        years = None
+        if self.by_year and (start is not None or end is not None):  # a row without a day (year 0) is in no range
+            years = [y for y in parts if y and (first is None or y >= first) and (last is None or y <= last)]
+        df = scan(self._all(years, parts), start=start, end=end, codes=codes, columns=columns, days=days, time_col=self.spec.time_col or "", code_col=self.spec.code_col or "")
         return in_order(df) if ordered else df
 
-    def _publish(self, df: DataFrame, keep: dict[int | None, str]) -> None:
-        """Write ``df`` as a new snapshot, then the pointer to it and to the folders in ``keep``."""
-        seq, _ = self._pointer()
-        folder = f"snapshot-{seq + 1:08d}-{uuid.uuid4().hex[:8]}"
+    @property
+    def _year(self) -> Column:
+        return F.coalesce(F.year(self.spec.time_col), F.lit(0))
+
+    def _publish(self, df: DataFrame, keep: dict[int | None, str], years: Sequence[int], seq: int) -> dict[int | None, str]:
+        """Write ``df``, which has rows of ``years``, as snapshot ``seq``, then the pointer to it and to the folders in ``keep``.
+
+        Rows are dealt by year into files of even size (a large year is several, small ones are put together) and sorted by code and day
+        in each, so that both a range of days and a list of codes skip most of what is stored.
+        """
+        folder = f"snapshot-{seq:08d}-{uuid.uuid4().hex[:8]}"
         at, rows = f"{self.path}/{folder}", without_nan(df).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spec.schema))
+        own: list[int | None] = list(years) if self.by_year else [None]
         if self.spec.format == "csv":
             rows.write.option("header", True).csv(at)
-            own: list[int | None] = [None]
         elif self.by_year:
-            year = F.coalesce(F.year(self.spec.time_col), F.lit(0))
-            rows.withColumn("_year", year).repartition("_year", *self.spec.key).write.partitionBy("_year").parquet(at)
-            # the years that were written: a row for each
-            stored = _read(self.spark, at, self._stored)
-            own = [] if stored is None else [r[0] for r in stored.select("_year").distinct().collect()]
+            order = dict.fromkeys(["_year", *([self.spec.code_col] if self.spec.code_col else []), self.spec.time_col])
+            rows.withColumn("_year", self._year).hint("rebalance", "_year").sortWithinPartitions(*order).write.partitionBy("_year").parquet(at)
         else:
             rows.write.parquet(at)
-            own = [None]
-        parts: dict[str, list[int | None]] = {folder: own}
-        for year, old in keep.items():
-            parts.setdefault(old, []).append(year)
-        pointers = [(seq + 1, f, [y for y in years if y is not None]) for f, years in parts.items()]
-        self.spark.createDataFrame(pointers, _POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/_pointer")
+        parts = keep | dict.fromkeys(own, folder)
+        folders: dict[str, list[int]] = {folder: []}
+        for year, f in parts.items():
+            folders.setdefault(f, []).extend([] if year is None else [year])
+        self.spark.createDataFrame([(seq, f, y) for f, y in folders.items()], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/_pointer")
+        return parts
+
+    def _counted(self, df: DataFrame) -> tuple[int, list[int]]:
+        """(rows, years) from one pass; a year is one number, however many rows it has."""
+        years = F.sort_array(F.collect_set(self._year)) if self.by_year else F.array().cast("array<int>")
+        found = df.agg(F.count("*").alias("n"), years.alias("years")).first()
+        return found.n, found.years
 
     def write(self, df: DataFrame) -> int:
         """Replace the whole table; an empty one keeps its schema.  Returns its rows."""
-        self._publish(validated(df, self.spec), {})
-        return self._all().count()
+        df = df.persist()
+        try:
+            n, years = self._counted(validated(df, self.spec))
+            self._publish(df, {}, years, self._pointer()[0] + 1)
+        finally:
+            df.unpersist()
+        return n
 
     def truncate(self) -> None:
         """No rows any more; the dataset is still known."""
-        self._publish(self.spark.createDataFrame([], self.spec.schema), {})
+        self._publish(self.spark.createDataFrame([], self.spec.schema), {}, [], self._pointer()[0] + 1)
 
     def append(self, df: DataFrame) -> int:
         """Add rows whose keys are all new; KeyConflictError names the smallest that is not.  Returns the rows added."""
@@ -136,20 +154,29 @@ class Table:
         """
         new = without_nan(df).persist()  # looked at several times: rules, keys, years, rows
         try:
-            n = validated(new, self.spec).count()
+            n, years = self._counted(validated(new, self.spec))
             if not n:
                 return 0
-            _, parts = self._pointer()
-            years, keep = None, {}
-            if self.by_year:
-                years = [r[0] for r in new.select(F.coalesce(F.year(self.spec.time_col), F.lit(0))).distinct().collect()]
-                keep = {y: f for y, f in parts.items() if y not in years}
-            old = self._all(years)
+            seq, parts = self._pointer()
+            touched = years if self.by_year else None
+            old = self._all(touched, parts)
             before = old.count() if conflict == "ignore" else 0
-            self._publish(upserted(old, new, self.spec.key, conflict, dedup), keep)
+            parts = self._publish(upserted(old, new, self.spec.key, conflict, dedup), {y: f for y, f in parts.items() if touched is not None and y not in years}, years, seq + 1)
         finally:
             new.unpersist()
-        return self._all(years).count() - before if conflict == "ignore" else n
+        return self._all(touched, parts).count() - before if conflict == "ignore" else n
+
+    def files(self) -> DataFrame:
+        """One row: n_files and n_bytes of what the table is read from now."""
+        _, parts = self._pointer()
+        out = self.spark.createDataFrame([], "file_path string, file_size long")
+        for folder in sorted(set(parts.values())):
+            at = f"{self.path}/{folder}"
+            stored = self.spark.read.schema(self.spec.schema).option("header", True).csv(at) if self.spec.format == "csv" else self.spark.read.schema(self._stored if self.by_year else self.spec.schema).parquet(at)
+            if self.by_year:
+                stored = stored.where(F.col("_year").isin([y for y, f in parts.items() if f == folder]))
+            out = out.unionByName(stored.select("_metadata.file_path", "_metadata.file_size").distinct())
+        return out.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"))
 
     def keys(self) -> DataFrame:
         return keys_of(self._all(), self.spec.key)
@@ -187,7 +214,7 @@ class Manifest:
         df = table._all()
         sha = fingerprint(df).first()[0]
         stats = coverage(df, spec).withColumns({
-            "fingerprint": F.lit(sha), "schema_version": F.lit(spec.version), "universe_sha": F.lit(universe_sha or (now.universe_sha if now else None)).cast("string"), "updated_at": F.current_timestamp(),
+            "n_bytes": F.lit(table.files().first().n_bytes), "fingerprint": F.lit(sha), "schema_version": F.lit(spec.version), "universe_sha": F.lit(universe_sha or (now.universe_sha if now else None)).cast("string"), "updated_at": F.current_timestamp(),
         })
         self._append(stats, False)
 
@@ -230,15 +257,10 @@ def drifted(table: Table) -> bool:
 
 
 def status(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    """Coverage of every named dataset in one table; those never written have zeros."""
+    """Coverage and stored bytes of every named dataset in one table; those never written have zeros."""
     out = None
     for name in names:
         t = Table(spark, root, name)
-        row = coverage(t._all(), t.spec)
+        row = coverage(t._all(), t.spec).withColumn("_name", F.col("type_name")).join(t.files().withColumn("_of", F.lit(t.spec.name)), F.col("_name") == F.col("_of")).drop("_name", "_of")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def file_bytes(df: DataFrame) -> DataFrame:
-    """One row: files and bytes that a table is read from."""
-    return df.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marketframe.plans import stored
 from marketframe.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -45,5 +46,6 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
+    assert stored.refresh_bars.__name__ in QUERIES
     assert entry.entry(spark).columns == ["t", "trade_date", "n", "stock_code", "ret"]
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

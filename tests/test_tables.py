@@ -252,3 +252,28 @@ def test_migrate_legacy(spark, tmp_path):
     done = load.migrate_legacy(spark, str(tmp_path / "root"), str(tmp_path / "raw/*.csv"), str(tmp_path / "adj/*.csv"))
     assert done == {"Stock_KData_rows": 1, "Stock_KData_stocks": 1, "Stock_Basic_Data_rows": 1, "Stock_Basic_Data_stocks": 1}
     assert load.load_stock_basic_data(spark, str(tmp_path / "root"), None, None).first().adj_factor == 1.5
+
+
+def test_one_end_of_a_range_prunes_years(spark, tmp_path):
+    t = Table(spark, str(tmp_path), "Stock_KData")
+    t.write(bars(spark, ("2021-06-01", "000001.SZ", 1.0), ("2022-06-01", "600000.SH", 2.0), ("2023-06-01", "000001.SZ", 3.0), ("2023-06-02", "000001.SZ", 4.0)))
+    years = lambda df: {f.split("_year=")[1][:4] for f in df.inputFiles()}
+    assert years(t.read(start="2022-01-01")) == {"2022", "2023"} and years(t.read(end="2021-12-31")) == {"2021"} and years(t.read()) == {"2021", "2022", "2023"}
+    assert t.read(start="2022-01-01").count() == 3 and t.read(start="2030-01-01").count() == 0
+    assert len(list((tmp_path / "Stock_KData").glob("snapshot-*/_year=2023/*.parquet"))) == 1
+    assert t.files().first().n_files == 3 and t.files().first().n_bytes > 0
+
+
+def test_adjusted_and_doubled_panels(spark, tmp_path):
+    root = str(tmp_path)
+    Table(spark, root, "Stock_KData").write(bars(spark, ("2024-01-02", "000001.SZ", 2.0), ("2024-01-03", "000001.SZ", 4.0)))
+    factors = spark.createDataFrame([(D("2024-01-02"), "000001.SZ", 1.5)], "trade_date date, stock_code string, adj_factor double")
+    Table(spark, root, "Stock_Basic_Data").write(N.basic_data(factors))
+    assert [r.adj_close for r in load.load_kdata(spark, root, [], None, None, adjusted=True).rows().orderBy("t").collect()] == [3.0, None]
+    assert [r.adj_close for r in load.load_kdata(spark, root, [], None, None).rows().orderBy("t").collect()] == [2.0, 4.0]
+    twice = bars(spark, ("2024-01-02", "000001.SZ", 2.0), ("2024-01-02", "000001.SZ", 2.0), ("2024-01-03", "000001.SZ", 2.0))
+    for rows in (Panel(twice).rows(), Panel(twice).returns(), Panel(twice).wide("close", ["000001.SZ"])):
+        with pytest.raises(Exception, match="more than once"):
+            rows.collect()
+    none = N.adj_factor_panel([])
+    assert none.count() == 0 and none.columns == ["trade_date", "stock_code", "adj_factor"]
