@@ -31,34 +31,37 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
 
 
-def resolve_revisits(captures: DataFrame, *, buckets: int = 256) -> DataFrame:
+def resolve_revisits(captures: DataFrame, *, span_rows: int = 20_000) -> DataFrame:
     """As-of join of revisits with earlier full responses.
 
     ``captures``: record_id long, url string, at long (time), kind string ('response' or 'revisit'), etag, last_modified, digest
     strings, headers map.  Returns for every capture record_id, canonical_url, kind, source_id (the response that gives the body: its
     own id for a response), verdict and headers (merged for a resolved revisit, else its own).
 
-    A revisit's source is the latest response of its canonical URL that is strictly earlier in (at, record_id).  verdict: 'response';
-    'resolved' if each validator that both records state (etag without ``W/``, last_modified, digest) agrees and at least one is stated
-    by both; 'mismatch' if one differs; 'unvalidated' if none is stated by both; 'missing' if there is no earlier response.  Only
-    'resolved' has source_id and merged headers.
+    A revisit's source is the latest response of its canonical URL that is strictly earlier in (at, record_id); captures with the same
+    (at, record_id) are ordered by a hash of all that is in them, so the result is the same each time.  verdict: 'response'; 'resolved'
+    if each validator that both records state (etag without ``W/``, last_modified, digest) agrees and at least one is stated by both;
+    'mismatch' if one differs; 'unvalidated' if none is stated by both; 'missing' if there is no earlier response.  Only 'resolved' has
+    source_id and merged headers.
 
-    A URL may hold any share of the rows: time is cut into ``buckets`` equal spans, a window runs within (URL, span), and only each
-    span's last response is carried on to the later spans of its URL.  Null URLs never match; null times sort first and belong to
-    the first span; null kinds are kept with the verdict 'missing'.  Rows repeated with one id are separate captures.  Payloads are
-    not read; join them by source_id.
+    A URL may hold any share of the rows: captures in order of (URL, at, record_id) are dealt into ranges of about ``span_rows`` rows
+    each, whatever their times, a window runs within (URL, range), and only each range's last response is carried on to the later
+    ranges of its URL.  Null URLs never match; null times sort first; null kinds are kept with the verdict 'missing'.  Rows repeated
+    with one id are separate captures.  Payloads are not read; join them by source_id.
     """
     rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "at", "kind", "etag", "last_modified", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     rows = rows.withColumn("headers", F.map_from_entries(F.expr("transform(array_sort(map_entries(headers)), e -> struct(lower(e.key) as key, e.value as value))")))
-    rows = written(rows, "captures")
-    ends = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, width = (ends.lo or 0), max(1, -(-((ends.hi or 0) - (ends.lo or 0) + 1) // buckets))
-    full = F.when((F.col("kind") == "response") & F.col("canonical_url").isNotNull(), F.struct("at", "record_id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.withColumn("span", F.coalesce(F.floor((F.col("at") - lo) / width), F.lit(-1)).cast("long")).withColumn("full", full)
-    within = Window.partitionBy("canonical_url", "span").orderBy(F.col("at").asc_nulls_first(), F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    entries = F.map_entries("headers")
+    rows = rows.withColumn("tie", F.xxhash64("canonical_url", "kind", "etag", "last_modified", "digest", entries))
+    ranges = max(1, -(-captures.count() // span_rows))
+    # Written once, so that a range is the same for whoever reads it.
+    rows = written(rows.repartitionByRange(ranges, "canonical_url", "at", "record_id", "tie").withColumn("span", F.spark_partition_id()), "captures")
+    full = F.when((F.col("kind") == "response") & F.col("canonical_url").isNotNull(), F.struct("at", "record_id", "tie", "etag", "last_modified", "digest", "headers"))
+    rows = rows.withColumn("full", full)
+    within = Window.partitionBy("canonical_url", "span").orderBy(*(F.col(c).asc_nulls_first() for c in ("at", "record_id", "tie"))).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.last("full", ignorenulls=True).over(within))
-    # a row for each URL and span at most; what a span inherits is the last response of the spans before it
-    order = F.struct(F.coalesce("at", F.lit(-(1 << 62))), F.coalesce("record_id", F.lit(-(1 << 62))))
+    # a row for each URL and range at most; what a range inherits is the last response of the ranges before it
+    order = F.struct(F.coalesce("at", F.lit(-(1 << 62))), F.coalesce("record_id", F.lit(-(1 << 62))), "tie")
     lasts = rows.where("canonical_url is not null").groupBy("canonical_url", "span").agg(F.max_by("full", F.when(F.col("full").isNotNull(), order)).alias("last"))
     earlier = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(F.col("canonical_url").alias("u"), F.col("span").alias("s"), F.last("last", ignorenulls=True).over(earlier).alias("inherited"))
@@ -86,7 +89,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
     """The pages as a crawl in page_id order, with the headers that their servers would send.
 
     A page stands for its section's front page (the number in its path is dropped), so that a URL is captured again and again.  Two of three pages are full responses, the third a revisit.  A URL's content changes every 4,096 pages, so a revisit may come after
-    a change (mismatch); every fifth capture states a date instead of an entity tag.
+    a change (mismatch); every fifth capture states a date instead of an entity tag, and every fourth a digest of the version's body, which
+    servers that lag behind by 64 pages state late.
     """
     n = F.col("page_id").cast("long")
     front = F.regexp_replace("url", r"/[0-9]+(\.html)?/?", "/")
@@ -96,11 +100,12 @@ def captures_of(pages: DataFrame) -> DataFrame:
     kind = F.when(F.pmod(n, F.lit(3)) == 2, "revisit").otherwise("response")
     etag = F.when(~dated, F.concat(F.when(kind == "revisit", "W/").otherwise(""), F.lit('"'), F.substring(F.md5(version.cast("binary")), 1, 16), F.lit('"')))
     day = F.when(dated | (kind == "response"), F.concat(F.lit("day "), F.floor(n / 4096).cast("string")))
+    digest = F.when(F.pmod(n, F.lit(4)) == 1, F.sha2(F.concat(canonical, F.lit("|body|"), F.floor((n - F.when(kind == "revisit", 64).otherwise(0)) / 4096).cast("string")), 256))
     headers = F.map_filter(
         F.create_map(F.lit("Date"), F.concat(F.lit("t"), n.cast("string")), F.lit("ETag"), etag, F.lit("Content-Length"), F.when(kind == "response", F.length("html").cast("string")).otherwise("0")),
         lambda _, v: v.isNotNull(),
     )
-    return pages.select(n.alias("record_id"), front.alias("url"), n.alias("at"), kind.alias("kind"), etag.alias("etag"), day.alias("last_modified"), F.lit(None).cast("string").alias("digest"), headers.alias("headers"))
+    return pages.select(n.alias("record_id"), front.alias("url"), n.alias("at"), kind.alias("kind"), etag.alias("etag"), day.alias("last_modified"), digest.alias("digest"), headers.alias("headers"))
 
 
 def digest(resolved: DataFrame) -> DataFrame:
@@ -126,16 +131,17 @@ WITH bare AS (
   SELECT page_id, canonical_url, kind,
          CASE WHEN NOT dated THEN '"' || substring(md5(canonical_url || '|' || era), 1, 16) || '"' END AS tag,
          CASE WHEN dated OR kind = 'response' THEN era END AS day,
+         CASE WHEN page_id % 4 = 1 THEN sha256(canonical_url || '|body|' || CAST(floor((page_id - CASE WHEN kind = 'revisit' THEN 64 ELSE 0 END) / 4096) AS BIGINT)) END AS body,
          't' || page_id AS date, CASE WHEN kind = 'response' THEN CAST(length(html) AS VARCHAR) ELSE '0' END AS size
   FROM named
 ), sources AS (
-  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': page_id, 'tag': tag, 'day': day, 'size': size} END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': page_id, 'tag': tag, 'day': day, 'body': body, 'size': size} END IGNORE NULLS)
             OVER (PARTITION BY canonical_url ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s
   FROM captures
 ), judged AS (
   SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN s IS NULL THEN 'missing'
-                 WHEN coalesce(tag <> s.tag, false) OR coalesce(day <> s.day, false) THEN 'mismatch'
-                 WHEN (tag = s.tag) IS NULL AND (day = s.day) IS NULL THEN 'unvalidated' ELSE 'resolved' END AS verdict
+                 WHEN coalesce(tag <> s.tag, false) OR coalesce(day <> s.day, false) OR coalesce(body <> s.body, false) THEN 'mismatch'
+                 WHEN (tag = s.tag) IS NULL AND (day = s.day) IS NULL AND (body = s.body) IS NULL THEN 'unvalidated' ELSE 'resolved' END AS verdict
   FROM sources
 )
 SELECT page_id, canonical_url, kind, CASE verdict WHEN 'response' THEN page_id WHEN 'resolved' THEN s.id END AS source_id, verdict,
