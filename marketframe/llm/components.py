@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = following.select("node", "component")
         if is_empty(following.where("was <> component")):
             return labels
+
+
+def forest(hit: np.ndarray, ai: np.ndarray, si: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what ``hit`` joins, at most one for each row and column."""
+    edges, free = [], hit.any(1)
+    while free.any():
+        rows = np.zeros(len(ai), bool)
+        rows[free.argmax()] = True
+        root, cols = int(ai[free.argmax()]), np.zeros(len(si), bool)
+        while True:
+            new_cols = hit[rows].any(0) & ~cols
+            cols |= new_cols
+            new_rows = hit[:, cols].any(1) & ~rows
+            rows |= new_rows
+            edges += [(root, int(i)) for i in np.concatenate([si[new_cols], ai[new_rows]])]
+            if not new_rows.any():
+                break
+        free &= ~rows
+    return edges

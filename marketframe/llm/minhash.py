@@ -6,14 +6,17 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import grams, id_text, in_batches, is_empty, maybe_among, rows_of, word_hashes, words_of, written
-from marketframe.llm.components import components
+from marketframe.llm.components import components, forest
 
+#: Shingles of a block of sets; two blocks meet in one task.
+TILE_SHINGLES = 1 << 16
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
 
 
@@ -75,7 +78,7 @@ class _Search:
         """
         least = surely(self.keys, self.percent, 1e-5)
         held = self.reps.select("rep", "n", F.explode("lows").alias("value"))
-        often = held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+        often = written(held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "often")  # a plain table, so Spark can split the join
         ranked = held.join(often, "value", "left").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "value"))).alias("v"))
         room = F.size("v") - F.least(F.lit(least), _ceil_share(F.col("n"), self.percent)) + 1
         rare = ranked.select("rep", "n", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["f"]).alias("central"), F.explode(F.slice("v", F.lit(1), room.cast("int"))).alias("x"))
@@ -83,7 +86,7 @@ class _Search:
 
     def stars(self, lists: DataFrame) -> DataFrame:
         """Each member of a list with its most central member: one pair for each posting, however long the list."""
-        centers = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), F.col("n").alias("center_n"))).alias("c"), F.count("*").alias("m")).where("m > 1")
+        centers = written(lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), F.col("n").alias("center_n"))).alias("c"), F.count("*").alias("m")).where("m > 1"), "centers")
         both = lists.join(centers, "value").where(F.col("rep") != -F.col("c.minus"))
         return both.where(self.close_sizes(F.col("n"), F.col("c.center_n"))).select(*_in_order(F.col("rep"), -F.col("c.minus")))
 
@@ -128,14 +131,41 @@ class _Search:
         """Lists with each member's component so far."""
         return lists.join(groups, lists.rep == groups.node, "left").select(*lists.columns, F.coalesce("component", "rep").alias("component"))
 
-    def across(self, lists: DataFrame, more: Column | None = None) -> DataFrame:
+    def opened(self, lists: DataFrame) -> DataFrame:
+        """Of each list whose members are in several components: main (its center's), outside (members that are not in it), total (shingles
+        of all members)."""
+        main = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("total"))
+        main = written(main.where("lo <> hi").select("value", F.col("c.component").alias("main"), "m", "total"), "open")
+        return main.join(lists, "value").groupBy("value", "main", "m", "total").agg(F.count_if(F.col("component") != F.col("main")).alias("outside"))
+
+    def across(self, lists: DataFrame, opened: DataFrame, more: Column) -> DataFrame:
         """All pairs of a list whose components differ; members of the center's component never meet each other."""
-        main = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        open_ = lists.join(main.select("value", F.col("c.component").alias("main")), "value")
+        open_ = lists.join(opened.select("value", "main"), "value")
         x, y = open_.where("component <> main").alias("x"), open_.alias("y")
         differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
         differ &= self.close_sizes(F.col("x.n"), F.col("y.n"))
-        return x.join(y, (F.col("x.value") == F.col("y.value")) & (differ if more is None else differ & more)).select(*_in_order(F.col("x.rep"), F.col("y.rep")))
+        return x.join(y, (F.col("x.value") == F.col("y.value")) & differ & more).select(*_in_order(F.col("x.rep"), F.col("y.rep")))
+
+    def tiled(self, lists: DataFrame, opened: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across components in lists that would give too many pairs: their members' sets meet in tiles of two blocks, of about
+        ``TILE_SHINGLES`` shingles each.  A task counts shared shingles of all its pairs in memory and returns a spanning forest of
+        the links; no pair is written, and none is left out."""
+        dealt = lists.join(opened.select("value", F.ceil(F.col("total") / TILE_SHINGLES).cast("int").alias("blocks")), "value")
+        dealt = dealt.select("value", "rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.join(sets.select(F.col("id").alias("rep"), "set").dropDuplicates(["rep"]), "rep").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        percent = self.percent
+
+        def tile(group: pd.DataFrame) -> pd.DataFrame:
+            low, high = group[group["block"] == group["low"]], group[group["block"] == group["high"]]
+            p, q = ([unpacked(s) for s in g["set"]] for g in (low, high))
+            if not p or not q:
+                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            shared, sizes = shared_counts(p, q), [np.array([len(s) for s in x]) for x in (p, q)]
+            hit = shared * 100 >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+            hit &= low["component"].to_numpy()[:, None] != high["component"].to_numpy()[None, :]
+            return pd.DataFrame(forest(hit, low["rep"].to_numpy(), high["rep"].to_numpy()), columns=["a", "b"], dtype="int64")
+
+        return written(dealt.groupBy("value", "low", "high").applyInPandas(tile, "a long, b long").where("a <> b").distinct(), "tiled")
 
     def full_prefixes(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Exact inverted lists for documents that share long ones: rep, n, central, value, place.
@@ -152,7 +182,7 @@ class _Search:
 
         own = maybe_among(sets, "id", members.select("rep")).join(members, F.col("id") == members.rep, "left_semi").dropDuplicates(["id"])
         each = own.mapInArrow(spread, "rep long, n long, value long")
-        often = each.groupBy("value").agg(F.count("*").alias("f"))
+        often = written(each.groupBy("value").agg(F.count("*").alias("f")), "often")
         ranked = each.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v"))
         room = (F.size("v") - _ceil_share(F.col("n"), self.percent) + 1).cast("int")
         prefix = ranked.select("rep", "n", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["f"]).alias("central"), F.posexplode(F.slice("v", F.lit(1), room)).alias("place", "x"))
@@ -186,7 +216,12 @@ class _Search:
         if exact is not None:
             share = F.ceil((F.col("x.n") + F.col("y.n")) * self.percent / F.lit(100 + self.percent))
             fits = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1) >= share
-            last = self.verified(written(self.likely(self.across(self.grouped(exact, groups), fits)), "pairs"), sets)
+            open_ = written(self.grouped(exact, groups), "grouped")
+            found = written(self.opened(open_), "opened")
+            many = F.col("outside") * F.col("m") > self.small**2
+            last = self.verified(written(self.likely(self.across(open_, found.where(~many), fits)), "pairs"), sets)
+            if not is_empty(found.where(many)):
+                last = last.union(self.tiled(open_, found.where(many), sets))
             if not is_empty(last):
                 groups = components(links.union(last))
         return groups
@@ -198,6 +233,41 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64).reshape(-1)
 
 
+def shared_counts(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``p`` shares with each of ``q``.
+
+    Values that many sets hold are columns of two matrices, multiplied; the others give their few pairs one by one, a bounded number at
+    a time.
+    """
+    universe, left = np.unique(np.concatenate(p), return_inverse=True)
+    right = np.concatenate(q)
+    at = np.minimum(np.searchsorted(universe, right), len(universe) - 1)
+    here = universe[at] == right
+    right, own = at[here], [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (p, q)]
+    own[1] = own[1][here]
+    n = [np.bincount(x, minlength=len(universe)) for x in (left, right)]
+    out = np.zeros((len(p), len(q)), np.int64)
+    dense = n[0] * n[1] * 64 > len(p) * len(q)
+    columns = np.flatnonzero(dense)
+    for k in range(0, len(columns), 2048):
+        number = np.full(len(universe), -1)
+        number[columns[k : k + 2048]] = np.arange(len(columns[k : k + 2048]))
+        sides = []
+        for x, o, size in ((left, own[0], len(p)), (right, own[1], len(q))):
+            side, mine = np.zeros((size, min(2048, len(columns) - k)), np.float32), number[x] >= 0
+            side[o[mine], number[x[mine]]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    order, o = np.argsort(right, kind="stable"), np.flatnonzero(~dense[left])
+    starts = np.searchsorted(right[order], np.arange(len(universe) + 1))
+    for part in np.array_split(o, max(1, -(-int(n[1][left[o]].sum()) // (1 << 22)))):
+        times = n[1][left[part]]
+        first = np.repeat(starts[left[part]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(part) else np.zeros(0, np.int64)
+        met = own[1][order[first + np.arange(len(first))]]
+        out += np.bincount(np.repeat(own[0][part], times) * len(q) + met, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, size: int = 64, keys: int = 24, small: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -207,8 +277,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, size:
     ``percent`` is missed by the sketches with a chance of about 1 in 10**5, a closer one with less.
 
     Large groups: a list of more than ``small`` members is not expanded into pairs.  Its members are compared with its most central
-    one; whatever that leaves unlinked goes on to exact prefix lists of full sets, where only pairs of different components meet.
-    No pair is dropped for a list's length.
+    one; whatever that leaves unlinked goes on to exact prefix lists of full sets, where only pairs of different components meet; if
+    a list has too many of those (many members just under the threshold), they meet in tiles that return links only.  No pair is
+    dropped for a list's length.
 
     Null, empty and all-space texts have no shingles and no links: component_id is their own id, and they are kept.  One row of every
     group is kept: of those with the smallest id one text, and of identical rows one.  Ids need not be there or unique, as the search

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import in_batches, rows_of, written
-from marketframe.llm.components import components
+from marketframe.llm.components import components, forest
 
 #: Rows of a shard, and of those that visit it at once; both together are one matrix product.
 BLOCK = 1024
@@ -193,7 +193,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, r
             hit[k : k + 512] = (y[k : k + 512] @ x.T >= cosine) & (ai[k : k + 512, None] < si[None, :])
         rows_hit, cols_hit = hit.any(1), hit.any(0)
         counts = pd.concat([pd.DataFrame({"a": ai[rows_hit], "n": (hit[rows_hit] @ st)}), pd.DataFrame({"a": si[cols_hit], "n": (at @ hit[:, cols_hit])})])
-        edges = pd.DataFrame(_forest(hit, ai, si), columns=["a", "b"], dtype="int64")
+        edges = pd.DataFrame(forest(hit, ai, si), columns=["a", "b"], dtype="int64")
         return pd.concat([counts.assign(b=None), edges.assign(n=None)])[["a", "b", "n"]].astype("Int64")
 
     met = written(dealt.groupBy(*shard, "block").applyInPandas(meet, "a long, b long, n long"), "met")
@@ -206,22 +206,3 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, r
     out = each.join(written(named, "named"), (F.col("label") == F.col("l")) & (F.col("unit") == F.col("u")), "left")
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _forest(hit: np.ndarray, ai: np.ndarray, si: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what ``hit`` joins, at most one for each row and column."""
-    edges, free = [], hit.any(1)
-    while free.any():
-        rows = np.zeros(len(ai), bool)
-        rows[free.argmax()] = True
-        root, cols = int(ai[free.argmax()]), np.zeros(len(si), bool)
-        while True:
-            new_cols = hit[rows].any(0) & ~cols
-            cols |= new_cols
-            new_rows = hit[:, cols].any(1) & ~rows
-            rows |= new_rows
-            edges += [(root, int(i)) for i in np.concatenate([si[new_cols], ai[new_rows]])]
-            if not new_rows.any():
-                break
-        free &= ~rows
-    return edges

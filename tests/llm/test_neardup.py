@@ -177,3 +177,30 @@ def test_null_and_repeated_ids(spark):
     assert out.count() == 16 and out.where("kept").count() == len(kept)
     assert sorted(r.component_id for r in out.where("n_shingles > 0 and doc_id between 3 and 6").collect()) == [3, 3, 3, 3, 6, 6]
     assert out.where("n_shingles > 0 and doc_id is null and component_id is not null").count() == 0
+
+
+def test_shared_counts_are_the_plain_ones():
+    rng = np.random.default_rng(3)
+    for size, pool in ((40, 60), (30, 100000), (1, 5)):
+        p, q = ([np.unique(rng.integers(0, pool, rng.integers(1, 40))).astype(np.uint64) for _ in range(size)] for _ in range(2))
+        p[0] = np.arange(50, dtype=np.uint64)
+        assert (minhash.shared_counts(p, q) == [[len(np.intersect1d(a, b)) for b in q] for a in p]).all()
+
+
+@pytest.mark.parametrize(("members", "least"), [(300, None), (2000, 0)])
+def test_a_large_group_just_under_the_threshold(spark, monkeypatch, members, least):
+    """Documents that each hold 84 of one template's 100 lines, about 0.72 alike: no pair of the group is written, and the few links
+    that are there are found."""
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 1 << 13)
+    rng = np.random.default_rng(6)
+    lines = [f"line{k} text{k}" for k in range(100)]
+    rows = [(i, ". ".join(f"{lines[k]} end{k}" for k in sorted(rng.choice(100, 84, replace=False)))) for i in range(members)]
+    rows += [(members + i, rows[i][1] + f" extra{i}") for i in range(5)]
+    seen, written = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert [out[members + i] == out[i] for i in range(5)] == [True] * 5
+    if least is None:
+        assert out == brute(rows, 2, 80)[1]
+    assert max(df.count() for name, df in seen if name in ("pairs", "likely")) < 100 * members
+    assert any(name == "tiled" for name, _ in seen)
