@@ -16,6 +16,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9F
 #: Words that one Python worker remembers before it starts afresh; bounds its memory, changes no result.  Hashes are cheap to make again.
 WORDS_KEPT = 1 << 20
 HASHES_KEPT = 1 << 17
+ROWS_AT_ONCE = 256
 _BITS = 1 << 22
 
 
@@ -108,9 +109,11 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """The values of some columns, row by row."""
+    """The values of some columns, row by row; only ``ROWS_AT_ONCE`` rows are Python objects at a time."""
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            part = b.slice(k, ROWS_AT_ONCE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
 def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 1024) -> Iterator[pa.RecordBatch]:
