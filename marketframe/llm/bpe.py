@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -15,12 +16,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marketframe.llm.common import WORDS_KEPT, id_text, in_batches, rows_of, words_of
+from marketframe.llm.common import WORDS_KEPT, id_text, in_batches, rows_of
 from marketframe.llm.tokens import byte_letters
 
 #: Unicode white space, as the normaliser's ``\\s`` has it.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NEVER = 1 << 60
+#: Bytes of a text that are encoded at once.
+STRETCH = 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class Merges:
@@ -180,24 +184,33 @@ class Codec:
                 out += map(self._piece, self.pieces(folded))
         return b"".join(out)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text.  No token reaches across white space, so words are encoded once and remembered."""
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-            self.piece_ids.clear()
-        words, known = words_of(text), self.known
-        found = list(map(known.get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = known.get(w)
+    def stream(self, text: str | None) -> Iterator[np.ndarray]:
+        """Ids of a whole text, stretch by stretch (about ``STRETCH`` bytes, cut at white space, which no token reaches across).  Words are
+        encoded once and remembered."""
+        raw, at, known = (text or "").encode("utf-8", "surrogatepass"), 0, self.known
+        while at < len(raw):
+            gap = _SPACE.search(raw, at + STRETCH)
+            end = gap.start() if gap else len(raw)
+            if len(known) > WORDS_KEPT:
+                known.clear()
+                self.piece_ids.clear()
+            words, at = raw[at:end].split(), end
+            found = list(map(known.get, words))
+            if None in found:
+                for i, ids in enumerate(found):
                     if ids is None:
-                        ids = self._word(w)
-                        if len(w) <= 64:
-                            known[w] = ids
-                    found[i] = ids
-        return np.frombuffer(b"".join(found), f"<u{struct.calcsize(self.code)}").astype("<u4")
+                        w = words[i]
+                        ids = known.get(w)
+                        if ids is None:
+                            ids = self._word(w)
+                            if len(w) <= 64:
+                                known[w] = ids
+                        found[i] = ids
+            yield np.frombuffer(b"".join(found), f"<u{struct.calcsize(self.code)}").astype("<u4")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text at once."""
+        return np.concatenate([np.empty(0, "<u4"), *self.stream(text)])
 
     def decode(self, ids: Iterable[int], *, spelled: bool = False, chunk: int = 4096) -> Iterator[str]:
         """Text of ids, chunk by chunk: bytes go through a UTF-8 state machine that holds at most one unfinished character.
@@ -222,6 +235,9 @@ def codec(path: str) -> Codec:
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
+    Ids go from the encoder through the hash into the decoder stretch by stretch; beside the text itself no more than a stretch of
+    words and ids is held.
+
     Null and empty texts have no ids; their hashes are those of the empty text.  Repeated ids are separate rows; columns other than
     the two named are not read.  No shuffle.
     """
@@ -230,10 +246,17 @@ def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         c = codec(tokenizer)
         for doc, text in rows_of(batches, "id", "text"):
-            ids = c.encode(text).tolist()
-            sha = hashlib.sha256()
-            for part in c.decode(ids):
-                sha.update(part.encode())
-            yield doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha.hexdigest()
+            seen, ids_sha, text_sha = [0], hashlib.sha256(), hashlib.sha256()
+
+            def ids(text: str | None = text, seen: list[int] = seen, sha=ids_sha) -> Iterator[int]:
+                for part in map(np.ndarray.tolist, c.stream(text)):
+                    if part:
+                        sha.update((" " * bool(seen[0]) + " ".join(map(str, part))).encode())
+                        seen[0] += len(part)
+                        yield from part
+
+            for part in c.decode(ids()):
+                text_sha.update(part.encode())
+            yield doc, seen[0], ids_sha.hexdigest(), text_sha.hexdigest()
 
     return id_text(docs, id_col, text_col).mapInArrow(lambda b: in_batches(both(b), kinds), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -54,6 +54,15 @@ def test_transducer_is_the_library(library):
         assert "".join(c.decode(ids, chunk=3)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_stretches_change_nothing(library, monkeypatch):
+    c = bpe.Codec(PATH)
+    text = " \n".join(f"word{k} \u00e9t\u00e9 {'x' * (k % 40)}" for k in range(300)) + "\u00a0end"
+    want = library.encode(text, add_special_tokens=False).ids
+    for size in (1, 7, 100, 1 << 16):
+        monkeypatch.setattr(bpe, "STRETCH", size)
+        assert c.encode(text).tolist() == want and (size > 100 or len(list(c.stream(text))) > 30)
+
+
 def test_transducer_holds_little():
     """Tokens come out long before a word without end is over."""
     c = bpe.Codec(PATH)
