@@ -15,12 +15,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.  Null and empty texts fail; repeated rows are judged alike, each by itself; an empty table
+    gives no rows."""
     return quality.keep(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more: the one with the smallest id."""
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more: the one with the smallest id.
+
+    Null ids come last; of identical rows one stays; texts without words all stay; an empty table gives no rows.
+    """
     return minhash.one_of_each(docs.select(COLUMNS), words=5, percent=80)
 
 
@@ -30,7 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and place."""
+    """Token pieces of all documents with their sequence and place.  A null or empty text is its end id alone; repeated rows are packed
+    each; an empty table gives no rows."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 0, 2048), 2048)
 
 
