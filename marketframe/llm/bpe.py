@@ -10,6 +10,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -220,7 +221,7 @@ class Codec:
         """
         state, table = codecs.getincrementaldecoder("utf-8")("replace"), self.raw if spelled else self.strings
         between, first, ids = b"" if spelled else b" ", True, iter(ids)
-        while part := [table[i] for _, i in zip(range(chunk), ids, strict=False)]:
+        while part := [table[i] for i in islice(ids, chunk)]:
             yield state.decode((b"" if first else between) + between.join(part))
             first = False
         yield state.decode(b"", True)
