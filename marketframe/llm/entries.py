@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketframe.llm import bitplanes, bpe, lm, minhash, multiindex, packing, pii, quality, urls, warc
+from marketframe.llm import bitplanes, bpe, lm, minhash, multiindex, negatives, packing, pii, quality, subwords, urls, warc, whitening
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,8 +59,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), WORD_BPE, 0, 2048), 2048)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", turned), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return subwords.score(docs, subwords.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls, op2_lm, op3_pii, op4_bitplanes, op5_minhash, op6_bpe, op7_multiindex, op8_quality, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_urls, op2_lm, op3_pii, op4_bitplanes, op5_minhash, op6_bpe, op7_multiindex, op8_quality, op9_warc, op10_packing, op11_negatives, op12_whitening, op13_subwords)}
 
 
 def oracle_sql() -> dict[str, str]:
