@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -18,8 +19,8 @@ from marketframe.llm.components import components, forest
 BLOCK = 1024
 #: Rows of one label that a cell of the grid holds on average, while the codebooks can grow.
 CELL_ROWS = 16
-#: Vector sizes that have codebooks of their own.
-INDEXED_SIZES = 16
+#: Sampled rows that the reach is measured on.
+REACH_ROWS = 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
@@ -55,22 +56,28 @@ class MultiIndex:
     """Two codebooks, and how far a search goes beyond the nearest cell.
 
     ``reach``: a search visits every cell whose squared distance is at most the nearest cell's plus ``reach``.  It is set on pairs
-    that are ``cosine`` apart (sampled rows, each turned by that angle towards random directions: the farthest that a link can be),
-    as the share ``recall`` of them needs.
+    that are ``cosine`` apart, the farthest that a link can be: sampled rows, each turned by that angle towards a random direction, towards
+    a direction within the first or the second half, and towards another sampled row.  It is the most that the share ``recall`` of any of
+    these kinds needs.
     """
 
     def __init__(self, sample: np.ndarray, cosine: float, *, words: int = 16, recall: float = 0.99, rounds: int = 12) -> None:
         self.half = sample.shape[1] // 2
         self.books = [kmeans(h, words, rounds) for h in (sample[:, : self.half], sample[:, self.half :])]
         rng = np.random.default_rng(1)
-        noise = rng.standard_normal((len(sample), sample.shape[1]))
-        noise -= (noise * sample).sum(1, keepdims=True) * sample
-        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        other = cosine * sample + np.sqrt(max(0.0, 1 - cosine * cosine)) * noise
-        d1, d2 = self.distances(sample)
-        i, j = self.cells(other)
-        at = np.arange(len(sample))
-        self.reach = float(np.quantile(d1[at, i] + d2[at, j] - d1.min(1) - d2.min(1), recall))
+        some = sample[rng.permutation(len(sample))[:REACH_ROWS]]
+        every = rng.standard_normal(some.shape)
+        left, right = every.copy(), every.copy()
+        left[:, self.half :], right[:, : self.half] = 0, 0
+        d1, d2 = self.distances(some)
+        at, self.reach = np.arange(len(some)), 0.0
+        for towards in (every, left, right, np.roll(some, 1, axis=0)):
+            towards = towards - (towards * some).sum(1, keepdims=True) * some
+            length = np.linalg.norm(towards, axis=1)
+            turned = cosine * some + np.sqrt(max(0.0, 1 - cosine * cosine)) * towards / np.maximum(length, 1e-12)[:, None]
+            i, j = self.cells(turned)
+            needs = (d1[at, i] + d2[at, j] - d1.min(1) - d2.min(1))[length > 1e-9]
+            self.reach = max(self.reach, float(np.quantile(needs, recall))) if len(needs) else self.reach
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, : self.half], self.books[0]), _distances(x[:, self.half :], self.books[1])
@@ -110,28 +117,30 @@ def words_for(rows: int, least: int, sample_rows: int) -> int:
     return words
 
 
-def _fitted(units: DataFrame, cosine: float, words: int, recall: float, sample_rows: int) -> dict[int, MultiIndex]:
-    """An index for each of the ``INDEXED_SIZES`` most frequent vector sizes (2 components or more), fitted on the rows of that size only.
+def _fitted(units: DataFrame, cosine: float, words: int, recall: float, sample_rows: int) -> DataFrame:
+    """(size, index): for every vector size of 2 components or more an index, fitted in one task on a bounded sample of that size only.
 
-    Vectors of any other size lie in one cell, which all of that size visit: exact, and slower.
+    Vectors of one component are 1 or -1 and lie in one cell.
     """
-    labels = units.groupBy("size", "label").agg(F.count("*").alias("n"))
-    sizes = labels.where("size >= 2").groupBy("size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "size").limit(INDEXED_SIZES).collect()
-    found = {}
-    for size, n, most in sizes:
-        if n < 4 * BLOCK and n < sample_rows:  # one cell is as fast
-            continue
-        k = words_for(most, words, sample_rows)
-        rows = units.where(F.col("size") == size).orderBy(F.xxhash64("id", "label"), "id", "unit").limit(max(min(sample_rows, 4096), 32 * k)).select("unit").collect()
-        found[size] = MultiIndex(np.stack([np.frombuffer(r.unit) for r in rows]), cosine, words=k, recall=recall)
-    return found
+    labels = units.where("size >= 2").groupBy("size", "label").agg(F.count("*").alias("n"))
+    most = labels.groupBy("size").agg(F.max("n").alias("most"))  # a row for each size
+    place = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("id", "label"), "id", "unit"))
+    sample = units.select("id", "label", "size", "unit").where("size >= 2").withColumn("at", place).where(F.col("at") <= sample_rows).join(most, "size")
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        k = words_for(int(rows["most"].iloc[0]), words, sample_rows)
+        rows = rows[rows["at"] <= max(min(sample_rows, 4096), 32 * k)].sort_values("at")
+        own = MultiIndex(np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), key[0]), cosine, words=k, recall=recall)
+        return pd.DataFrame({"size": [key[0]], "index": [pickle.dumps(own)]})
+
+    return written(sample.groupBy("size").applyInPandas(fit, "size int, index binary"), "indexes")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, recall: float = 0.99, sample_rows: int = 32768, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row: vectors of one label whose cosine is ``cosine`` or more are linked.
 
     Vectors equal as unit vectors are one representative with a count from the start.  Vectors of different sizes are never compared;
-    each frequent size has an index of its own.  Codebooks for both halves are fitted on a bounded sample of at most ``sample_rows``
+    each size has an index of its own, however few its rows.  Codebooks for both halves are fitted on a bounded sample of at most ``sample_rows``
     rows of the size (those with the smallest hash of id and label); every vector is indexed.  The grid grows with the rows of the
     largest label (``words_for``).  Each representative visits the nearest cells of the product grid by the multi-sequence algorithm,
     and the cosine of what it meets is computed in double precision.  A pair is looked for from one side only, so it is found at most
@@ -156,17 +165,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, *, words: int = 16, r
     good = each.where("unit is not null")
     index = _fitted(good, cosine, words, recall, sample_rows)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for first, label, size, unit, times in rows_of(batches, "first", "label", "size", "unit", "times"):
-            own, cell, visits = index.get(size), 0, [0]
-            if own is not None:
-                d1, d2 = (d[0] for d in own.distances(np.frombuffer(unit)[None]))
-                cell, visits = int(d1.argmin()) * len(own.books[1]) + int(d2.argmin()), own.visits(d1, d2)
-            yield first, label, size, unit, times, cell, visits
-
-    reps = good.groupBy("label", "size", "unit").agg(F.min("id").alias("first"), F.count("*").alias("times"))
-    kinds_placed = pa.schema([("first", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("unit", pa.binary()), ("times", pa.int64()), ("cell", pa.int32()), ("visits", pa.list_(pa.int32()))])
-    at = reps.mapInArrow(lambda b: in_batches(placed(b), kinds_placed), "first long, label string, size int, unit binary, times long, cell int, visits array<int>")
+    def placed(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cells, visits = [0] * len(rows), [[0]] * len(rows)
+        if len(own) and len(rows):
+            grid = pickle.loads(own["index"].iloc[0])
+            d1, d2 = grid.distances(np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), key[0]))
+            cells, visits = d1.argmin(1) * len(grid.books[1]) + d2.argmin(1), [grid.visits(a, b) for a, b in zip(d1, d2, strict=True)]
+        return rows[["first", "label", "size", "unit", "times"]].assign(cell=cells, visits=pd.Series(visits, index=rows.index, dtype=object))
+
+    reps = written(good.groupBy("label", "size", "unit").agg(F.min("id").alias("first"), F.count("*").alias("times")), "reps")
+    deals = max(1, -(-reps.count() // (4 * BLOCK)))
+    dealt = reps.withColumn("deal", F.pmod(F.xxhash64("label", "unit"), F.lit(deals)).cast("int")).groupBy("size", "deal")
+    copies = index.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).groupBy("size", "deal")
+    at = dealt.cogroup(copies).applyInPandas(placed, "first long, label string, size int, unit binary, times long, cell int, visits array<int>")
     at = written(at.withColumn("rep", F.monotonically_increasing_id()), "cells")
 
     grid = ["size", "label", "cell"]

@@ -19,12 +19,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def ends_in_letter(text: str) -> bool:
+    """Whether the last character is a letter of the Latin script's first blocks that stays one when composed and folded to lower case."""
+    last = unicodedata.normalize("NFC", text)[-1]
+    return last.isalpha() and last < "\u0250" and len(last.lower()) == 1 and last.lower().isalpha()
+
+
 class WordTokenizer:
     """Encodes as the tokenizers library does, for tokenizers that drop white space and so never join two words.
 
     A text is split at ASCII white space; each distinct word goes to the library once and its ids are remembered (at most
     ``WORDS_KEPT`` words; more start the memory afresh).  Plain lower-case letters go straight to the library's BPE model, after
-    the case folding its normaliser would do; everything else takes the library's whole route.  None and empty texts have no ids.
+    the case folding its normaliser would do; everything else takes the library's whole route, and so does a word whose last letter
+    might fold to a letter and a mark (U+0130), which a full stop behind it would join.  None and empty texts have no ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,9 +64,9 @@ class WordTokenizer:
 
     def _new(self, word: bytes) -> bytes:
         core = word.rstrip(b".,")
-        if not (core.isalpha() or core and core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha()):
+        if not (core.isalpha() or core and core[-1] > 127 and ends_in_letter(core.decode("utf-8", "replace"))):
             return self._whole(word)
-        # after a letter, full stops and commas are a piece of their own
+        # after what is a letter when folded, too, full stops and commas are a piece of their own
         cores, small = self.cores, core.lower()
         ids = cores.get(small)
         if ids is None:

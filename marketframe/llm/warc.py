@@ -31,6 +31,19 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
 
 
+def by_lower_name(headers: Column) -> Column:
+    """Header names in lower case, which HTTP does not tell apart: values of one name are joined by ``, ``, in order of the names as they
+    were written; a name whose values are all null has null."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+
+    def joined(name: Column) -> Column:
+        values = F.array_compact(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"]))
+        return F.struct(name.alias("key"), F.when(F.size(values) > 0, F.array_join(values, ", ")).alias("value"))
+
+    return F.map_from_entries(F.transform(names, joined))
+
+
 def resolve_revisits(captures: DataFrame, *, span_rows: int = 20_000) -> DataFrame:
     """As-of join of revisits with earlier full responses.
 
@@ -47,10 +60,11 @@ def resolve_revisits(captures: DataFrame, *, span_rows: int = 20_000) -> DataFra
     A URL may hold any share of the rows: captures in order of (URL, at, record_id) are dealt into ranges of about ``span_rows`` rows
     each, whatever their times, a window runs within (URL, range), and only each range's last response is carried on to the later
     ranges of its URL.  Null URLs never match; null times sort first; null kinds are kept with the verdict 'missing'.  Rows repeated
-    with one id are separate captures.  Payloads are not read; join them by source_id.
+    with one id are separate captures.  Header names that differ in case only are one (``by_lower_name``); null headers are none.  An
+    empty table gives no rows.  Payloads are not read; join them by source_id.
     """
     rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "at", "kind", "etag", "last_modified", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
-    rows = rows.withColumn("headers", F.map_from_entries(F.expr("transform(array_sort(map_entries(headers)), e -> struct(lower(e.key) as key, e.value as value))")))
+    rows = rows.withColumn("headers", by_lower_name(F.col("headers")))
     entries = F.map_entries("headers")
     rows = rows.withColumn("tie", F.xxhash64("canonical_url", "kind", "etag", "last_modified", "digest", entries))
     ranges = max(1, -(-captures.count() // span_rows))
@@ -90,7 +104,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
     A page stands for its section's front page (the number in its path is dropped), so that a URL is captured again and again.  Two of three pages are full responses, the third a revisit.  A URL's content changes every 4,096 pages, so a revisit may come after
     a change (mismatch); every fifth capture states a date instead of an entity tag, and every fourth a digest of the version's body, which
-    servers that lag behind by 64 pages state late.
+    servers that lag behind by 64 pages state late.  Every seventh states its date twice, under two spellings of the name.
     """
     n = F.col("page_id").cast("long")
     front = F.regexp_replace("url", r"/[0-9]+(\.html)?/?", "/")
@@ -102,7 +116,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
     day = F.when(dated | (kind == "response"), F.concat(F.lit("day "), F.floor(n / 4096).cast("string")))
     digest = F.when(F.pmod(n, F.lit(4)) == 1, F.sha2(F.concat(canonical, F.lit("|body|"), F.floor((n - F.when(kind == "revisit", 64).otherwise(0)) / 4096).cast("string")), 256))
     headers = F.map_filter(
-        F.create_map(F.lit("Date"), F.concat(F.lit("t"), n.cast("string")), F.lit("ETag"), etag, F.lit("Content-Length"), F.when(kind == "response", F.length("html").cast("string")).otherwise("0")),
+        F.create_map(F.lit("Date"), F.concat(F.lit("t"), n.cast("string")), F.lit("date"), F.when(F.pmod(n, F.lit(7)) == 0, F.concat(F.lit("again t"), n.cast("string"))), F.lit("ETag"), etag, F.lit("Content-Length"), F.when(kind == "response", F.length("html").cast("string")).otherwise("0")),
         lambda _, v: v.isNotNull(),
     )
     return pages.select(n.alias("record_id"), front.alias("url"), n.alias("at"), kind.alias("kind"), etag.alias("etag"), day.alias("last_modified"), digest.alias("digest"), headers.alias("headers"))
@@ -132,7 +146,7 @@ WITH bare AS (
          CASE WHEN NOT dated THEN '"' || substring(md5(canonical_url || '|' || era), 1, 16) || '"' END AS tag,
          CASE WHEN dated OR kind = 'response' THEN era END AS day,
          CASE WHEN page_id % 4 = 1 THEN sha256(canonical_url || '|body|' || CAST(floor((page_id - CASE WHEN kind = 'revisit' THEN 64 ELSE 0 END) / 4096) AS BIGINT)) END AS body,
-         't' || page_id AS date, CASE WHEN kind = 'response' THEN CAST(length(html) AS VARCHAR) ELSE '0' END AS size
+         't' || page_id || CASE WHEN page_id % 7 = 0 THEN ', again t' || page_id ELSE '' END AS date, CASE WHEN kind = 'response' THEN CAST(length(html) AS VARCHAR) ELSE '0' END AS size
   FROM named
 ), sources AS (
   SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': page_id, 'tag': tag, 'day': day, 'body': body, 'size': size} END IGNORE NULLS)

@@ -129,14 +129,56 @@ def test_vectors_of_other_sizes_do_no_harm(spark, monkeypatch):
     rows = [(i, (hot + 0.02 * rng.standard_normal(12)).tolist(), 0) for i in range(50)]
     odd = [(100 + i, v, 0) for i, v in enumerate([[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [5.0], [7.0], [-1.0], [0.0, 1.0, 0.0]])] + [(None, hot.tolist(), 0), (None, None, 0)]
     kind = "vec_id long, embedding array<double>, label int"
-    for sizes in (1, 16):
-        monkeypatch.setattr(multiindex, "INDEXED_SIZES", sizes)
-        out = multiindex.near_vectors(spark.createDataFrame(odd + rows, kind), 0.93, words=2).collect()
-        links = {r.vec_id: r.n_links for r in out}
-        assert sum(links[i] for i in range(50)) >= 0.98 * 50 * 49 and len(out) == 58
-        assert [links[100 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
-        assert {r.vec_id: r.component_id for r in out if r.vec_id is not None and r.vec_id >= 100} == {100: 100, 101: 100, 102: 102, 103: 102, 104: 104, 105: 105}
-        assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+    out = multiindex.near_vectors(spark.createDataFrame(odd + rows, kind), 0.93, words=2).collect()
+    links = {r.vec_id: r.n_links for r in out}
+    assert sum(links[i] for i in range(50)) >= 0.98 * 50 * 49 and len(out) == 58
+    assert [links[100 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
+    assert {r.vec_id: r.component_id for r in out if r.vec_id is not None and r.vec_id >= 100} == {100: 100, 101: 100, 102: 102, 103: 102, 104: 104, 105: 105}
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+
+
+def test_small_tables_and_rare_sizes_are_indexed(spark, monkeypatch):
+    """No table is too small and no size too rare for codebooks: 500 rows in pairs at the threshold, twenty other sizes."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((250, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    near = 0.9305 * x + np.sqrt(1 - 0.9305**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), i % 5) for half in (x, near) for i, v in enumerate(half)]
+    rows = [(k, v, label) for k, (_, v, label) in enumerate(rows)] + [(1000 + 10 * d + k, ([1.0, 0.001 * k] + [0.0] * d), 1) for d in range(1, 21) for k in range(3)]
+    built, plain = [], multiindex._fitted
+    monkeypatch.setattr(multiindex, "_fitted", lambda *a: built.append(plain(*a)) or built[-1])
+    out = {r.vec_id: r for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {r["size"] for r in built[0].collect()} == {24, *range(3, 23)}
+    assert sum(out[i].component_id == out[250 + i].component_id for i in range(250)) >= 0.95 * 250
+    assert all(out[1000 + 10 * d + k].n_links == 2 for d in range(1, 21) for k in range(3))
+
+
+@pytest.mark.parametrize("kind", ["any", "left", "right", "row", "clusters"])
+def test_recall_at_the_threshold(kind):
+    """Pairs exactly at the threshold, apart in any direction: both lie in visited cells for 97 of 100."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((4000, 32))
+    if kind == "clusters":
+        x = rng.standard_normal((40, 32))[rng.integers(0, 40, 4000)] + 0.4 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal(x.shape)
+    if kind == "left":
+        away[:, 16:] = 0
+    if kind == "right":
+        away[:, :16] = 0
+    if kind == "row":
+        away = x[rng.permutation(len(x))]
+    away -= (away * x).sum(1, keepdims=True) * x
+    near = 0.93 * x + np.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    index = multiindex.MultiIndex(x[:2000], 0.93, words=32)
+    met = 0
+    for k in range(2000, 4000, 5):
+        d1, d2 = (d[0] for d in index.distances(x[k : k + 1]))
+        i, j = index.cells(near[k : k + 1])
+        met += int(i[0]) * len(index.books[1]) + int(j[0]) in index.visits(d1, d2)
+    assert met >= 0.97 * 400
 
 
 def test_two_vectors_under_one_id_are_linked(spark):

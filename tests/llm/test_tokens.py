@@ -45,6 +45,18 @@ def test_word_by_word_is_the_library(library):
         assert t.ids(x).tolist() == library.encode(x or "", add_special_tokens=False).ids, x
 
 
+def test_folding_at_the_end_of_a_word_is_the_library(library):
+    """Capitals whose folding has a mark, marks behind letters, every letter of the first blocks before a full stop or comma."""
+    t, rng = WordTokenizer(PATH), random.Random(17)
+    letters = [chr(c) for c in range(0x41, 0x600) if chr(c).isalpha()] + [c for c in map(chr, range(0x600, 0x20000)) if len(c.lower()) > 1]
+    marks = ["", "\u0301", "\u0307", "\u0327", "\u0345", "\u200d"]
+    words = ["BELED\u0130YES\u0130. ANKARA", "\u0130STANBUL'DAK\u0130, ev", "\u0130.", "i\u0307,", "A\u030a.", "\u212b."] + [f"{w}{c}{m}{end}" for c in letters for w in ("", "ab") for m in ("", "\u0307") for end in (".", ",.x")]
+    pool = [*letters, *"abcABC.,'", "\u0130", "\u0130", ".", ",", "'s"]
+    words += ["".join(rng.choice(pool) + rng.choice(marks) * (rng.random() < 0.1) for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", ",", ".,"]) for _ in range(10000)]
+    for x in words:
+        assert t.ids(x).tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
 def test_transducer_is_the_library(library):
     c = bpe.Codec(PATH)
     assert c.merges.lookahead == 32

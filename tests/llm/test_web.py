@@ -155,6 +155,12 @@ def test_merged_headers(spark):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_header_names_are_one_whatever_their_case(spark):
+    rows = [(1, "http://a/x", 1, "response", "e", None, None, {"Date": "1", "date": "2", "DATE": None, "X": None, "Set-Cookie": "a", "set-cookie": "b"}), (2, "http://a/x", 2, "revisit", "e", None, None, {"DATE": "3", "Date": "4", "ETag": "e"}), (3, "http://a/y", 3, "response", None, None, None, None)]
+    got = {r.record_id: r.headers for r in warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()}
+    assert got == {1: {"date": "1, 2", "x": None, "set-cookie": "a, b"}, 2: {"date": "3, 4", "x": None, "set-cookie": "a, b", "etag": "e"}, 3: {}}
+
+
 def test_query_is_its_sql(spark):
     at = "/root/testdata/sf0.01/pages.parquet"
     con = duckdb.connect()
