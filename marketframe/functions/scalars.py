@@ -5,6 +5,9 @@ Null in, null out, unless stated.  Nothing here raises on bad data: what can't b
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,10 +103,19 @@ def last_day_of(year: Column, month: Column) -> Column:
     return F.last_day(F.make_date(year, month, F.lit(1)))
 
 
+def hash_sum(columns: list[str]) -> Column:
+    """The sum of row hashes: it adds up over parts of a table, and rows can be taken off."""
+    return F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row, one column ``fingerprint``: 16 hex digits that depend on the rows (and how often each is there), not on their order."""
-    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    return df.agg(F.substring(F.sha2(F.concat_ws("|", F.coalesce(total.cast("string"), F.lit("0")), F.count("*").cast("string")), 256), 1, 16).alias("fingerprint"))
+    return df.agg(F.substring(F.sha2(F.concat_ws("|", hash_sum(df.columns).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("fingerprint"))
+
+
+def fingerprint_of(total: int, rows: int) -> str:
+    """The fingerprint of a table whose hash sum and count are known."""
+    return hashlib.sha256(f"{total}|{rows}".encode()).hexdigest()[:16]
 
 
 def version_parts(version: Column) -> Column:
@@ -115,3 +127,8 @@ def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1; "1" comes before "1.0"."""
     x, y = version_parts(a), version_parts(b)
     return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def version_key(version: str) -> tuple[int, ...]:
+    """The same parts of one version on the driver."""
+    return tuple(int(p) if re.fullmatch(r"[+-]?[0-9]+", p) else 0 for p in version.split("."))

@@ -12,17 +12,27 @@ from pyspark.sql import functions as F
 from marketframe.specs import DatasetSpec
 
 
+#: Longer lists of codes are a table that is joined, not a list in the plan.
+LONG_LIST = 1000
+
+
 class KeyConflictError(ValueError):
     """Rows with a key that is already there, or twice in one batch."""
 
 
-def scan(df: DataFrame, *, start: date | str | None = None, end: date | str | None = None, codes: Sequence[str] | None = None, columns: Sequence[str] | None = None, time_col: str = "trade_date", code_col: str = "stock_code", days: Sequence[date | str] | None = None) -> DataFrame:
-    """Closed range of dates, list of codes, list of days, subset of columns; each optional, an empty list of codes is no filter."""
+def scan(df: DataFrame, *, start: date | str | None = None, end: date | str | None = None, codes: Sequence[str] | DataFrame | None = None, columns: Sequence[str] | None = None, time_col: str = "trade_date", code_col: str = "stock_code", days: Sequence[date | str] | None = None) -> DataFrame:
+    """Closed range of dates, list of codes, list of days, subset of columns; each optional, an empty list of codes is no filter.
+
+    Codes may also be a table with one column; that, and a list of more than ``LONG_LIST``, is a semi-join."""
     if start is not None:
         df = df.where(F.col(time_col) >= F.lit(str(start)).cast("date"))
     if end is not None:
         df = df.where(F.col(time_col) <= F.lit(str(end)).cast("date"))
-    if codes:
+    if codes is not None and not isinstance(codes, DataFrame) and len(codes) > LONG_LIST:
+        codes = df.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    if isinstance(codes, DataFrame):
+        df = df.join(codes.select(F.col(codes.columns[0]).alias("_code")).distinct(), F.col(code_col) == F.col("_code"), "left_semi")
+    elif codes:
         df = df.where(F.col(code_col).isin(list(codes)))
     if days is not None:
         df = df.where(F.col(time_col).isin([date.fromisoformat(str(d)) for d in days]))
@@ -78,7 +88,8 @@ def last_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Data
     return best.select(*(F.col(k) if k in key else F.col(f"row.`{k}`") for k in df.columns))
 
 
-def _checked(new: DataFrame, key: Sequence[str], dedup: str) -> DataFrame:
+def checked_keys(new: DataFrame, key: Sequence[str], dedup: str) -> DataFrame:
+    """Incoming rows with each key once: 'error' raises if one is there twice, 'last' keeps its last row, 'keep' keeps all."""
     if dedup == "keep":
         return new
     if dedup == "last":
@@ -91,6 +102,13 @@ def _checked(new: DataFrame, key: Sequence[str], dedup: str) -> DataFrame:
     raise ValueError(f"dedup is 'error', 'last' or 'keep', not {dedup!r}")
 
 
+def refuse_stored(old: DataFrame, new: DataFrame, key: Sequence[str]) -> None:
+    """KeyConflictError with the smallest key that both have."""
+    both = smallest_key(key_overlap(old, new, key), key).collect()
+    if both:
+        raise KeyConflictError(f"key {tuple(both[0])} is already stored")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], conflict: str = "replace", dedup: str = "error") -> DataFrame:
     """What a table holds after an upsert.
 
@@ -98,15 +116,13 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], conflict: str =
     keys.  'error': raises with the smallest key that both have.  Columns go by name; one that a side lacks is null there.  Null key
     parts equal each other.  dedup: what to do with a key that is twice in the incoming rows.
     """
-    new = _checked(new, key, dedup)
+    new = checked_keys(new, key, dedup)
     if conflict == "replace":
         return without_keys(old, new, key).unionByName(new, allowMissingColumns=True)
     if conflict == "ignore":
         return old.unionByName(without_keys(new, old, key), allowMissingColumns=True)
     if conflict == "error":
-        both = smallest_key(key_overlap(old, new, key), key).collect()
-        if both:
-            raise KeyConflictError(f"key {tuple(both[0])} is already stored")
+        refuse_stored(old, new, key)
         return old.unionByName(new, allowMissingColumns=True)
     raise ValueError(f"conflict is 'replace', 'ignore' or 'error', not {conflict!r}")
 
