@@ -99,6 +99,16 @@ def shift_days(day: Column, days: int) -> Column:
     return F.date_add(day, days)
 
 
+def resume_day(last: Column, latest: Column) -> Column:
+    """The first day still to be loaded: the day after the last one, or after ``latest`` if that is earlier."""
+    return F.date_add(F.least(last, latest), 1)
+
+
+def is_due(last: Column, today: Column, days: int) -> Column:
+    """Whether so many days have passed."""
+    return F.datediff(today, last) >= days
+
+
 def last_day_of(year: Column, month: Column) -> Column:
     return F.last_day(F.make_date(year, month, F.lit(1)))
 

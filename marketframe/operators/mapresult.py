@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import traceback
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,17 +48,79 @@ def summary(result: DataFrame, position: str, shown: int = 3) -> DataFrame:
     return counts.withColumn("_one", F.lit(1)).join(errors.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def tally(df: DataFrame, group: str, success: str, rows: str, code: str) -> DataFrame:
-    """Per group: n_ok, n_failed, total_rows, failed codes in order."""
-    failed = F.array_sort(F.collect_list(F.when(~F.col(success), F.col(code))))
-    return df.groupBy(group).agg(F.count_if(F.col(success)).alias("n_ok"), F.count_if(~F.col(success)).alias("n_failed"), F.sum(rows).alias("total_rows"), failed.alias("failed_codes"))
+def first_by(df: DataFrame, group: str, value: str, shown: int, name: str) -> DataFrame:
+    """group and ``name``: the ``shown`` smallest values of each group in order.  Each task keeps that many of a group, then one keeps them of
+    all tasks; no group is gathered."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    few = df.select(group, value).withColumn("_at", place).where(F.col("_at") <= shown)
+    return few.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias(name))  # at most ``shown``
+
+
+def tally(df: DataFrame, group: str, success: str, rows: str, code: str, shown: int = 5) -> DataFrame:
+    """Per group: n_ok, n_failed, total_rows, and the ``shown`` first failed codes in order (``failed`` lists them all, as rows)."""
+    counts = df.groupBy(group).agg(F.count_if(F.col(success)).alias("n_ok"), F.count_if(~F.col(success)).alias("n_failed"), F.sum(rows).alias("total_rows"))
+    first = first_by(df.where(~F.col(success)), group, code, shown, "failed_codes").withColumnRenamed(group, "_group")
+    met = counts.join(first, counts[group].eqNullSafe(first["_group"]), "left").drop("_group")
+    return met.withColumn("failed_codes", F.coalesce("failed_codes", F.array().cast(first.schema["failed_codes"].dataType)))
 
 
 def failed(df: DataFrame, code: str, success: str) -> DataFrame:
-    """A row for each code that failed, with how often: the form for any number of codes (``tally`` gathers them for its report)."""
+    """A row for each code that failed, with how often: the form for any number of codes (``tally`` shows the first)."""
     return df.where(~F.col(success)).groupBy(code).agg(F.count("*").alias("n_failed"))
 
 
+def _guarded(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: list[str]) -> Callable:
+    """``fn`` over a group's frames; what it raises becomes a row with the error, after the rows it gave before."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = True
+        try:
+            for made in fn(parts):
+                none &= not len(made)
+                yield made[columns].assign(_code=key[0], _error=None)
+            error = "no rows" if none else None
+        except Exception as e:  # a failing item is listed, not fatal
+            error = f"{type(e).__name__}: {e}"
+        if error:
+            yield pd.DataFrame([[None] * len(columns) + [key[0], error]], columns=[*columns, "_code", "_error"], dtype=object)
+
+    run.__annotations__ = {"key": tuple[Any, ...], "parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return run
+
+
+def map_batches(df: DataFrame, code: str, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows that ``fn`` makes of each code's frames, problems: code and error).
+
+    A code's rows come as an iterator of frames, in no stated order, and what ``fn`` yields goes on at once, so memory holds a few frames
+    whatever a code has.  A code whose call raises is a problem with the error, and none of its rows count; one that gives no rows has the
+    error 'no rows'.
+    """
+    return _mapped(df, [code], fn, schema)
+
+
+def _mapped(df: DataFrame, by: list[str], fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    code = by[0]
+    out = T.StructType([*schema.fields, T.StructField("_code", df.schema[code].dataType), T.StructField("_error", T.StringType())])
+    made = df.groupBy(*by).applyInPandas(_guarded(fn, schema.names), out)
+    problems = made.where("_error is not null").select(F.col("_code").alias(code), F.col("_error").alias("error"))
+    bad = problems.where("error <> 'no rows'").select(F.col(code).alias("_bad"))
+    rows = made.where("_error is null").join(bad, F.col("_code").eqNullSafe(F.col("_bad")), "left_anti").select(*schema.names)
+    return rows, problems
+
+
+def map_combine(df: DataFrame, code: str, part: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], partial: T.StructType, combine: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType, parts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """``map_batches`` for codes that may hold any share of the rows: ``part`` sees one of ``parts`` shares of a code (dealt by a hash of the
+    row), ``combine`` the rows of type ``partial`` that all its shares gave.  ``partial`` must have the code's column."""
+    dealt = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    some, problems = _mapped(dealt, [code, "_share"], part, partial)
+    rows, more = map_batches(some, code, combine, schema)
+    early = problems.where("error <> 'no rows'").groupBy(code).agg(F.min("error").alias("error"))
+    late = more.join(early.select(F.col(code).alias("_early")), F.col(code).eqNullSafe(F.col("_early")), "left_anti")
+    empty = df.select(code).distinct().join(some.select(F.col(code).alias("_some")).distinct(), F.col(code).eqNullSafe(F.col("_some")), "left_anti")
+    empty = empty.join(early.select(F.col(code).alias("_early")), F.col(code).eqNullSafe(F.col("_early")), "left_anti").select(code, F.lit("no rows").alias("error"))
+    return rows, early.unionByName(late).unionByName(empty)
+
+
 def map_tables(df: DataFrame, code: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows that ``fn`` makes of each code's rows, codes whose call failed or gave no rows)."""
 

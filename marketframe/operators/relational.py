@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.specs import DatasetSpec
@@ -14,6 +14,8 @@ from marketframe.specs import DatasetSpec
 
 #: Longer lists of codes are a table that is joined, not a list in the plan.
 LONG_LIST = 1000
+#: Rows that ``numbered`` looks at to find its ranges, and ranges at most.
+RANGE_SAMPLE, RANGES = 1024, 64
 
 
 class KeyConflictError(ValueError):
@@ -143,3 +145,25 @@ def first_source(rows: DataFrame, code_col: str = "stock_code", rank_col: str =
     """Of several sources, for each code only the rows of the first that has any."""
     best = rows.groupBy(code_col).agg(F.min(rank_col).alias("_best"))
     return rows.join(best, code_col).where(F.col(rank_col) == F.col("_best")).drop("_best")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """``df`` with its place in ``order`` (nulls first) from ``start`` on, in column ``name``; no task sees all rows.
+
+    A bounded sample gives limits between ranges of ``order``; each row's range follows from its values alone, so it is the same whenever it is
+    computed.  The driver adds up one count for each range, and rows are numbered within theirs.  Rows with equal ``order`` are
+    numbered in any order.
+    """
+    found = df.select(*order).orderBy(F.xxhash64(*order)).limit(RANGE_SAMPLE).orderBy(*order).collect()
+    limits = [found[len(found) * k // RANGES] for k in range(1, RANGES)] if len(found) >= RANGES else []
+    literal = lambda row: F.struct(*(F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order))
+    at = F.size(F.filter(F.array(*map(literal, limits)), lambda x: x <= F.struct(*order))) if limits else F.lit(0)
+    ranged = df.withColumn("_range", at)
+    before, starts = start, {}
+    for r in sorted(ranged.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        starts[r["_range"]], before = before, before + r["count"]
+    if not starts:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    first = F.element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.col("_range"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, (first + place - 1).cast("long")).drop("_range")

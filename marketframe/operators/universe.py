@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import is_stock_code
+from marketframe.operators.relational import numbered
 
 #: Listing day of a stock that has none.
 DEFAULT_IPO = "1990-01-01"
@@ -25,14 +26,14 @@ def loaded(df: DataFrame) -> DataFrame:
 def new_members(universe: DataFrame, members: DataFrame, position: str | None = None) -> DataFrame:
     """Members whose code is not there yet, each once, numbered on from the largest index in order of position (else code).
 
-    Indexes are never reused.  Codes that are no stock codes are left out.  Only new members are numbered in one partition.
+    Indexes are never reused.  Codes that are no stock codes are left out.  Members are numbered range by range.
     """
     fresh = members.where(is_stock_code(F.col("stock_code"))).join(universe.select("stock_code").distinct(), "stock_code", "left_anti")
     at = F.col(position) if position else F.col("stock_code")
     rest = [F.min_by(c, at).alias(c) if c in members.columns else F.lit(None).cast(t).alias(c) for c, t in (("stock_name", "string"), ("ipo_date", "date"))]
     fresh = fresh.groupBy("stock_code").agg(F.min(at).alias("_at"), *rest)
     base = universe.agg(F.coalesce(F.max("stock_index") + 1, F.lit(0))).first()[0]
-    return fresh.select((F.lit(base) + F.row_number().over(Window.orderBy("_at", "stock_code")) - 1).cast("long").alias("stock_index"), "stock_code", "stock_name", "ipo_date")
+    return numbered(fresh, ["_at", "stock_code"], "stock_index", base).select(FIELDS)
 
 
 def grown(universe: DataFrame, members: DataFrame, position: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -391,7 +391,8 @@ def status_report(d: Domain) -> DataFrame:
 @query(sql("SELECT count(*) n_rows, count(DISTINCT stock_code) n_codes, (SELECT count(*) FROM (SELECT DISTINCT * FROM bars_wide)) n_distinct FROM bars_wide", "bars_wide"))
 def table_counts(d: Domain) -> DataFrame:
     b = d.bars_wide()
-    return b.agg(F.count("*").alias("n_rows"), F.count_distinct("stock_code").alias("n_codes"), F.count_distinct(F.struct(*b.columns)).alias("n_distinct"))
+    found = Q.coverage(b, spec_of("Stock_KData")).select(F.col("row_count").alias("n_rows"), F.col("code_count").alias("n_codes"))
+    return found.withColumn("n_distinct", F.lit(R.keys_of(b, b.columns).count()).cast("long"))
 
 
 _SPEC = DatasetSpec("Orders", spec_of("Stock_KData").schema[:2], ("trade_date", "stock_code"), "daily", time_col="trade_date")
@@ -485,13 +486,13 @@ def _manifest(d: Domain) -> DataFrame:
 @query(sql("SELECT o_custkey, CASE WHEN last_date > DATE '2001-06-30' THEN DATE '2001-07-01' ELSE last_date + 1 END start_date, DATE '2001-06-30' end_date, last_date >= DATE '2001-06-30' up_to_date FROM m", **_LAST))
 def resume_window(d: Domain) -> DataFrame:
     latest = F.lit("2001-06-30").cast("date")
-    start = F.date_add(F.least("last_date", latest), 1)
+    start = S.resume_day(F.col("last_date"), latest)
     return _manifest(d).select("o_custkey", start.alias("start_date"), latest.alias("end_date"), (start > latest).alias("up_to_date"))
 
 
 @query(sql("SELECT o_custkey, last_date, DATE '2001-06-30' - last_date >= 30 due FROM m", **_LAST))
 def throttle_gate(d: Domain) -> DataFrame:
-    return _manifest(d).select("o_custkey", "last_date", (F.datediff(F.lit("2001-06-30").cast("date"), "last_date") >= 30).alias("due"))
+    return _manifest(d).select("o_custkey", "last_date", S.is_due(F.col("last_date"), F.lit("2001-06-30").cast("date"), 30).alias("due"))
 
 
 @query(sql("SELECT o_custkey, row_count, row_count > 0 AND row_count < least(10e0, (SELECT count(*) FROM part) / 4e0) rebuild FROM m", **_LAST))
@@ -518,7 +519,7 @@ def map_summary(d: Domain) -> DataFrame:
     return M.summary(_mapped(d), "o_orderkey")
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus <> 'F') n_ok, count(*) FILTER (o_orderstatus = 'F') n_failed, CAST(sum(o_orderkey) AS BIGINT) total_rows, list(CAST(o_custkey AS VARCHAR) ORDER BY CAST(o_custkey AS VARCHAR)) FILTER (o_orderstatus = 'F') failed_codes FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus <> 'F') n_ok, count(*) FILTER (o_orderstatus = 'F') n_failed, CAST(sum(o_orderkey) AS BIGINT) total_rows, list_slice(list(CAST(o_custkey AS VARCHAR) ORDER BY CAST(o_custkey AS VARCHAR)) FILTER (o_orderstatus = 'F'), 1, 5) failed_codes FROM orders GROUP BY 1")
 def task_tally(d: Domain) -> DataFrame:
     rows = d.table("orders").select("o_orderpriority", (F.col("o_orderstatus") != "F").alias("success"), F.col("o_orderkey").alias("n"), F.col("o_custkey").cast("string").alias("code"))
     return M.tally(rows, "o_orderpriority", "success", "n", "code")
@@ -536,6 +537,43 @@ def map_tables(d: Domain) -> DataFrame:
     return M.map_tables(rows, "stock_code", best, T.StructType.fromDDL("stock_code long, trade_date date, ema double"))[0]
 
 
+_BY_USER = "SELECT user_id stock_code, count(*) n_rows, max(value) most FROM events GROUP BY 1"
+
+
+def _odd_users(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Count and maximum of each user, by shares that are combined; every tenth user fails, every tenth has nothing."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            user = int(f["stock_code"].iloc[0])
+            if user % 10 == 0:
+                raise ValueError(f"bad user {user}")
+            if user % 10 != 1:
+                yield pd.DataFrame({"stock_code": [user], "n_rows": [len(f)], "most": [f["value"].max()]})
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, most, user = 0, float("-inf"), None
+        for f in frames:
+            n, most, user = n + int(f["n_rows"].sum()), max(most, f["most"].max()), int(f["stock_code"].iloc[0])
+        yield pd.DataFrame({"stock_code": [user], "n_rows": [n], "most": [most]})
+
+    kind = T.StructType.fromDDL("stock_code long, n_rows long, most double")
+    return M.map_combine(d.table("events").select(F.col("user_id").cast("long").alias("stock_code"), "value"), "stock_code", part, kind, combine, kind)
+
+
+@query(f"SELECT * FROM ({_BY_USER}) WHERE stock_code % 10 > 1")
+def map_combined(d: Domain) -> DataFrame:
+    return _odd_users(d)[0]
+
+
+@query(f"SELECT stock_code, CASE WHEN stock_code % 10 = 0 THEN 'ValueError: bad user ' || stock_code ELSE 'no rows' END error FROM ({_BY_USER}) WHERE stock_code % 10 < 2")
+def map_problems(d: Domain) -> DataFrame:
+    """Codes whose call failed or gave no rows, however many."""
+    return _odd_users(d)[1]
+
+
 # Stored tables
 
 

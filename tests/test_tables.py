@@ -183,10 +183,27 @@ def test_panel(spark):
     with pytest.raises(ValueError, match="more than once"):
         Panel(p.bars.union(p.bars), checked=True)
     assert Panel(bars(spark, ("2024-01-02", "b", 1.0)).limit(0)).rows().count() == 0
+    sparse = Panel(bars(spark, ("2024-01-02", "b", 1.0), ("2024-01-03", "a", 5.0), ("2024-01-04", "b", 3.0), ("2024-01-04", "a", 6.0)), ["a", "z", "b"])
+    assert {(r.stock_code, r.t): r.ret and round(r.ret, 9) for r in sparse.returns().collect()} == {("a", 0): None, ("a", 1): None, ("a", 2): 0.2, ("z", 0): None, ("z", 1): None, ("z", 2): None, ("b", 0): None, ("b", 1): None, ("b", 2): None}
+    thin = sparse.returns(dense=False)
+    assert thin.count() == 4 and "Generate" not in thin._jdf.queryExecution().optimizedPlan().toString()
+    assert sparse.rows().where("stock_code = 'z' and close is null").count() == 3 and Panel(sparse.bars.limit(0), ["z"]).rows().count() == 0
     zero = Panel(bars(spark, ("2024-01-02", "b", 0.0), ("2024-01-03", "b", 1.0)))
     assert [r.ret for r in zero.returns("log").orderBy("t").collect()] == [None, None]
 
 
+def test_matrix_is_put_together_from_tiles(spark, monkeypatch):
+    monkeypatch.setattr("marketframe.operators.panel.TILE", (3, 2))
+    p = Panel(bars(spark, *((f"2024-01-{d:02d}", c, float(10 * d + ord(c))) for d in range(1, 9) for c in "abcde" if (d + ord(c)) % 3)))
+    tiles = p.tiles().collect()
+    assert len(tiles) == 9 and max(len(r.cells) for r in tiles) == 6
+    dense = {(r.t, r.n): r.close for r in p.rows().collect()}
+    for rows, span in ((p.matrix(), range(8)), (p.matrix(2, 4), range(2, 5))):
+        got = {r.t: [c[3] for c in r.cells] for r in rows.collect()}
+        assert got == {t: [dense[t, n] for n in range(5)] for t in span}
+        assert {r.t: str(r.trade_date) for r in rows.collect()} == {t: f"2024-01-{t + 1:02d}" for t in span}
+
+
 def test_universe(spark):
     pool = U.loaded(spark.createDataFrame([(0, "600000.SH", "a"), (4, "000001.SZ", "b")], "stock_index long, stock_code string, stock_name string"))
     members = spark.createDataFrame([("300750.SZ", "c", 1), ("600519.SH", "d", 0), ("600000.SH", "a", 2), ("bad", "x", 3)], "stock_code string, stock_name string, at int")
@@ -246,6 +263,57 @@ def test_map_with_result(spark):
     assert M.summary(r, "k").first().asDict() == {"n_ok": 1, "n_failed": 1, "n_total": 2, "first_errors": ["ZeroDivisionError: division by zero"]} or M.summary(r, "k").first().n_failed == 1
 
 
+def test_numbers_without_one_task(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), F.when(F.col("id") % 50 != 0, F.concat(F.lit("x"), F.col("id"))).alias("b"))
+    got = R.numbered(df.repartition(7), ["a", "b"], "at", 10)
+    assert [r["at"] for r in got.orderBy("a", "b").collect()] == list(range(10, 5010))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(_range" in plan
+    nulls = spark.createDataFrame([(None, "b"), (None, None), (1, None), (0, "z")] * 50, "a int, b string")
+    assert [r["at"] for r in R.numbered(nulls, ["a", "b"], "at").orderBy("a", "b").collect()] == list(range(200))
+    assert R.numbered(df.limit(0), ["a"], "at").count() == 0 and [r["at"] for r in R.numbered(df.limit(1), ["a"], "at").collect()] == [0]
+
+
+def test_reports_keep_a_few(spark):
+    rows = spark.createDataFrame([("a", k % 3 == 0, k, f"{k:03d}") for k in range(300)] + [("b", True, 1, "x"), (None, False, 1, "n")], "g string, ok boolean, n int, code string")
+    got = {r.g: r for r in M.tally(rows, "g", "ok", "n", "code", shown=3).collect()}
+    assert (got["a"].n_ok, got["a"].n_failed, got["a"].failed_codes) == (100, 200, ["001", "002", "004"])
+    assert got["b"].failed_codes == [] and got[None].failed_codes == ["n"]
+    plan = M.tally(rows, "g", "ok", "n", "code")._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_a_group_comes_in_frames(spark):
+    """A large group is never one frame; what fails or gives nothing is listed, and none of its rows count."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    kind = T.StructType.fromDDL("code string, n long")
+
+    def sizes(frames):
+        for f in frames:
+            if f["code"].iloc[0] == "late" and len(f) < 1000:
+                raise KeyError("late")
+            if f["code"].iloc[0] == "none":
+                continue
+            yield f[["code"]].head(1).assign(n=len(f))
+
+    def total(frames):
+        got = [f for f in frames]
+        yield got[0][["code"]].head(1).assign(n=sum(int(f["n"].sum()) for f in got))
+
+    try:
+        codes = F.when(F.col("id") < 20000, "hot").when(F.col("id") < 22500, "late").when(F.col("id") < 22510, "none").otherwise("few")
+        df = spark.range(22600).select(codes.alias("code"), "id")
+        rows, problems = M.map_batches(df, "code", sizes, kind)
+        got = [(r.code, r.n) for r in rows.collect()]
+        assert sum(n for c, n in got if c == "hot") == 20000 and max(n for _, n in got) <= 1000 and {c for c, _ in got} == {"hot", "few"}
+        assert {(r.code, r.error) for r in problems.collect()} == {("late", "KeyError: 'late'"), ("none", "no rows")}
+        rows, problems = M.map_combine(df, "code", sizes, kind, total, kind, parts=4)
+        assert {(r.code, r.n) for r in rows.collect()} == {("hot", 20000), ("few", 90)}
+        assert {(r.code, r.error) for r in problems.collect()} == {("late", "KeyError: 'late'"), ("none", "no rows")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_migrate_legacy(spark, tmp_path):
     for name, head, line in (("raw", "date,open,high,low,close,amount,volume", "2024-01-02,1,2,1,2,9,3"), ("adj", "date,adj_factor", "2024-01-02,1.5")):
         (tmp_path / name).mkdir()
