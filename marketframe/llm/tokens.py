@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 import unicodedata
+from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -11,6 +12,10 @@ import numpy as np
 from marketframe.llm.common import WORDS_KEPT, words_of
 
 
+#: A run of these after a letter is a piece of its own, whatever letter it is.
+SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 @cache
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte: printable Latin-1 stands for itself, the rest follow from U+0100."""
@@ -25,13 +30,25 @@ def ends_in_letter(text: str) -> bool:
     return last.isalpha() and last < "\u0250" and len(last.lower()) == 1 and last.lower().isalpha()
 
 
+class _Words(dict[bytes, bytes]):
+    """Ids of words; a new one is asked for and remembered."""
+
+    def __init__(self, new: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.new(word)
+        return ids
+
+
 class WordTokenizer:
     """Encodes as the tokenizers library does, for tokenizers that drop white space and so never join two words.
 
     A text is split at ASCII white space; each distinct word goes to the library once and its ids are remembered (at most
     ``WORDS_KEPT`` words; more start the memory afresh).  Plain lower-case letters go straight to the library's BPE model, after
     the case folding its normaliser would do; everything else takes the library's whole route, and so does a word whose last letter
-    might fold to a letter and a mark (U+0130), which a full stop behind it would join.  None and empty texts have no ids.
+    might fold to a letter and a mark (U+0130), which a symbol behind it would join.  None and empty texts have no ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,12 +59,12 @@ class WordTokenizer:
         self.library.no_padding()
         self.model = self.library.model
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
-        self.width = np.dtype(f"<u{struct.calcsize(self.code)}")
-        self.words: dict[bytes, bytes] = {}
+        self.width = np.dtype("=u2" if self.code == "H" else "=u4")
+        self.words = _Words(self._new)
         self.cores: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, ids).tobytes()
 
     def _whole(self, word: bytes) -> bytes:
         return self._pack(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
@@ -63,39 +80,28 @@ class WordTokenizer:
         return self._whole(core)
 
     def _new(self, word: bytes) -> bytes:
-        core = word.rstrip(b".,")
-        if not (core.isalpha() or core and core[-1] > 127 and ends_in_letter(core.decode("utf-8", "replace"))):
-            return self._whole(word)
-        # after what is a letter when folded, too, full stops and commas are a piece of their own
-        cores, small = self.cores, core.lower()
+        """Ids of a word not met before.  ``cores`` holds only what is sure to end in a letter when folded, and runs of symbols."""
+        core, cores = word.rstrip(SYMBOLS), self.cores
+        small = core.lower()  # A-Z only
         ids = cores.get(small)
         if ids is None:
+            if not (core.isalpha() or core and core[-1] > 127 and ends_in_letter(core.decode("utf-8", "replace"))):
+                return self._whole(word)
             ids = cores[small] = self._letters(small)
-        if len(core) < len(word):
-            tail = word[len(core) :]
-            ends = cores.get(tail)
-            if ends is None:
-                ends = cores[tail] = self._whole(tail)
-            return ids + ends
-        return ids
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core) :]
+        ends = cores.get(tail)
+        if ends is None:
+            ends = cores[tail] = self._whole(tail)
+        return ids + ends
 
     def packed(self, text: str | None) -> bytes:
-        """Ids as little-endian integers of ``width``."""
-        words = words_of(text)
+        """Ids as integers of ``width``."""
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
             self.cores.clear()
-        known = self.words
-        found = list(map(known.get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = self._new(w)
-                    found[i] = ids
-        return b"".join(found)
+        return b"".join(map(self.words.__getitem__, words_of(text)))
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit integers."""
