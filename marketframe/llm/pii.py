@@ -101,6 +101,11 @@ def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 2, id_col:
     removed holds the starts of those that reveal e in full (1 or more), which are to be taken out, while the others are to be
     generalised; cuts are the spans with such terms told apart.  A text of very many spans takes time nearly in proportion to them.
 
+    A value that one text alone holds has no second text to count in.  But an address is told by the words that it is made of: each word of
+    its local part is a protected entity, too, with the same measure over rows (n_e those with such an address, n_t those with the word
+    anywhere), and needs no support, as the address itself spells it.  So a name stands in clear text no longer where its owner's address
+    names it, unless the word is too common to tell.
+
     Null texts are empty and have no spans.  Repeated ids are separate rows; the same id with the same text gives equal rows.  An
     empty table gives no rows.  Columns other than the two named are not read.
     """
@@ -124,17 +129,25 @@ def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 2, id_col:
     # Words of those texts, and how often each is in any text.  Only then do words meet entities, so that most pairs never arise: of
     # n_et <= n_e follows that a term that tells so much has n_t <= N / (N / n_e) ** disclosure.
     words = maybe_among(seen, "place", frequent.select("place")).select("place", "text_hash", F.explode(_terms(F.col("text"))).alias("term"))
-    shared = written(words.groupBy("term").agg(F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("term"), "pii-words")
+    shared = words.groupBy("term").agg(F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("term")
+    spelled = written(held.where("kind = 0").select("place", F.explode(_terms(F.split_part("value", F.lit("@"), F.lit(1)))).alias("term")).distinct(), "pii-spelled")
+    shared = written(shared.union(spelled.select("term")).distinct(), "pii-words")
     often = maybe_among(rows.select(F.explode(_terms(F.col("text"))).alias("term")), "term", shared).groupBy("term").agg(F.count("*").alias("n_t"))
     most = frequent.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
     limit = lambda n: F.lit(float(total)) / F.pow(F.lit(float(total)) / n, F.lit(disclosure)) * (1 + 1e-9)
-    often = written(often.join(shared, "term", "left_semi").where(F.col("n_t") <= limit(F.lit(float(max(1, most))))), "pii-often")
+    often = often.join(shared, "term", "left_semi")
+    named = spelled.groupBy("term").agg(F.count("*").alias("n_e"))
+    most = max(most, named.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0])
+    often = written(often.where(F.col("n_t") <= limit(F.lit(float(max(1, most))))), "pii-often")
     met = maybe_among(words, "term", often.select("term")).join(often, "term").join(frequent, "place").where(F.col("n_t") <= limit(F.col("n_e")))
     met = written(met.select("place", "text_hash", *entity, "term", "n_t", "n_e"), "pii-met")
     pairs = met.groupBy(*entity, "term").agg(F.countDistinct("text_hash").alias("texts"), F.count("*").alias("n_et"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e")).where(F.col("texts") >= support)
     share = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     told = written(pairs.withColumn("share", share).where(F.col("share") >= disclosure).select(*entity, "term", "share"), "pii-told")
-    extra = met.select("place", *entity, "term").join(told, [*entity, "term"]).groupBy("place", "term").agg(F.max("share").alias("share"))
+    # Every row with such an address has the word, in the address itself: n_et is n_e.
+    own_words = named.where(F.col("n_e") < total).join(often, "term").withColumn("share", F.log(F.lit(float(total)) / F.col("n_t")) / F.log(F.lit(float(total)) / F.col("n_e"))).where(F.col("share") >= disclosure)
+    extra = met.select("place", *entity, "term").join(told, [*entity, "term"]).select("place", "term", "share")
+    extra = extra.unionByName(spelled.join(own_words, "term").select("place", "term", "share")).groupBy("place", "term").agg(F.max("share").alias("share"))
     extra = written(extra.select(F.col("place").alias("at"), "term", (F.col("share") > 1 - 1e-9).alias("full")), "pii-terms")
 
     # Places of told terms: words of the texts that have any, met by an equal join; then a window that runs within one text.
