@@ -2,7 +2,8 @@
 
 Two small frames (a few hundred rows for each year) answer every question by equal keys: ``sessions`` (ord from 1, session_date) and
 ``days`` (cal_date, cnt_le, cnt_lt: sessions up to, and before, each natural day).  The k-th session after d is number
-``cnt_le(d) + k``, the k-th before it ``cnt_lt(d) - k + 1``.  A date beyond the frames' span is brought to its edge first.
+``cnt_le(d) + k``, the k-th before it ``cnt_lt(d) - k + 1``.  A date beyond the frames' span is brought to its edge first.  Both frames are
+made from the sessions' dates, of which there is at most one a natural day, so the driver can hold them; nothing stays cached.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Calendars longer than this are not broadcast: 300 years of days.
@@ -21,18 +22,20 @@ class Calendar:
     """Sessions of a market.  Null dates are dropped, repeated ones count once; without sessions every answer is null."""
 
     def __init__(self, sessions: DataFrame, column: str = "trade_date") -> None:
-        days = sessions.select(F.col(column).cast("date").alias("session_date")).where("session_date is not null").distinct()
-        self.sessions = days.select(F.row_number().over(Window.orderBy("session_date")).cast("long").alias("ord"), "session_date").cache()
-        ends = self.sessions.agg(F.min("session_date").alias("lo"), F.max("session_date").alias("hi"), F.count("*").alias("n")).first()
-        self.first, self.last, self.count = ends.lo, ends.hi, ends.n
         spark = sessions.sparkSession
-        if not self.count:
-            self.days = spark.createDataFrame([], "cal_date date, cnt_le long, cnt_lt long")
-            return
-        span = spark.range(1).select(F.explode(F.sequence(F.lit(self.first - timedelta(1)), F.lit(self.last + timedelta(1)))).alias("cal_date"))
-        here = span.join(self.sessions, span.cal_date == self.sessions.session_date, "left").select("cal_date", F.col("ord").isNotNull().cast("long").alias("is_session"))
-        upto = F.sum("is_session").over(Window.orderBy("cal_date").rowsBetween(Window.unboundedPreceding, 0))
-        self.days = here.select("cal_date", upto.alias("cnt_le"), (upto - F.col("is_session")).alias("cnt_lt")).cache()
+        days = sessions.select(F.col(column).cast("date").alias("d")).where("d is not null").distinct()
+        held = sorted(r.d for r in days.collect())  # at most one row for each natural day
+        self.count = len(held)
+        self.first, self.last = (held[0], held[-1]) if held else (None, None)
+        self.sessions = spark.createDataFrame(list(enumerate(held, 1)), "ord long, session_date date")
+        span, upto = [], 0
+        if held:
+            known, day = set(held), self.first - timedelta(1)
+            while day <= self.last + timedelta(1):
+                upto += day in known
+                span.append((day, upto, upto - (day in known)))
+                day += timedelta(1)
+        self.days = spark.createDataFrame(span, "cal_date date, cnt_le long, cnt_lt long")
 
     def _small(self, frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if not self.count or (self.last - self.first).days < BROADCAST_DAYS else frame

@@ -48,10 +48,16 @@ def split_valid(df: DataFrame, spec: DatasetSpec) -> tuple[DataFrame, DataFrame]
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
 
 
+def first_violations(df: DataFrame, spec: DatasetSpec, shown: int = 5) -> DataFrame:
+    """The key and the violations of the ``shown`` first bad rows by key."""
+    key = [k for k in spec.key if k in df.columns]
+    return split_valid(df, spec)[1].select(*key, "violations").orderBy(*key, "violations").limit(shown)
+
+
 def validated(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """``df``, or RowError with the first five bad rows by key."""
     key = [k for k in spec.key if k in df.columns]
-    bad = split_valid(df, spec)[1].orderBy(*key).limit(6).collect()
+    bad = first_violations(df, spec, 6).collect()
     if bad:
         lines = [f"{tuple(r[k] for k in key)}: {', '.join(r['violations'])}" for r in bad[:5]]
         raise RowError("; ".join([*lines, "and more"] if len(bad) > 5 else lines))

@@ -127,7 +127,7 @@ def constituents(raw: DataFrame, index: str) -> DataFrame:
     return df.select(to_full_stock_code(F.col("code")).alias("stock_code"), F.col("name").alias("stock_name"))
 
 
-STATEMENTS = {"income": ("Financial_Report_Income", INCOME.split()), "balance": ("Financial_Report_Balance", BALANCE.split()), "cashflow": ("Financial_Report_Cashflow", CASHFLOW.split())}
+STATEMENTS = {"income": ("Financial_Report_Income", INCOME), "balance": ("Financial_Report_Balance", BALANCE), "cashflow": ("Financial_Report_Cashflow", CASHFLOW)}
 
 
 def statement(raw: DataFrame, kind: str, code: Column | str | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def indicators(raw: DataFrame) -> DataFrame:
 
 def indicators_percent(raw: DataFrame) -> DataFrame:
     """Indicators of the second vendor: percentages become ratios; pe_ttm and pb are null."""
-    df = numbers(renamed(raw, _INDICATORS_PERCENT), INDICATOR.split())
+    df = numbers(renamed(raw, _INDICATORS_PERCENT), INDICATOR)
     df = df.withColumns({c: F.col(c) / 100 for c in PERCENT} | {"report_date": to_day(F.col("report_date")), "pe_ttm": F.lit(None).cast("double"), "pb": F.lit(None).cast("double")})
     return ensured(df, ["update_time"], "string").select(spec_of("Financial_Indicator").columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 from datetime import date, timedelta
 
@@ -250,6 +251,88 @@ def drift_gate(d: Domain) -> DataFrame:
     return _rows(d.spark, rows, "stored string, drifted boolean, missing array<string>, unknown array<string>")
 
 
+@query(sql("SELECT trade_date, stock_code, high, CASE WHEN trade_date = DATE '1996-03-15' THEN amount * 3 WHEN trade_date = DATE '1997-03-14' THEN amount * 2 ELSE amount END amount FROM bars_wide", "bars_wide"))
+def table_two_writers(d: Domain) -> DataFrame:
+    """Two small upserts that start from the same commit, one in each of two years: the second to claim finds the number taken and goes on."""
+    root = _stored(d, Stock_KData=d.bars_wide())
+    one, other = (Table(d.spark, root, "Stock_KData") for _ in range(2))
+    day = lambda text, times: _as(d.bars_wide().where(F.col("trade_date") == F.lit(text).cast("date")).withColumn("amount", F.col("amount") * times), "Stock_KData")
+    plain = one.commits.claim
+
+    def late(number: int, state: dict) -> bool:
+        one.commits.claim = plain
+        other.upsert(day("1997-03-14", 2))
+        return plain(number, state)
+
+    one.commits.claim = late
+    one.upsert(day("1996-03-15", 3))
+    return one.read().select("trade_date", "stock_code", "high", "amount")
+
+
+@query(sql(f"SELECT type_name, first_date, last_date, row_count, code_count, true same_as_scan FROM ({_coverage_sql('Stock_KData', 'bars_wide', 'trade_date', 'stock_code')})", "bars_wide"))
+def table_statistics(d: Domain) -> DataFrame:
+    """Coverage and fingerprint after three upserts, from the commits alone; the fingerprint beside that of a scan."""
+    table, wide = Table(d.spark, new_root(d.spark), "Stock_KData"), _as(d.bars_wide(), "Stock_KData")
+    table.write(wide.where("trade_date < date'1998-01-01'"))
+    for part in ("month(trade_date) = 2 and year(trade_date) = 1996", "trade_date between date'1998-01-01' and date'1998-06-30'", "trade_date >= date'1998-03-01'"):
+        table.upsert(wide.where(part).withColumn("close", F.col("high")))
+    found = table.coverage().asDict()
+    same = found["fingerprint"] == S.fingerprint(table.read()).first()[0]
+    return _rows(d.spark, [(*(found[c] for c in _STATS), same)], "type_name string, first_date date, last_date date, row_count long, code_count long, same_as_scan boolean")
+
+
+@query(sql("SELECT trade_date, stock_code, high, amount FROM bars_wide WHERE stock_code IN (SELECT DISTINCT " + code_sql("o_custkey") + " FROM orders WHERE o_orderdate < DATE '1993-01-01')", "bars_wide"))
+def table_read_many_codes(d: Domain) -> DataFrame:
+    """A long list of codes as a table: files without any of them are not opened, the rest is a semi-join."""
+    table = Table(d.spark, _stored(d, Stock_KData=d.bars_wide()), "Stock_KData")
+    codes = d.table("orders").where("o_orderdate < date'1993-01-01'").select(F.concat(S.zfill6(F.col("o_custkey")), F.lit(".SZ")).alias("code")).distinct()
+    return table.read(codes=codes).select("trade_date", "stock_code", "high", "amount")
+
+
+@query(sql("SELECT trade_date, stock_code, high, CASE WHEN trade_date >= DATE '2000-01-01' THEN amount * 4 ELSE amount END amount FROM bars_wide", "bars_wide"))
+def table_expired(d: Domain) -> DataFrame:
+    """Three upserts, then everything but the newest commit's folders removed."""
+    table, wide = Table(d.spark, _stored(d, Stock_KData=d.bars_wide()), "Stock_KData"), _as(d.bars_wide().where("trade_date >= date'2000-01-01'"), "Stock_KData")
+    for times in (2, 3, 4):
+        table.upsert(wide.withColumn("amount", F.col("amount") * times))
+    if table.expire(timedelta(0), time.time() + 60)["commits"] != 3:
+        raise AssertionError("three commits were replaced")
+    return table.read().select("trade_date", "stock_code", "high", "amount")
+
+
+@query(sql("SELECT trade_date, stock_code, high, amount FROM bars_wide WHERE trade_date < DATE '1998-01-01'", "bars_wide"))
+def stream_batches_once(d: Domain) -> DataFrame:
+    """Appends of a stream whose first batch is delivered a second time: it is passed over, not refused."""
+    table, wide = Table(d.spark, new_root(d.spark), "Stock_KData"), _as(d.bars_wide(), "Stock_KData")
+    first, second = wide.where("trade_date < date'1996-01-01'"), wide.where("trade_date >= date'1996-01-01' and trade_date < date'1998-01-01'")
+    for number, part in ((0, first), (0, first), (1, second), (1, second)):
+        table.append(part, batch=("stream", number))
+    return table.read().select("trade_date", "stock_code", "high", "amount")
+
+
+@query(sql("SELECT b.trade_date, b.stock_code, close, volume, adj_factor, true counted FROM bars b JOIN basic USING (trade_date, stock_code)", "bars", "basic"))
+def load_legacy(d: Domain) -> DataFrame:
+    """Two folders of CSV files, one folder a code, loaded in bulk; the counts it answers with are those of the tables."""
+    base, root = new_root(d.spark), new_root(d.spark)
+    folder = F.substring("stock_code", 1, 6).alias("code")
+    numbers = ["open", "high", "low", "close", "amount", "volume"]
+    d.bars().select(F.col("trade_date").alias("date"), *numbers, folder).write.partitionBy("code").option("header", True).csv(f"{base}/raw")
+    d.basic().select(F.col("trade_date").alias("date"), "adj_factor", folder).write.partitionBy("code").option("header", True).csv(f"{base}/adjusted")
+    done = load.migrate_legacy(d.spark, root, f"{base}/raw/*/*.csv", f"{base}/adjusted/*/*.csv")
+    bars, basic = (Table(d.spark, root, name) for name in ("Stock_KData", "Stock_Basic_Data"))
+    counted = all((done[f"{t.spec.name}_rows"], done[f"{t.spec.name}_stocks"]) == (t.coverage().row_count, t.coverage().code_count) for t in (bars, basic))
+    met = bars.read().join(basic.read().select("trade_date", "stock_code", "adj_factor"), ["trade_date", "stock_code"])
+    return met.select("trade_date", "stock_code", "close", "volume", "adj_factor", F.lit(counted).alias("counted"))
+
+
+@query(sql("SELECT step, total, added FROM (SELECT 0 step, count(*) total, count(*) added FROM universe WHERE stock_index % 2 = 0 UNION ALL SELECT 1, (SELECT count(*) FROM universe), count(*) FROM universe WHERE stock_index % 2 <> 0 UNION ALL SELECT 2, (SELECT count(*) FROM universe), 0)", "universe"))
+def universe_build(d: Domain) -> DataFrame:
+    """What each of three loads of the universe answers: half the members, all of them, all once more."""
+    root, u = new_root(d.spark), d.universe()
+    done = [P.load_universe(d.spark, root, part) for part in (u.where("stock_index % 2 = 0"), u, u)]
+    return _rows(d.spark, [(k, r["total"], r["added"]) for k, r in enumerate(done)], "step int, total long, added long")
+
+
 # Refreshes
 
 _UNTIL = [date(2024, 1, 15), date(2024, 1, 31)]
@@ -406,6 +489,28 @@ def quality_samples(d: Domain) -> DataFrame:
     return found.where("dimension <> 'overall'").select("dimension", "samples", "reason")
 
 
+@query(sql("SELECT trade_date, CASE WHEN bad THEN 'SZ' || substring(stock_code, 1, 6) ELSE stock_code END stock_code, ['stock_code:code'] violations FROM (SELECT *, substring(stock_code, 1, 6) IN ('000003', '000007') bad FROM bars_wide) WHERE bad ORDER BY 1, 2 LIMIT 5", "bars_wide"))
+def bad_rows_first(d: Domain) -> DataFrame:
+    """The five bad rows that an error message carries."""
+    six = F.substring("stock_code", 1, 6)
+    rows = _as(d.bars_wide().withColumn("stock_code", F.when(six.isin("000003", "000007"), F.concat(F.lit("SZ"), six)).otherwise(F.col("stock_code"))), "Stock_KData")
+    try:
+        Q.validated(rows, spec_of("Stock_KData"))
+        raise AssertionError("bad rows passed")
+    except Q.RowError:
+        return Q.first_violations(rows, spec_of("Stock_KData"))
+
+
+@query(sql("SELECT 'no bars' of_what, 'fail' status, CAST(2 AS INT) exit_code FROM (SELECT count(*) FROM universe) UNION ALL SELECT 'gaps', 'warn', 1 UNION ALL SELECT 'all there', 'ok', 0", "universe"))
+def quality_exits(d: Domain) -> DataFrame:
+    """The overall status and exit code of a report on no bars, on bars with gaps, and on bars without."""
+    bars, columns = d.bars(), ["high", "amount", "volume"]
+    members, days = (bars.select(c).distinct() for c in ("stock_code", "trade_date"))
+    reports = [("no bars", d.universe(), d.calendar(), bars.limit(0)), ("gaps", members.union(members.select(F.lit("none"))), days, bars), ("all there", members, days, bars)]
+    found = [(name, Q.report(u, C.Calendar(s), b, columns).where("dimension = 'overall'").first().status) for name, u, s, b in reports]
+    return _rows(d.spark, [(name, status, Q.exit_code(status)) for name, status in found], "of_what string, status string, exit_code int")
+
+
 @query("SELECT o_orderkey, false success, 'ValueError: bad key ' || o_orderkey error FROM orders WHERE o_orderkey % 10 = 0")
 def map_failures(d: Domain) -> DataFrame:
     return M.failures(_mapped(d)).select("o_orderkey", "success", "error")

@@ -27,36 +27,55 @@ class DatasetSpec:
         return self.schema.names
 
 
-def _schema(fields: str) -> T.StructType:
-    """``name:kind`` for each field; a bare name is a number."""
-    pairs = [(f.split(":") + ["num"])[:2] for f in fields.split()]
-    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in pairs])
+def _schema(**kinds: str) -> T.StructType:
+    """Fields and their kinds, in order."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in kinds.items()])
+
+
+def _numbers(names: list[str]) -> dict[str, str]:
+    return dict.fromkeys(names, "num")
 
 
 # The datasets' fields, in their order.
-INCOME = "total_operate_income operate_income total_operate_cost operate_cost sale_expense manage_expense finance_expense research_expense operate_profit total_profit income_tax netprofit parent_netprofit minority_netprofit basic_eps diluted_eps"
-BALANCE = "total_assets total_current_assets cash_equivalent account_receivable inventory total_noncurrent_assets fixed_asset goodwill total_liability total_current_liability short_loan account_payable total_noncurrent_liability long_loan bond_payable total_equity parent_equity minority_equity capital_reserve surplus_reserve retained_earnings"
-CASHFLOW = "operate_cash_flow_net sale_service_cash buy_service_cash invest_cash_flow_net invest_pay_cash finance_cash_flow_net borrow_cash repay_debt_cash dividend_pay_cash cash_net_increase cash_end_period cash_begin_period"
-INDICATOR = "eps bvps roe_weighted gross_margin net_margin revenue_yoy netprofit_yoy debt_asset_ratio pe_ttm pb"
+INCOME = [
+    "total_operate_income", "operate_income", "total_operate_cost", "operate_cost", "sale_expense", "manage_expense",
+    "finance_expense", "research_expense", "operate_profit", "total_profit", "income_tax", "netprofit",
+    "parent_netprofit", "minority_netprofit", "basic_eps", "diluted_eps",
+]
+BALANCE = [
+    "total_assets", "total_current_assets", "cash_equivalent", "account_receivable", "inventory",
+    "total_noncurrent_assets", "fixed_asset", "goodwill", "total_liability", "total_current_liability", "short_loan",
+    "account_payable", "total_noncurrent_liability", "long_loan", "bond_payable", "total_equity", "parent_equity",
+    "minority_equity", "capital_reserve", "surplus_reserve", "retained_earnings",
+]
+CASHFLOW = [
+    "operate_cash_flow_net", "sale_service_cash", "buy_service_cash", "invest_cash_flow_net", "invest_pay_cash",
+    "finance_cash_flow_net", "borrow_cash", "repay_debt_cash", "dividend_pay_cash", "cash_net_increase",
+    "cash_end_period", "cash_begin_period",
+]
+INDICATOR = [
+    "eps", "bvps", "roe_weighted", "gross_margin", "net_margin", "revenue_yoy", "netprofit_yoy", "debt_asset_ratio",
+    "pe_ttm", "pb",
+]
 _DAY, _QUARTER = ("trade_date", "stock_code"), ("stock_code", "report_date")
 
 
-def _report(name: str, amounts: str) -> DatasetSpec:
-    return DatasetSpec(name, _schema(f"stock_code:str report_date:date {amounts} update_time:str"), _QUARTER, "quarterly", time_col="report_date")
+def _report(name: str, amounts: list[str]) -> DatasetSpec:
+    return DatasetSpec(name, _schema(stock_code="str", report_date="date", **_numbers(amounts), update_time="str"), _QUARTER, "quarterly", time_col="report_date")
 
 
 REGISTRY: dict[str, DatasetSpec] = {
     s.name: s
     for s in (
-        DatasetSpec("Stock_KData", _schema("trade_date:date stock_code:str open high low close amount volume"), _DAY, "daily", time_col="trade_date"),
-        DatasetSpec("Stock_Basic_Data", _schema("trade_date:date stock_code:str adj_factor limit_upper_price limit_lower_price sw_industry:str total_share turnover is_activate:bool"), _DAY, "daily", time_col="trade_date"),
-        DatasetSpec("Trade_Date", _schema("trade_date:date"), ("trade_date",), "daily", format="csv", time_col="trade_date", code_col=None),
-        DatasetSpec("Universe", _schema("stock_index:int stock_code:str stock_name:str ipo_date:date"), ("stock_index",), "static", format="csv"),
+        DatasetSpec("Stock_KData", _schema(trade_date="date", stock_code="str", **_numbers(["open", "high", "low", "close", "amount", "volume"])), _DAY, "daily", time_col="trade_date"),
+        DatasetSpec("Stock_Basic_Data", _schema(trade_date="date", stock_code="str", adj_factor="num", limit_upper_price="num", limit_lower_price="num", sw_industry="str", total_share="num", turnover="num", is_activate="bool"), _DAY, "daily", time_col="trade_date"),
+        DatasetSpec("Trade_Date", _schema(trade_date="date"), ("trade_date",), "daily", format="csv", time_col="trade_date", code_col=None),
+        DatasetSpec("Universe", _schema(stock_index="int", stock_code="str", stock_name="str", ipo_date="date"), ("stock_index",), "static", format="csv"),
         _report("Financial_Report_Income", INCOME),
         _report("Financial_Report_Balance", BALANCE),
         _report("Financial_Report_Cashflow", CASHFLOW),
         _report("Financial_Indicator", INDICATOR),
-        DatasetSpec("Dividend_History", _schema("stock_code:str ex_date:date record_date:date pay_date:date report_date:date dividend_per_share share_bonus_per_share share_dividend_per_share update_time:str"), ("stock_code", "ex_date"), "static", time_col="ex_date"),
+        DatasetSpec("Dividend_History", _schema(stock_code="str", ex_date="date", record_date="date", pay_date="date", report_date="date", **_numbers(["dividend_per_share", "share_bonus_per_share", "share_dividend_per_share"]), update_time="str"), ("stock_code", "ex_date"), "static", time_col="ex_date"),
     )
 }
 ALIASES = {"TradeDate": "Trade_Date"}
