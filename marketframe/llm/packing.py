@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import id_text, in_batches, rows_of, written
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("copy", pa.int64())])
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long, sequence_id long, offset long, left long"
+_PACKED = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "copy": "long", "sequence_id": "long", "offset": "long", "left": "long"}
 #: Pieces that one task packs; groups are drawn by hash, so no key is hot.
 GROUP_PIECES = 4096
 
@@ -89,9 +89,9 @@ def pack(rows: DataFrame, capacity: int, *, group_pieces: int = GROUP_PIECES) ->
         def one(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["length", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
             where, offset, left = sum_of_squares(group["length"].to_numpy(), capacity)
-            return group.assign(sequence_id=(2 * group["pack_group"] + seed) * (1 << 32) + where, offset=offset, left=left[where])[_PACKED.replace(",", "").split()[::2]]
+            return group.assign(sequence_id=(2 * group["pack_group"] + seed) * (1 << 32) + where, offset=offset, left=left[where])[list(_PACKED)]
 
-        return deal(part, seed).groupBy("pack_group").applyInPandas(one, _PACKED)
+        return deal(part, seed).groupBy("pack_group").applyInPandas(one, ", ".join(f"{name} {kind}" for name, kind in _PACKED.items()))
 
     once = written(packed(rows, 0), "packed")
     again = packed(once.where("left > 0").select(rows.columns), 1)
