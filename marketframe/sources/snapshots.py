@@ -178,15 +178,11 @@ class Table:
 
     def _codes(self, state: State, years: Sequence[int] | None = None) -> DataFrame:
         """folder, year, file, code: the codes of each file that the table is read from, kept beside the rows."""
-        out = self.spark.createDataFrame([], "folder string, year int, file string, code string")
-        folders: dict[str, list[int]] = {}
-        for p in state.parts:
-            if years is None or p.year in years:
-                folders.setdefault(p.folder, []).append(p.year)
-        for folder, own in sorted(folders.items()):
-            df = self.spark.read.schema("year int, file string, code string").parquet(f"{self.path}/_codes/{folder}")
-            out = out.unionByName(df.where(F.col("year").isin(own)).select(F.lit(folder).alias("folder"), "year", "file", "code"))
-        return out
+        kinds, parts = "folder string, year int, file string, code string", [p for p in state.parts if years is None or p.year in years]
+        if not parts:
+            return self.spark.createDataFrame([], kinds)
+        held = self.spark.read.schema(kinds).parquet(*(f"{self.path}/_codes/{f}" for f in sorted({p.folder for p in parts})))
+        return held.where(F.concat_ws("/", "folder", "year").isin([f"{p.folder}/{p.year}" for p in parts]))
 
     def files_with(self, codes: Sequence[str] | DataFrame, years: Sequence[int] | None = None, state: State | None = None) -> dict[str, list[str]]:
         """Of each folder the files that hold any of some codes."""
@@ -274,7 +270,7 @@ class Table:
             df.sortWithinPartitions(*dict.fromkeys(["_year", *code, self.spec.time_col])).write.partitionBy("_year").parquet(at)
             if code:
                 written = self.spark.read.schema(self._stored).parquet(at)
-                held = written.where(F.col(code[0]).isNotNull()).select(F.col("_year").alias("year"), F.col("_metadata.file_name").alias("file"), F.col(code[0]).alias("code"))
+                held = written.where(F.col(code[0]).isNotNull()).select(F.lit(name).alias("folder"), F.col("_year").alias("year"), F.col("_metadata.file_name").alias("file"), F.col(code[0]).alias("code"))
                 held.distinct().coalesce(1).write.parquet(f"{self.path}/_codes/{name}")
         weight = {y: self.folder.weight(f"{name}/_year={y}" if self.by_year else name) for y in stats}
         return [Part(y, name, order, s.rows, *weight[y]) for y, s in stats.items()]
