@@ -19,6 +19,8 @@ BLOCK_WORDS = ["ads", "adult", "bet", "bets", "bingo", "casino", "cheap", "jackp
 SEED_ODDS = 50.0
 #: Letters of the longest word that the segmentation may take: a whole host label.
 LONGEST = 63
+#: Words of a to z of up to so many letters are few.
+SHORT = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,12 +63,14 @@ def viterbi(token: str, logs: dict[tuple[int, int], float], unknown: float) -> l
 def segmented(tokens: DataFrame, unigrams: DataFrame, total: float) -> DataFrame:
     """token, words: the split of every distinct token (at most 63 letters, as in a host name).
 
-    All substrings of a token up to ``LONGEST`` letters meet the unigram counts in a join, so the vocabulary may have any size.
+    All substrings of a token up to ``LONGEST`` letters meet the unigram counts in a join, so the vocabulary may have any size.  Those of up
+    to ``SHORT`` letters are the frequent ones; there are at most 18,278 such words, which are broadcast.
     """
     spots = tokens.select("token", F.explode(F.expr("sequence(0, length(token) - 1)")).alias("place"))
     spots = spots.select("token", "place", F.explode(F.expr(f"sequence(1, least({LONGEST}, length(token) - place))")).alias("n"))
     spots = spots.withColumn("word", F.expr("substring(token, place + 1, n)"))
-    known = spots.join(unigrams, "word").groupBy("token").agg(F.collect_list(F.struct("place", "n", "count")).alias("found"))
+    short = spots.where(F.col("n") <= SHORT).join(F.broadcast(unigrams.where(F.length("word") <= SHORT)), "word")
+    known = short.unionByName(spots.where(F.col("n") > SHORT).join(unigrams.where(F.length("word") > SHORT), "word")).groupBy("token").agg(F.collect_list(F.struct("place", "n", "count")).alias("found"))
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
