@@ -79,7 +79,12 @@ class _Search:
         least = surely(self.keys, self.percent, 1e-5)
         held = self.reps.select("rep", "n", F.explode("lows").alias("value"))
         often = written(held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "often")  # a plain table, so Spark can split the join
-        ranked = held.join(often, "value", "left").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "value"))).alias("v"))
+        # Values in one of 10,000 postings or more: at most 10,000 of them, so they are broadcast; no other value fills a task of the join.
+        hot = often.where(F.col("f") * 10_000 >= held.count()).select(F.col("value").alias("hot"), F.col("f").alias("hot_f"))
+        marked = held.join(F.broadcast(hot), F.col("value") == F.col("hot"), "left").drop("hot")
+        counted = marked.where("hot_f is null").drop("hot_f").join(often, "value", "left").select("rep", "n", "value", "f")
+        counted = counted.unionByName(marked.where("hot_f is not null").select("rep", "n", "value", F.col("hot_f").alias("f")))
+        ranked = counted.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "value"))).alias("v"))
         room = F.size("v") - F.least(F.lit(least), _ceil_share(F.col("n"), self.percent)) + 1
         rare = ranked.select("rep", "n", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["f"]).alias("central"), F.explode(F.slice("v", F.lit(1), room.cast("int"))).alias("x"))
         return rare.where("x.f > 1").select("rep", "n", "central", F.col("x.value").alias("value"))
