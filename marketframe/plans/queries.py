@@ -560,7 +560,7 @@ def _odd_users(d: Domain) -> tuple[DataFrame, DataFrame]:
         yield pd.DataFrame({"stock_code": [user], "n_rows": [n], "most": [most]})
 
     kind = T.StructType.fromDDL("stock_code long, n_rows long, most double")
-    return M.map_combine(d.table("events").select(F.col("user_id").cast("long").alias("stock_code"), "value"), "stock_code", part, kind, combine, kind)
+    return M.map_combine(d.table("events").select(F.col("user_id").cast("long").alias("stock_code"), "value"), "stock_code", part, kind, combine, kind, parts=4)
 
 
 @query(f"SELECT * FROM ({_BY_USER}) WHERE stock_code % 10 > 1")

@@ -281,11 +281,11 @@ def table_statistics(d: Domain) -> DataFrame:
     return _rows(d.spark, [(*(found[c] for c in _STATS), same)], "type_name string, first_date date, last_date date, row_count long, code_count long, same_as_scan boolean")
 
 
-@query(sql("SELECT trade_date, stock_code, high, amount FROM bars_wide WHERE stock_code IN (SELECT DISTINCT " + code_sql("o_custkey") + " FROM orders WHERE o_orderdate < DATE '1993-01-01')", "bars_wide"))
+@query(sql("SELECT trade_date, stock_code, high, amount FROM bars_wide WHERE stock_code IN (SELECT DISTINCT " + code_sql("o_custkey") + " FROM orders WHERE o_orderdate < DATE '1997-01-01')", "bars_wide"))
 def table_read_many_codes(d: Domain) -> DataFrame:
     """A long list of codes as a table: files without any of them are not opened, the rest is a semi-join."""
     table = Table(d.spark, _stored(d, Stock_KData=d.bars_wide()), "Stock_KData")
-    codes = d.table("orders").where("o_orderdate < date'1993-01-01'").select(F.concat(S.zfill6(F.col("o_custkey")), F.lit(".SZ")).alias("code")).distinct()
+    codes = d.table("orders").where("o_orderdate < date'1997-01-01'").select(F.concat(S.zfill6(F.col("o_custkey")), F.lit(".SZ")).alias("code")).distinct()
     return table.read(codes=codes).select("trade_date", "stock_code", "high", "amount")
 
 
@@ -316,8 +316,8 @@ def load_legacy(d: Domain) -> DataFrame:
     base, root = new_root(d.spark), new_root(d.spark)
     folder = F.substring("stock_code", 1, 6).alias("code")
     numbers = ["open", "high", "low", "close", "amount", "volume"]
-    d.bars().select(F.col("trade_date").alias("date"), *numbers, folder).write.partitionBy("code").option("header", True).csv(f"{base}/raw")
-    d.basic().select(F.col("trade_date").alias("date"), "adj_factor", folder).write.partitionBy("code").option("header", True).csv(f"{base}/adjusted")
+    d.bars().select(F.col("trade_date").alias("date"), *numbers, folder).repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/raw")
+    d.basic().select(F.col("trade_date").alias("date"), "adj_factor", folder).repartition("code").write.partitionBy("code").option("header", True).csv(f"{base}/adjusted")
     done = load.migrate_legacy(d.spark, root, f"{base}/raw/*/*.csv", f"{base}/adjusted/*/*.csv")
     bars, basic = (Table(d.spark, root, name) for name in ("Stock_KData", "Stock_Basic_Data"))
     counted = all((done[f"{t.spec.name}_rows"], done[f"{t.spec.name}_stocks"]) == (t.coverage().row_count, t.coverage().code_count) for t in (bars, basic))
