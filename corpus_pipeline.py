@@ -29,7 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and the terms that reveal it taken out of their texts; n_chars follows."""
+    """All documents, personal data and the terms that reveal it taken out of their texts; n_chars follows.
+
+    Null texts stay null, as does their n_chars; ids may be null or repeated; repeated rows are cleaned alike, each by itself; an empty
+    table gives no rows.
+    """
     return pii.sanitise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
