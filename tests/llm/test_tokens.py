@@ -66,6 +66,18 @@ def test_transducer_is_the_library(library):
         assert "".join(c.decode(ids, chunk=3)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_a_text_without_white_space_comes_bit_by_bit(library):
+    """Letters, marks, added tokens and symbols in one word of 600,000 bytes: the library's ids, never many at once."""
+    rng, c = random.Random(31), bpe.Codec(PATH)
+    bits = ["the", "ing", "str", "\u00e9t\u00e9", "A", "'s", "12", "!!", "<|endoftext|>", "\u65e5", "\u0130", "e\u0301", "zzz", "\u00a0"]
+    text = "some words \n " + "".join(rng.choice(bits) for _ in range(180_000)) + " and more"
+    parts = list(c.stream(text))
+    assert max(map(len, parts)) <= bpe.AT_ONCE and sum(map(len, parts)) > 3 * bpe.AT_ONCE
+    assert np.concatenate(parts).tolist() == library.encode(text, add_special_tokens=False).ids
+    word = "".join(rng.choice(["an", "ther", "q", "ou", "ing", "x"]) for _ in range(100_000))
+    assert c.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_stretches_change_nothing(library, monkeypatch):
     c = bpe.Codec(PATH)
     text = " \n".join(f"word{k} \u00e9t\u00e9 {'x' * (k % 40)}" for k in range(300)) + "\u00a0end"
