@@ -25,6 +25,8 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 _NEVER = 1 << 60
 #: Bytes of a text that are encoded at once.
 STRETCH = 1 << 16
+#: Ids that a longer word gives at once.
+AT_ONCE = 1 << 14
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -47,6 +49,9 @@ class Merges:
             self.made[a + b] = k, a, b
         self.vocab = vocab
         self.lookahead = max([1, *(len(self._symbols(t)) for t in self.made)])
+        # What a token can end in: a search for the token at a place goes back only while there is such a token.
+        ends = ((self._symbols(t), end if self._symbols(t) != t else "") for t in self.made)
+        self.endings = {body[k:] + close for body, close in ends for k in range(len(body))}
         self.right = lru_cache(1 << 17)(lambda t: self._spine(t, 2))
         self.left = lru_cache(1 << 17)(lambda t: self._spine(t, 1))
         self.token = lru_cache(1 << 18)(self._token)
@@ -88,11 +93,14 @@ class Merges:
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each as soon as no further symbol can change it.  Holds a few times ``lookahead`` symbols."""
-        reach, end, token, apart, made = self.lookahead, self.end, self.token, self.apart, self.made
+        reach, end, token, apart, made, endings = self.lookahead, self.end, self.token, self.apart, self.made, self.endings
         text, last, back = "", [""], [0]  # of each prefix: its last token and that token's length; both from the last stable place on
 
         def step(n: int, close: str) -> None:
-            for k in range(min(n, reach), 0, -1):
+            most = 1
+            while most < n and text[n - most - 1 : n] + close in endings:
+                most += 1
+            for k in range(most, 0, -1):
                 t = text[n - k : n] + close
                 if (k == 1 or t in made) and token(t) and (n == k and not last[0] or apart(last[n - k], t)):
                     last.append(t)
@@ -150,7 +158,7 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.vocab = model["vocab"]
         pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace("\\s", WHITE)).findall
+        self.pieces = regex.compile(pattern.replace("\\s", WHITE))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         strings = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.strings = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
@@ -175,39 +183,65 @@ class Codec:
                 self.piece_ids[piece] = ids
         return ids
 
+    @staticmethod
+    def _folded(part: str) -> str:
+        return unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+
+    def _long(self, word: bytes) -> Iterator[np.ndarray]:
+        """Ids of a word of any length, ``AT_ONCE`` at a time; its pieces are neither gathered nor remembered."""
+        text, letters, held = word.decode("utf-8", "replace"), byte_letters(), []
+        for k, part in enumerate(self.specials.split(text)):
+            if k % 2:
+                held.append(self.added[part])
+                continue
+            for piece in self.pieces.finditer(self._folded(part)):
+                for t in self.merges.stream(piece.group().encode("utf-8").decode("latin-1").translate(letters)):
+                    held.append(self.vocab[t])
+                    if len(held) == AT_ONCE:
+                        yield np.array(held, "<u4")
+                        held = []
+        yield np.array(held, "<u4")
+
     def _word(self, word: bytes) -> bytes:
         text, out = word.decode("utf-8", "replace"), []
         for k, part in enumerate(self.specials.split(text) if "<|" in text else [text]):
             if k % 2:
                 out.append(struct.pack(f"<{self.code}", self.added[part]))
             elif part:
-                folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self._piece, self.pieces(folded))
+                folded = self._folded(part)
+                out += map(self._piece, self.pieces.findall(folded))
         return b"".join(out)
 
     def stream(self, text: str | None) -> Iterator[np.ndarray]:
         """Ids of a whole text, stretch by stretch (about ``STRETCH`` bytes, cut at white space, which no token reaches across).  Words are
-        encoded once and remembered."""
-        raw, at, known = (text or "").encode("utf-8", "surrogatepass"), 0, self.known
+        encoded once and remembered; one that is longer than a stretch is encoded symbol by symbol."""
+        raw, at = (text or "").encode("utf-8", "surrogatepass"), 0
         while at < len(raw):
             gap = _SPACE.search(raw, at + STRETCH)
             end = gap.start() if gap else len(raw)
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                self.piece_ids.clear()
-            words, at = raw[at:end].split(), end
-            found = list(map(known.get, words))
-            if None in found:
-                for i, ids in enumerate(found):
+            words, size, at = raw[at:end].split(), end - at, end
+            long = words.pop() if size > 2 * STRETCH else None  # only the last word reaches so far
+            yield self._stretch(words)
+            if long is not None:
+                yield from self._long(long)
+
+    def _stretch(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > WORDS_KEPT:
+            known.clear()
+            self.piece_ids.clear()
+        found = list(map(known.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = known.get(w)
                     if ids is None:
-                        w = words[i]
-                        ids = known.get(w)
-                        if ids is None:
-                            ids = self._word(w)
-                            if len(w) <= 64:
-                                known[w] = ids
-                        found[i] = ids
-            yield np.frombuffer(b"".join(found), f"<u{struct.calcsize(self.code)}").astype("<u4")
+                        ids = self._word(w)
+                        if len(w) <= 64:
+                            known[w] = ids
+                    found[i] = ids
+        return np.frombuffer(b"".join(found), f"<u{struct.calcsize(self.code)}").astype("<u4")
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text at once."""
@@ -236,8 +270,8 @@ def codec(path: str) -> Codec:
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Ids go from the encoder through the hash into the decoder stretch by stretch; beside the text itself no more than a stretch of
-    words and ids is held.
+    Ids go from the encoder through the hash into the decoder stretch by stretch; beside the text itself (and, of a word longer than a
+    stretch, its folded form) no more than a stretch of words and ids is held.
 
     Null and empty texts have no ids; their hashes are those of the empty text.  Repeated ids are separate rows; columns other than
     the two named are not read.  No shuffle.
