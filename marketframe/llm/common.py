@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 #: Words that one Python worker remembers before it starts afresh; bounds its memory, changes no result.  Hashes are cheap to make again.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 19
 HASHES_KEPT = 1 << 17
 ROWS_AT_ONCE = 256
 _BITS = 1 << 22
