@@ -56,12 +56,23 @@ def first_by(df: DataFrame, group: str, value: str, shown: int, name: str) -> Da
     return few.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias(name))  # at most ``shown``
 
 
-def tally(df: DataFrame, group: str, success: str, rows: str, code: str, shown: int = 5) -> DataFrame:
-    """Per group: n_ok, n_failed, total_rows, and the ``shown`` first failed codes in order (``failed`` lists them all, as rows)."""
+def all_by(df: DataFrame, group: str, code: str, name: str) -> DataFrame:
+    """group and ``name``: all codes of each group in order, nulls last, repeats included.  Tasks sort the pieces of a group that start with
+    the same three characters; who puts them in a row only strings sorted pieces together."""
+    piece = df.groupBy(group, F.substring(code, 1, 3).alias("_piece")).agg(F.array_sort(F.collect_list(code)).alias("_codes"), F.count_if(F.col(code).isNull()).alias("_none"))
+    whole = piece.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_piece", "_codes"))).alias("_pieces"), F.sum("_none").cast("int").alias("_none"))
+    return whole.select(group, F.concat(F.flatten("_pieces._codes"), F.array_repeat(F.lit(None).cast("string"), F.col("_none"))).alias(name))
+
+
+def tally(df: DataFrame, group: str, success: str, rows: str, code: str, shown: int | None = 5) -> DataFrame:
+    """Per group: n_ok, n_failed, total_rows, and the ``shown`` first failed codes in order, or all of them with None (``failed`` lists them
+    as rows)."""
     counts = df.groupBy(group).agg(F.count_if(F.col(success)).alias("n_ok"), F.count_if(~F.col(success)).alias("n_failed"), F.sum(rows).alias("total_rows"))
-    first = first_by(df.where(~F.col(success)), group, code, shown, "failed_codes").withColumnRenamed(group, "_group")
-    met = counts.join(first, counts[group].eqNullSafe(first["_group"]), "left").drop("_group")
-    return met.withColumn("failed_codes", F.coalesce("failed_codes", F.array().cast(first.schema["failed_codes"].dataType)))
+    bad = df.where(~F.col(success))
+    codes = all_by(bad, group, code, "failed_codes") if shown is None else first_by(bad, group, code, shown, "failed_codes")
+    codes = codes.withColumnRenamed(group, "_group")
+    met = counts.join(codes, counts[group].eqNullSafe(codes["_group"]), "left").drop("_group")
+    return met.withColumn("failed_codes", F.coalesce("failed_codes", F.array().cast(codes.schema["failed_codes"].dataType)))
 
 
 def failed(df: DataFrame, code: str, success: str) -> DataFrame:

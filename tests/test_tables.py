@@ -3,6 +3,7 @@
 import re
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from marketframe.operators import normalize as N
 from marketframe.operators import relational as R
 from marketframe.operators import universe as U
 from marketframe.operators.panel import Panel
+from marketframe.plans import queries
 from marketframe.plans import refresh as P
 from marketframe.sources import load
 from marketframe.sources.snapshots import Manifest, Table, VersionError, drifted, resume, status
@@ -283,6 +285,18 @@ def test_reports_keep_a_few(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_a_tally_of_all_failed_codes(spark, tmp_path):
+    """The whole list, as SQL has it: sorted as text, repeats and nulls included, null where nothing failed."""
+    orders = [(k, (k * 7919 % 500) if k % 11 else None, "F" if k % 3 else "O", "12"[k % 2]) for k in range(3000)] + [(5000, 1, "O", "9"), (5001, 2, "F", None), (5002, 3, None, "1")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    rows = con.execute(queries.ORACLES["task_tally"]).fetchall()
+    got = {r.o_orderpriority: (r.n_ok, r.n_failed, r.total_rows, r.failed_codes) for r in queries.QUERIES["task_tally"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1:] for r in rows}
+    assert len(got["1"][3]) == got["1"][1] > 900 and None in got["1"][3] and got["9"][3] is None
+
+
 def test_a_group_comes_in_frames(spark):
     """A large group is never one frame; what fails or gives nothing is listed, and none of its rows count."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
