@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import grams, id_text, in_batches, rows_of, word_hashes, words_of, written
@@ -54,24 +54,19 @@ def _mean(ratio: np.ndarray, width: int, raw: bytes) -> float:
     return float(ratio[at].mean()) if len(at) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 15, width: int = 3, labelled_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit the two multinomials and the threshold.
+def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 15, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """Fit the two multinomials and the threshold, on every document and every label.
 
-    Raw corpus: n-gram counts of every document.  Trusted target: the documents among ``labelled_rows`` labelled good and not toxic;
-    the threshold separates the target's scores from those of as many rows labelled bad (a bounded sample, the first by a hash of
-    the id, so it depends on no order; of documents with one id one text stands for it).  Rows labelled both ways are left out.  What reaches the driver is one row for each bucket and
-    each sampled score.
+    Raw corpus: n-gram counts of every document.  Trusted target: all documents labelled good and not toxic; the threshold separates
+    their scores from those of all documents labelled bad.  Ids labelled both ways are left out; of several documents with one id each
+    counts.  What reaches the driver is one row for each bucket, and one for each of ``nth``'s stretches.
 
     No labels, or none of one kind: the ratio is 0 or the threshold -infinity, and every document is kept.
     """
     per_id = labels.select(F.col(id_col).cast("long").alias("id"), "quality", "toxic").where("id is not null and quality is not null")
     per_id = per_id.groupBy("id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("low = high")
-    sample = lambda rows, good: rows.orderBy(F.xxhash64("id"), "id").limit(labelled_rows).select("id", F.lit(good).alias("good"))
-    ids = written(sample(per_id.where("low = 1 and toxic = 0"), True).union(sample(per_id.where("low = 0"), False)), "labelled")
+    ids = written(per_id.where("low = 0 or low = 1 and toxic = 0").select("id", (F.col("low") == 1).alias("good")), "labelled")
     rows = id_text(docs, id_col, text_col)
-    # Two numbers a row, 2 * labelled_rows rows at most; then one text for each id, so what is scored is bounded as well.
-    one = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text"))
-    labelled = written(rows.join(F.broadcast(ids), "id").withColumn("at", one).where("at = 1").select("good", "text"), "labelled-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(buckets, np.int64)
@@ -86,32 +81,53 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 15, width: in
             found[r.bucket] = r.n
         return found
 
-    raw, target = counts(rows), counts(labelled.where("good"))
+    # Good ids as bits, 64 ids a row: mostly small enough for Spark to broadcast, so texts stay where they are.
+    bit = F.expr("cast(pmod(id, 64) as int)")
+    bits = written(ids.where("good").groupBy(F.shiftright("id", 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "good-bits")
+    among = rows.where("id is not null").join(bits, F.shiftright("id", 6) == F.col("slot")).where(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    raw, target = counts(rows), counts(among)
     if not target.any():
         return QualityModel(np.zeros(buckets), width, -np.inf)
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * buckets)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * buckets))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for good, text in rows_of(batches, "good", "text"):
-            yield good, _mean(ratio, width, _raw(text))
+        for doc, text in rows_of(batches, "id", "text"):
+            yield doc, _mean(ratio, width, _raw(text))
+
+    # Scored before the join, so that it moves two numbers a row and no texts.
+    kinds = pa.schema([("id", pa.int64()), ("score", pa.float64())])
+    scored = rows.where("id is not null").mapInArrow(lambda b: in_batches(score(b), kinds), "id long, score double")
+    return QualityModel(ratio, width, threshold(written(scored.join(ids, "id").select("good", "score"), "label-scores")))
+
 
-    kinds = pa.schema([("good", pa.bool_()), ("score", pa.float64())])
-    found = labelled.mapInArrow(lambda b: in_batches(score(b), kinds), "good boolean, score double").collect()
-    ups, downs = sorted(r.score for r in found if r.good), sorted(r.score for r in found if not r.good)
-    return QualityModel(ratio, width, threshold(ups, downs))
+def nth(values: DataFrame, column: str, place: int, stretches: int = 4096) -> float:
+    """The number at a place (from 0) of a column in order, exactly.  Rows are counted by stretches between the lowest and the highest
+    number, then within the stretch of that place, until it holds one number; a row for each stretch reaches the driver."""
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        spot = F.floor((F.col(column) - low) / (high - low) * (stretches - 1)).alias("spot")
+        for r in values.where(F.col(column).between(low, high)).groupBy(spot).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("spot").collect():
+            if place < r.n:
+                low, high = r.low, r.high
+                break
+            place -= r.n
+    return low
 
 
-def threshold(ups: list[float], downs: list[float]) -> float:
-    """Between the two kinds of score, near the good ones: a quarter of the way from the 5th thousandth of the good scores down to
-    the 95th hundredth of those bad scores that lie below it.
+def threshold(scores: DataFrame) -> float:
+    """Between the two kinds of score (``good``, ``score``), near the good ones: a quarter of the way from the 5th thousandth of the good
+    scores down to the 95th hundredth of those bad scores that lie below it.
 
     No bad score below that point: a margin under the good ones as wide as from their median to there.  No good scores: -infinity.
     """
-    if not ups:
+    ups = scores.where("good")
+    n = ups.count()
+    if not n:
         return -np.inf
-    edge, middle = ups[len(ups) * 5 // 1000], ups[len(ups) // 2]
-    under = [x for x in downs if x < edge]
-    return edge - (edge - under[len(under) * 95 // 100]) / 4 if under else edge - (middle - edge)
+    edge = nth(ups, "score", n * 5 // 1000)
+    under = scores.where(~F.col("good") & (F.col("score") < edge))
+    m = under.count()
+    return edge - (edge - nth(under, "score", m * 95 // 100)) / 4 if m else edge - (nth(ups, "score", n // 2) - edge)
 
 
 def features(text: str | None) -> tuple[int, int, int, int, int]:

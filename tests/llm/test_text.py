@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketframe.llm import lm, pii, quality
@@ -57,6 +58,31 @@ def test_quality_on_held_out_rows(spark):
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_every_label_counts(spark):
+    """Target and threshold over more labelled rows than any bound there was, as a plain computation has them."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "nation", "ration"]) + rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(4600)]
+    texts += [" ".join(rng.choice(["XX!", "Y##", "the"]) for _ in range(rng.randint(1, 9))) for _ in range(4300)]
+    labels = [(i, int(i < 4600), int(i % 50 == 0)) for i in range(8900)]
+    model = quality.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(3), buckets=1 << 12)
+    hits = lambda some: np.bincount(np.concatenate([quality._buckets(t.encode(), 3, 1 << 12) for t in some]), minlength=1 << 12)
+    raw, target = hits(texts), hits([texts[i] for i, q, t in labels if q and not t])
+    ratio = np.log((target + 0.5) / (target.sum() + 2048)) - np.log((raw + 0.5) / (raw.sum() + 2048))
+    assert np.allclose(model.ratio, ratio, rtol=0, atol=1e-12)
+    scores = [quality._mean(model.ratio, 3, t.encode()) for t in texts]
+    ups, downs = sorted(scores[i] for i, q, t in labels if q and not t), sorted(scores[i] for i, q, _ in labels if not q)
+    edge = ups[len(ups) * 5 // 1000]
+    under = [x for x in downs if x < edge]
+    assert len(ups) > 4000 and under and model.threshold == edge - (edge - under[len(under) * 95 // 100]) / 4
+
+
+@pytest.mark.parametrize("values", [[0.5], [1.0] * 9, [5e-324, 0.0, 1e300, -1e300, 2.0, 2.0], [k**3 / 7 for k in range(-50, 50)]])
+def test_number_at_a_place(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(2)
+    for k in {0, len(values) // 3, len(values) - 1}:
+        assert quality.nth(rows, "v", k, 4) == sorted(values)[k]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
