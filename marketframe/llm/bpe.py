@@ -10,7 +10,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ _NEVER = 1 << 60
 STRETCH = 1 << 16
 #: Ids that a longer word gives at once.
 AT_ONCE = 1 << 14
+#: Moves between states that are remembered.
+MOVES_KEPT = 1 << 17
+#: A state's name, and the tokens that end there with their lengths, longest first: within a word, and at its end.
+State = tuple[str, tuple[tuple[str, int], ...], tuple[tuple[str, int], ...]]
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -49,9 +53,10 @@ class Merges:
             self.made[a + b] = k, a, b
         self.vocab = vocab
         self.lookahead = max([1, *(len(self._symbols(t)) for t in self.made)])
-        # What a token can end in: a search for the token at a place goes back only while there is such a token.
-        ends = ((self._symbols(t), end if self._symbols(t) != t else "") for t in self.made)
-        self.endings = {body[k:] + close for body, close in ends for k in range(len(body))}
+        # The transducer's states: what some token starts with.  A state's moves and the tokens that end there are made as they are met.
+        self.starts = {body[:k] for body in map(self._symbols, (*self.made, *self.vocab)) for k in range(1, len(body) + 1)}
+        self.states: dict[str, State] = {}
+        self.moves: dict[str, State] = {}
         self.right = lru_cache(1 << 17)(lambda t: self._spine(t, 2))
         self.left = lru_cache(1 << 17)(lambda t: self._spine(t, 1))
         self.token = lru_cache(1 << 18)(self._token)
@@ -91,39 +96,51 @@ class Merges:
         rights, lefts = self._spine(a, 2, k), self._spine(b, 1, k)
         return not (self._crossed(rights[:1], lefts[1:]) or self._crossed(rights[1:], lefts))
 
+    def _enter(self, read: str) -> State:
+        """The state after ``read``, a state and one more symbol: its longest ending that some token starts with."""
+        at = next((k for k in range(len(read)) if read[k:] in self.starts), len(read) - 1)
+        name = read[at:]
+        state = self.states.get(name)
+        if state is None:
+            tokens = lambda close: tuple((t, len(name) - k) for k in range(len(name)) if self.token(t := name[k:] + close))
+            state = self.states[name] = (name, tokens(""), tokens(self.end))
+        if len(self.moves) >= MOVES_KEPT:
+            self.moves.clear()
+        self.moves[read] = state
+        return state
+
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each as soon as no further symbol can change it.  Holds a few times ``lookahead`` symbols."""
-        reach, end, token, apart, made, endings = self.lookahead, self.end, self.token, self.apart, self.made, self.endings
-        text, last, back = "", [""], [0]  # of each prefix: its last token and that token's length; both from the last stable place on
-
-        def step(n: int, close: str) -> None:
-            most = 1
-            while most < n and text[n - most - 1 : n] + close in endings:
-                most += 1
-            for k in range(most, 0, -1):
-                t = text[n - k : n] + close
-                if (k == 1 or t in made) and token(t) and (n == k and not last[0] or apart(last[n - k], t)):
-                    last.append(t)
-                    back.append(k)
-                    return
-            raise ValueError("a symbol is not in the vocabulary")
-
-        n, held = 0, None
+        apart, moves, enter, most = self.apart, self.moves, self._enter, 4 * self.lookahead
+        last, back, n = [""], [0], 0  # of each prefix: its last token and that token's length; both from the last stable place on
+        state: State | None = None
+        name = ""
         for s in symbols:
-            if held is not None:
-                text += held
-                n += 1
-                step(n, "")
-                if n >= 4 * reach:
+            if state is not None:
+                for t, k in state[1]:
+                    if apart(last[n - k], t):
+                        break
+                else:
+                    raise ValueError("a symbol is not in the vocabulary")
+                last.append(t)
+                back.append(k)
+                if n >= most:
                     stable = self._stable(back, n)
                     yield from self._path(last, back, stable)
-                    text, n = text[stable:], n - stable
+                    n -= stable
                     last, back = last[stable:], [0, *back[stable + 1 :]]
-            held = s
-        if held is not None:
-            text += held
-            step(n + 1, end)
-            yield from self._path(last, back, n + 1)
+            state = moves.get(name + s) or enter(name + s)
+            name = state[0]
+            n += 1
+        if state is not None:
+            for t, k in state[2]:
+                if apart(last[n - k], t):
+                    break
+            else:
+                raise ValueError("a symbol is not in the vocabulary")
+            last.append(t)
+            back.append(k)
+            yield from self._path(last, back, n)
 
     def _stable(self, back: list[int], n: int) -> int:
         """The last boundary that all prefixes which a later token can follow have in common."""
@@ -164,6 +181,7 @@ class Codec:
         self.strings = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
         from_letter = {c: b for b, c in byte_letters().items()}
         self.raw = [self._bytes(strings.get(i, ""), from_letter) for i in range(len(self.strings))]
+        self.decimals = [b"%d" % i for i in range(len(self.strings))]
         self.code = "H" if len(self.strings) <= 1 << 16 else "I"
         self.known: dict[bytes, bytes] = {}
         self.piece_ids: dict[str, bytes] = {}
@@ -255,7 +273,7 @@ class Codec:
         """
         state, table = codecs.getincrementaldecoder("utf-8")("replace"), self.raw if spelled else self.strings
         between, first, ids = b"" if spelled else b" ", True, iter(ids)
-        while part := [table[i] for i in islice(ids, chunk)]:
+        while part := list(map(table.__getitem__, islice(ids, chunk))):
             yield state.decode((b"" if first else between) + between.join(part))
             first = False
         yield state.decode(b"", True)
@@ -283,14 +301,14 @@ def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
         for doc, text in rows_of(batches, "id", "text"):
             seen, ids_sha, text_sha = [0], hashlib.sha256(), hashlib.sha256()
 
-            def ids(text: str | None = text, seen: list[int] = seen, sha=ids_sha) -> Iterator[int]:
+            def stretches(text: str | None = text, seen: list[int] = seen, sha=ids_sha) -> Iterator[list[int]]:
                 for part in map(np.ndarray.tolist, c.stream(text)):
                     if part:
-                        sha.update((" " * bool(seen[0]) + " ".join(map(str, part))).encode())
+                        sha.update(b" " * bool(seen[0]) + b" ".join(map(c.decimals.__getitem__, part)))
                         seen[0] += len(part)
-                        yield from part
+                        yield part
 
-            for part in c.decode(ids()):
+            for part in c.decode(chain.from_iterable(stretches())):
                 text_sha.update(part.encode())
             yield doc, seen[0], ids_sha.hexdigest(), text_sha.hexdigest()
 

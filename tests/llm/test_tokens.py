@@ -214,3 +214,15 @@ def test_each_piece_goes_where_the_squares_stay_smallest():
         if g > s:
             counts[g - s] += 1
     assert [gap[b] for b in range(len(left))] == left.tolist()
+
+
+def test_states_hold_the_tokens_that_end_there():
+    """A symbol costs one move and the tokens that can end there, not a search through all endings; reading a word again makes no move."""
+    m = bpe.codec(PATH).merges
+    word = "unbelievablyinternationalisation" * 9
+    first = list(m.stream(word))
+    moves = len(m.moves)
+    assert list(m.stream(word)) == first and len(m.moves) == moves and "".join(first) == word + m.end
+    for name, inside, closing in m.states.values():
+        for found, close in ((inside, ""), (closing, m.end)):
+            assert [t for t, _ in found] == [name[k:] + close for k in range(len(name)) if m.token(name[k:] + close)]
