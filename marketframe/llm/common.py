@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,19 @@ def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return met.where("shiftright(_bits, cast(_spot % 64 as int)) & 1 = 1").drop("_spot", "_slot", "_bits")
 
 
+_holder: tuple[object, Callable[[], None]] | None = None
+
+
+def remembers(owner: object, forget: Callable[[], None]) -> None:
+    """``owner`` remembers words from here on; what another one remembered in this Python worker, for an earlier stage, is forgotten.  A
+    worker outlives its stage, and its memory counts while the next one runs."""
+    global _holder
+    if _holder is None or _holder[0] is not owner:
+        if _holder is not None:
+            _holder[1]()
+        _holder = owner, forget
+
+
 class WordHashes:
     """64-bit xxHash of words, remembered for the words a worker has met."""
 
@@ -67,6 +80,7 @@ class WordHashes:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        remembers(self, self.known.clear)
         if len(self.known) > HASHES_KEPT:
             self.known.clear()
         known, digest = self.known, xxhash.xxh64_intdigest

@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 
-from marketframe.llm.common import WORDS_KEPT, words_of
+from marketframe.llm.common import WORDS_KEPT, remembers, words_of
 
 
 #: A run of these after a letter is a piece of its own, whatever letter it is.
@@ -96,11 +96,15 @@ class WordTokenizer:
             ends = cores[tail] = self._whole(tail)
         return ids + ends
 
+    def _forget(self) -> None:
+        self.words.clear()
+        self.cores.clear()
+
     def packed(self, text: str | None) -> bytes:
         """Ids as integers of ``width``."""
+        remembers(self, self._forget)
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-            self.cores.clear()
+            self._forget()
         return b"".join(map(self.words.__getitem__, words_of(text)))
 
     def ids(self, text: str | None) -> np.ndarray:

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from marketframe.llm import bitplanes, bpe, packing
+from marketframe.llm.common import word_hashes
 from marketframe.llm.tokens import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -226,3 +227,14 @@ def test_states_hold_the_tokens_that_end_there():
     for name, inside, closing in m.states.values():
         for found, close in ((inside, ""), (closing, m.end)):
             assert [t for t, _ in found] == [name[k:] + close for k in range(len(name)) if m.token(name[k:] + close)]
+
+
+def test_a_worker_remembers_for_one_stage_at_a_time():
+    """Pipeline stages share Python workers: what the tokenizer remembers goes when the next stage hashes words, and the other way round."""
+    t = WordTokenizer(PATH)
+    want = t.ids("one two, three").tolist()
+    assert t.words and t.cores
+    hashes = word_hashes([b"one", b"two"])
+    assert not t.words and not t.cores
+    assert t.ids("one two, three").tolist() == want and t.words
+    assert word_hashes([b"one", b"two"]).tolist() == hashes.tolist() and not t.words
