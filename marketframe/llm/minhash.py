@@ -17,7 +17,9 @@ from marketframe.llm.components import components, forest
 
 #: Shingles of a block of sets; two blocks meet in one task.
 TILE_SHINGLES = 1 << 16
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+#: Members of a list that one key of a join compares with each other; a longer list is dealt out.
+COMPARED = 1 << 26
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("lows", pa.list_(pa.int64())), ("more", pa.list_(pa.int32()))])
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -41,16 +43,16 @@ def row_key(doc: Column | str, text: Column | str) -> Column:
 
 
 def sketches(docs: DataFrame, words: int, size: int, keys: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, n_shingles, key (128-bit hash of the set; null if empty), lows (the ``keys`` smallest hashes), sketch (the first 31 bits of
-    the ``size`` smallest hashes, enough for an estimate), both ascending."""
+    """doc_id, row, n_shingles, key (128-bit hash of the set; null if empty), lows (the ``keys`` smallest hashes), more (the first 31 bits of the
+    next ones, ``size`` in all, enough for an estimate), both ascending."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for doc, row, text in rows_of(batches, "id", "row", "text"):
             s = shingles(text, words)
-            yield doc, row, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:keys].view(np.int64), (s[:size] >> np.uint64(32)).astype(np.int32)
+            yield doc, row, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s[:keys].view(np.int64), (s[keys:size] >> np.uint64(32)).astype(np.int32)
 
     rows = id_text(docs, id_col, text_col).withColumn("row", row_key("id", "text"))
-    return rows.mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, row long, n_shingles long, key binary, lows array<long>, sketch array<int>")
+    return rows.mapInArrow(lambda b: in_batches(make(b), _SKETCHES), "doc_id long, row long, n_shingles long, key binary, lows array<long>, more array<int>")
 
 
 def _ceil_share(n: Column, percent: int) -> Column:
@@ -62,7 +64,7 @@ def _in_order(a: Column, b: Column) -> list[Column]:
 
 
 class _Search:
-    """The steps of near_duplicates over rows (``docs``: id, a row_key, and text) with distinct shingle sets (``reps``: rep, n, lows, sketch)."""
+    """The steps of near_duplicates over rows (``docs``: id, a row_key, and text) with distinct shingle sets (``reps``: rep, n, lows, more)."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, size: int, keys: int, small: int) -> None:
         self.docs, self.reps, self.words, self.percent, self.size, self.keys, self.small = docs, reps, words, percent, size, keys, small
@@ -70,36 +72,60 @@ class _Search:
     def close_sizes(self, m: Column, n: Column) -> Column:
         return F.least(m, n) * 100 >= F.greatest(m, n) * self.percent
 
+    def needed(self, n: Column) -> Column:
+        """Retained values that a document of ``n`` shingles ``surely`` shares with each that it is linked with."""
+        return F.least(F.lit(surely(self.keys, self.percent, 1e-5)), _ceil_share(n, self.percent))
+
     def postings(self) -> DataFrame:
-        """Inverted lists of retained values: rep, n, central, value.
+        """Documents with the retained values that have inverted lists: rep, n, central, low, high, extra, values.
 
-        A linked pair shares ``surely`` c or more of its retained values, so it shares one among the rarest k - c + 1 of each side; the
-        others (the corpus's most frequent ones) need no list.  central: how frequent a document's values are together.
+        A linked pair shares ``needed`` c or more of its retained values, so it shares one among the rarest k - c + 1 of each side; the
+        others (the corpus's most frequent ones) need no list.  Values that one document holds are shared with none: they only count
+        towards k.  central: how frequent a document's values are together.  low, high: 128 bits, one set for each value held by
+        another document too; extra: how many of those values found their bit set.
         """
-        least = surely(self.keys, self.percent, 1e-5)
         held = self.reps.select("rep", "n", F.explode("lows").alias("value"))
         often = written(held.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "often")  # a plain table, so Spark can split the join
         # Values in one of 10,000 postings or more: at most 10,000 of them, so they are broadcast; no other value fills a task of the join.
         hot = often.where(F.col("f") * 10_000 >= held.count()).select(F.col("value").alias("hot"), F.col("f").alias("hot_f"))
         marked = held.join(F.broadcast(hot), F.col("value") == F.col("hot"), "left").drop("hot")
-        counted = marked.where("hot_f is null").drop("hot_f").join(often, "value", "left").select("rep", "n", "value", "f")
+        counted = marked.where("hot_f is null").drop("hot_f").join(often, "value").select("rep", "n", "value", "f")
         counted = counted.unionByName(marked.where("hot_f is not null").select("rep", "n", "value", F.col("hot_f").alias("f")))
-        ranked = counted.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "value"))).alias("v"))
-        room = F.size("v") - F.least(F.lit(least), _ceil_share(F.col("n"), self.percent)) + 1
-        rare = ranked.select("rep", "n", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["f"]).alias("central"), F.explode(F.slice("v", F.lit(1), room.cast("int"))).alias("x"))
-        return rare.where("x.f > 1").select("rep", "n", "central", F.col("x.value").alias("value"))
-
-    def stars(self, lists: DataFrame) -> DataFrame:
-        """Each member of a list with its most central member: one pair for each posting, however long the list."""
+        ranked = counted.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v"))
+        ranked = ranked.withColumn("room", (F.size("v") - self.needed(F.col("n")) + 1).cast("int")).where("room > 0")
+        central = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["f"]) + F.least("n", F.lit(self.keys)) - F.size("v")
+        bits = [F.expr(f"aggregate(v, 0L, (s, x) -> s | if((x.value & 64) = {k}, shiftleft(1L, cast(x.value & 63 as int)), 0L))") for k in (0, 64)]
+        signed = ranked.select("rep", "n", central.alias("central"), bits[0].alias("low"), bits[1].alias("high"), F.size("v").alias("k"), F.transform(F.slice("v", F.lit(1), F.col("room")), lambda x: x["value"]).alias("values"))
+        return signed.withColumn("extra", F.col("k") - F.bit_count("low") - F.bit_count("high")).drop("k")
+
+    def may_share(self, x: str, y: str) -> Column:
+        """Whether two documents may share as many retained values as a linked pair does: never more than the bits they have in common and
+        the values of either that have no bit of their own."""
+        both = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.col(f"{y}.{c}")))
+        return both("low") + both("high") + F.least(f"{x}.extra", f"{y}.extra") >= self.needed(F.greatest(f"{x}.n", f"{y}.n"))
+
+    def alike(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Pairs that may share enough, by a few bytes a document, before sketches are joined."""
+        side = lambda c: held.select(F.col("rep").alias(c), F.struct("n", "low", "high", "extra").alias(f"of_{c}"))
+        return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(self.may_share("of_a", "of_b")).select("a", "b")
+
+    def starred(self, lists: DataFrame) -> DataFrame:
+        """Each member of a list with its most central member: one pair for each posting, however long the list.  value, rep, n, central, m
+        (the list's members), center (null if there is none to compare with); of short lists only rows with a center."""
         centers = written(lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), F.col("n").alias("center_n"))).alias("c"), F.count("*").alias("m")).where("m > 1"), "centers")
-        both = lists.join(centers, "value").where(F.col("rep") != -F.col("c.minus"))
-        return both.where(self.close_sizes(F.col("n"), F.col("c.center_n"))).select(*_in_order(F.col("rep"), -F.col("c.minus")))
+        meets = (F.col("rep") != -F.col("c.minus")) & self.close_sizes(F.col("n"), F.col("c.center_n"))
+        both = lists.join(centers, "value").select("value", "rep", "n", "central", "m", F.when(meets, -F.col("c.minus")).alias("center"))
+        return written(both.where((F.col("m") > self.small) | F.col("center").isNotNull()), "starred")
+
+    def stars(self, starred: DataFrame) -> DataFrame:
+        return starred.where("center is not null").select(*_in_order(F.col("rep"), F.col("center")))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch, the smallest values of both, has as many shared values as a linked pair surely has."""
         need = surely(self.size, self.percent, 1e-6)
         ids = written(pairs.distinct(), "pairs")
-        side = lambda c: maybe_among(self.reps, "rep", ids.select(c)).select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+        sketch = F.slice(F.concat(F.transform("lows", lambda x: F.shiftright(x, 32).cast("int")), "more"), 1, self.size)
+        side = lambda c: maybe_among(self.reps, "rep", ids.select(c)).select(F.col("rep").alias(c), sketch.alias(f"s{c}"))
         both = ids.join(side("a"), "a").join(side("b"), "b")
         both = both.select("a", "b", F.array_intersect("sa", "sb").alias("shared"), F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.size).alias("u"))
         hits = F.size(F.filter("shared", lambda x: x <= F.element_at("u", -1)))
@@ -151,13 +177,30 @@ class _Search:
         differ &= self.close_sizes(F.col("x.n"), F.col("y.n"))
         return x.join(y, (F.col("x.value") == F.col("y.value")) & differ & more).select(*_in_order(F.col("x.rep"), F.col("y.rep")))
 
+    def fitting(self, lists: DataFrame, opened: DataFrame, fits: Column) -> DataFrame:
+        """Members of open lists that have a partner in another component whose size and place ``fits`` theirs: a row a member, not a
+        pair.  A linked pair fits in the list of the first value that it shares."""
+        parts = F.ceil(F.col("outside") * F.col("m") / COMPARED).cast("int").alias("parts")
+        open_ = lists.join(opened.select("value", "main", parts), "value")
+
+        def having(some: DataFrame, others: DataFrame) -> DataFrame:
+            x = some.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("x")
+            y = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+            meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
+            return x.join(y, meet & self.close_sizes(F.col("x.n"), F.col("y.n")) & fits, "left_semi").drop("part")
+
+        outside = written(having(open_.where("component <> main"), open_), "outside")
+        inside = having(open_.where("component = main"), outside)
+        return written(outside.unionByName(inside).select(*lists.columns), "fitting")
+
     def tiled(self, lists: DataFrame, opened: DataFrame, sets: DataFrame) -> DataFrame:
         """Links across components in lists that would give too many pairs: their members' sets meet in tiles of two blocks, of about
         ``TILE_SHINGLES`` shingles each.  A task counts shared shingles of all its pairs in memory and returns a spanning forest of
         the links; no pair is written, and none is left out."""
         dealt = lists.join(opened.select("value", F.ceil(F.col("total") / TILE_SHINGLES).cast("int").alias("blocks")), "value")
         dealt = dealt.select("value", "rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.join(sets.select(F.col("id").alias("rep"), "set").dropDuplicates(["rep"]), "rep").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        own = maybe_among(sets, "id", lists.join(opened, "value", "left_semi").select("rep"))
+        dealt = dealt.join(own.select(F.col("id").alias("rep"), "set").dropDuplicates(["rep"]), "rep").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         percent = self.percent
 
         def tile(group: pd.DataFrame) -> pd.DataFrame:
@@ -195,18 +238,19 @@ class _Search:
 
     def run(self) -> DataFrame:
         """Component of every document that has a link: node, component."""
-        lists = written(self.postings(), "postings")
-        long_ = lists.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > self.small).select("value")
-        hot = written(lists.join(long_, "value", "left_semi"), "long-lists")
+        held = written(self.postings(), "postings")
+        starred = self.starred(held.select("rep", "n", "central", F.explode("values").alias("value")))
+        hot = starred.where(F.col("m") > self.small).select("value", "rep", "n", "central")
+        long_ = written(hot.select("value").distinct(), "long")
         # Any list: a star.  The estimate thins it out before texts are read.
-        star = written(self.likely(self.stars(lists)), "likely")
+        star = written(self.likely(self.alike(self.stars(starred), held)), "likely")
         sets = written(self.sets(star.select("a").union(star.select("b")).union(hot.select("rep"))), "sets")
         links = self.verified(star, sets)
         groups = components(links)
         # What the stars left open: pairs of short lists in different components; and long lists, by exact prefixes.
-        short = self.grouped(lists.join(long_, "value", "left_anti"), groups)
+        short = self.grouped(held, groups).withColumn("value", F.explode("values")).drop("values", "central").join(long_, "value", "left_anti")
         x, y = short.alias("x"), short.alias("y")
-        inside = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.close_sizes(F.col("x.n"), F.col("y.n")))
+        inside = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & self.close_sizes(F.col("x.n"), F.col("y.n")) & self.may_share("x", "y"))
         rest = self.likely(inside.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
         open_ = self.grouped(hot, groups)
         mixed = open_.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
@@ -214,7 +258,7 @@ class _Search:
         exact = None
         if not is_empty(members):
             exact = written(self.full_prefixes(members, sets), "prefixes")
-            rest = rest.union(self.likely(self.stars(exact)))
+            rest = rest.union(self.likely(self.stars(self.starred(exact))))
         rest = written(rest.distinct(), "likely")
         links = links.union(self.verified(rest, written(self.sets(rest.select("a").union(rest.select("b"))), "sets")))
         groups = components(links)
@@ -224,9 +268,15 @@ class _Search:
             open_ = written(self.grouped(exact, groups), "grouped")
             found = written(self.opened(open_), "opened")
             many = F.col("outside") * F.col("m") > self.small**2
-            last = self.verified(written(self.likely(self.across(open_, found.where(~many), fits)), "pairs"), sets)
+            met = self.across(open_, found.where(~many), fits)
+            thinned = opened = None
             if not is_empty(found.where(many)):
-                last = last.union(self.tiled(open_, found.where(many), sets))
+                thinned = self.fitting(open_, found.where(many), fits)
+                opened = written(self.opened(thinned), "opened")
+                met = met.union(self.across(thinned, opened.where(~many), fits))
+            last = self.verified(written(self.likely(met), "pairs"), sets)
+            if opened is not None and not is_empty(opened.where(many)):
+                last = last.union(self.tiled(thinned, opened.where(many), sets))
             if not is_empty(last):
                 groups = components(links.union(last))
         return groups
@@ -298,10 +348,10 @@ def _judged(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 64,
     """The rows of near_duplicates with their row_key."""
     found = written(sketches(docs, words, size, keys, id_col=id_col, text_col=text_col).withColumn("place", F.monotonically_increasing_id()), "sketches")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")).alias("head")
-    reps = found.where("key is not null").groupBy("key").agg(head, F.first("n_shingles").alias("n"), F.first("lows").alias("lows"), F.first("sketch").alias("sketch"))
+    reps = found.where("key is not null").groupBy("key").agg(head, F.first("n_shingles").alias("n"), F.first("lows").alias("lows"), F.first("more").alias("more"))
     reps = written(reps.withColumn("rep", F.col("head.row")), "representatives")
     texts = id_text(docs, id_col, text_col).select(row_key("id", "text").alias("id"), "text")
-    groups = _Search(texts, reps.select("rep", "n", "lows", "sketch"), words, percent, size, keys, small).run()
+    groups = _Search(texts, reps.select("rep", "n", "lows", "more"), words, percent, size, keys, small).run()
     heads = groups.join(reps.select("rep", "head"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("head").alias("first"))
     firsts = groups.join(heads, "component").select("node", "first")
     named = reps.join(firsts, reps.rep == firsts.node, "left").select("key", F.coalesce("first", "head").alias("head"))

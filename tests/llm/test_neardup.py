@@ -246,3 +246,57 @@ def test_a_large_group_just_under_the_threshold(spark, monkeypatch, members, til
         assert out == brute(rows, 2, 80)[1]
     assert max(df.count() for name, df in seen if name in ("pairs", "likely")) < 100 * members
     assert any(name == "tiled" for name, _ in seen)
+
+
+def of_parts(seed, documents, parts, options):
+    """Documents of some passages, each one of many for its place: two that share one passage are far from alike."""
+    rng = np.random.default_rng(seed)
+    chosen = rng.integers(0, options, (documents, parts))
+    return [(i, " ".join(f"p{place}x{c}x{k}" for place, c in enumerate(row) for k in range(20))) for i, row in enumerate(chosen)]
+
+
+def test_documents_that_share_a_passage_are_no_pairs(spark, monkeypatch):
+    """Each document meets some forty others in short lists, by a sixth of its words; sketches are joined for few of those pairs, and
+    near copies are found among them."""
+    rows = of_parts(8, 400, 6, 50)
+    rows += [(400 + i, rows[i][1].replace("x7 ", "y7 ")) for i in range(20)]
+    seen, written = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert out == brute(rows, 2, 80)[1] and out[400] == 0
+    assert sum(df.count() for name, df in seen if name == "pairs") < 5 * len(rows)
+
+
+def test_signatures_keep_every_pair_that_shares_enough(spark):
+    """What may_share leaves out shares fewer retained values than a linked pair surely does, also where values meet in a bit."""
+    rng = np.random.default_rng(9)
+    words = rng.permutation(60)
+    rows = [(i, " ".join(f"w{k}" for k in rng.choice(words, 45))) for i in range(120)]
+    found = minhash.sketches(spark.createDataFrame(rows, "doc_id long, text string"), 1, 64, 24)
+    reps = found.select(minhash.F.col("doc_id").alias("rep"), minhash.F.col("n_shingles").alias("n"), "lows", "more")
+    search = minhash._Search(None, reps, 1, 80, 64, 24, 32)
+    held = search.postings()
+    pairs = spark.range(120).crossJoin(spark.range(120).toDF("b")).toDF("a", "b").where("a < b")
+    kept = {(r.a, r.b) for r in search.alike(pairs, held).collect()}
+    lows = {r.rep: set(r.lows) for r in reps.collect()}
+    least = minhash.surely(24, 80, 1e-5)
+    enough = {(a, b) for a in lows for b in lows if a < b and len(lows[a] & lows[b]) >= least}
+    assert 100 < len(enough) < 7000 and enough <= kept and all(len(r["values"]) <= 15 for r in held.collect())
+
+
+def test_only_members_that_fit_by_place_meet_in_tiles(spark, monkeypatch):
+    """Of a long list, those stay that have a partner by size and place in another component, however the list is dealt."""
+    rng = np.random.default_rng(10)
+    rows = [(v * 1000 + i, int(n), 1, v, int(rng.integers(0, n // 4)), 0 if i < 60 else int(rng.integers(0, 5))) for v in range(3) for i, n in enumerate(rng.integers(80, 120, 100))]
+    lists = spark.createDataFrame(rows, "rep long, n long, central long, value long, place int, component long")
+    opened = spark.createDataFrame([(v, 0, 100, 9000, 40) for v in range(3)], "value long, main long, m long, total long, outside long")
+    F = minhash.F
+    fits = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1) >= F.ceil((F.col("x.n") + F.col("y.n")) * 80 / F.lit(180))
+    good = lambda x, y: x[3] == y[3] and x[5] != y[5] and min(x[1], y[1]) * 100 >= max(x[1], y[1]) * 80 and min(x[1] - x[4], y[1] - y[4]) >= -(-(x[1] + y[1]) * 80 // 180)
+    expected = sorted(x[0] for x in rows if any(good(x, y) for y in rows))
+    search = minhash._Search(None, None, 2, 80, 64, 24, 32)
+    for compared in (1 << 26, 100):
+        monkeypatch.setattr(minhash, "COMPARED", compared)
+        out = search.fitting(lists, opened, fits)
+        assert out.columns == lists.columns and sorted(r.rep for r in out.collect()) == expected
+    assert 0 < len(expected) < len(rows)
