@@ -328,13 +328,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, size:
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of ``words``-word shingles.  Equal sets (copies)
     are one representative from the start.  Each representative keeps its ``size`` smallest hashes; inverted lists of the ``keys``
-    smallest generate overlaps; the union sketch's estimate filters; links are confirmed on full sets.  A linked pair at exactly
+    smallest generate overlaps; signatures and the union sketch's estimate filter; links are confirmed on full sets.  A linked pair at exactly
     ``percent`` is missed by the sketches with a chance of about 1 in 10**5, a closer one with less.
 
     Large groups: a list of more than ``small`` members is not expanded into pairs.  Its members are compared with its most central
     one; whatever that leaves unlinked goes on to exact prefix lists of full sets, where only pairs of different components meet; if
-    a list has too many of those (many members just under the threshold), they meet in tiles that return links only.  No pair is
-    dropped for a list's length.
+    a list has too many of those (many members just under the threshold), those that fit by size and place meet in tiles that return
+    links only.  No pair is dropped for a list's length.
 
     Null, empty and all-space texts have no shingles and no links: component_id is their own id, and they are kept.  One row of every
     group is kept: of those with the smallest id one text, and of identical rows one.  Ids need not be there or unique, as the search
