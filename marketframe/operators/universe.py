@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.scalars import is_stock_code
 from marketframe.operators.relational import numbered
+from marketframe.specs import STOCK_CODE
 
 #: Listing day of a stock that has none.
 DEFAULT_IPO = "1990-01-01"
@@ -23,12 +24,12 @@ def loaded(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("date").alias(c) for c in FIELDS))
 
 
-def new_members(universe: DataFrame, members: DataFrame, position: str | None = None) -> DataFrame:
+def new_members(universe: DataFrame, members: DataFrame, position: str | None = None, code_form: str = STOCK_CODE) -> DataFrame:
     """Members whose code is not there yet, each once, numbered on from the largest index in order of position (else code).
 
-    Indexes are never reused.  Codes that are no stock codes are left out.  Members are numbered range by range.
+    Indexes are never reused.  Codes that do not match ``code_form`` are left out.  Members are numbered range by range.
     """
-    fresh = members.where(is_stock_code(F.col("stock_code"))).join(universe.select("stock_code").distinct(), "stock_code", "left_anti")
+    fresh = members.where(is_stock_code(F.col("stock_code"), code_form)).join(universe.select("stock_code").distinct(), "stock_code", "left_anti")
     at = F.col(position) if position else F.col("stock_code")
     rest = [F.min_by(c, at).alias(c) if c in members.columns else F.lit(None).cast(t).alias(c) for c, t in (("stock_name", "string"), ("ipo_date", "date"))]
     fresh = fresh.groupBy("stock_code").agg(F.min(at).alias("_at"), *rest)
@@ -36,9 +37,9 @@ def new_members(universe: DataFrame, members: DataFrame, position: str | None =
     return numbered(fresh, ["_at", "stock_code"], "stock_index", base).select(FIELDS)
 
 
-def grown(universe: DataFrame, members: DataFrame, position: str | None = None) -> DataFrame:
+def grown(universe: DataFrame, members: DataFrame, position: str | None = None, code_form: str = STOCK_CODE) -> DataFrame:
     """The universe with its new members; known ones keep their index."""
-    return universe.select(FIELDS).unionByName(new_members(universe, members, position))
+    return universe.select(FIELDS).unionByName(new_members(universe, members, position, code_form))
 
 
 def is_active(asof: Column) -> Column:

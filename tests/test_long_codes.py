@@ -26,7 +26,7 @@ def long(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["table_expired", "load_universe_file", "table_read_from", "bad_rows_first", "norm_kline_b"])
+@pytest.mark.parametrize("name", ["table_expired", "load_universe_file", "table_read_from", "bad_rows_first", "norm_kline_b", "universe_assign"])
 def test_keys_above_999_999(spark, long, name):
     folder, con = long
     df = QUERIES[name](spark, folder)
