@@ -13,7 +13,7 @@ from marketframe.operators.dataquality import must_rebuild
 from marketframe.operators.normalize import basic_data
 from marketframe.operators.relational import first_source
 from marketframe.sources.snapshots import DEFAULT_START, Manifest, Table, drifted
-from marketframe.specs import spec_of
+from marketframe.specs import DatasetSpec, spec_of
 
 #: Sources in order of priority.
 PRIORITY = {"Stock_KData": ["sina", "em", "tx", "bs"], "Stock_Basic_Data": ["bs", "akshare"], "Financial_Indicator": ["em", "nonem"], "Trade_Date": ["exchange", "bs"]}
@@ -48,7 +48,7 @@ def ranked(landed: DataFrame, name: str, source: str | None = None) -> DataFrame
     return first_source(known.where("source_rank is not null"), spec_of(name).code_col or "trade_date").drop("source", "source_rank")
 
 
-def refresh(spark: SparkSession, root: str, name: str, landed: DataFrame, today: date, *, full: bool = False, source: str | None = None, default: date = DEFAULT_START) -> Summary:
+def refresh(spark: SparkSession, root: str, name: DatasetSpec | str, landed: DataFrame, today: date, *, full: bool = False, source: str | None = None, default: date = DEFAULT_START) -> Summary:
     """Load what is missing of one dataset.
 
     full, or never loaded: everything up to today.  Dividends: everything, if 30 days have passed since the last load.  Basic data: all
@@ -85,30 +85,30 @@ def refresh(spark: SparkSession, root: str, name: str, landed: DataFrame, today:
     return Summary(spec.name, "full" if fresh else "updated", start, end, n)
 
 
-def load_bars(spark: SparkSession, root: str, landed: DataFrame, today: date, *, full: bool = False, source: str | None = None) -> Summary:
+def load_bars(spark: SparkSession, root: str, landed: DataFrame, today: date, *, full: bool = False, source: str | None = None, spec: DatasetSpec | str = "Stock_KData") -> Summary:
     """Bars of the universe's codes; ValueError if the universe is empty."""
     members = Table(spark, root, "Universe")._all().select("stock_code").distinct()
     if members.isEmpty():
         raise ValueError("the universe is empty; load it first")
-    return refresh(spark, root, "Stock_KData", landed.join(members, "stock_code", "left_semi"), today, full=full, source=source)
+    return refresh(spark, root, spec, landed.join(members, "stock_code", "left_semi"), today, full=full, source=source)
 
 
-def load_universe(spark: SparkSession, root: str, members: DataFrame, position: str | None = None) -> dict[str, int]:
+def load_universe(spark: SparkSession, root: str, members: DataFrame, position: str | None = None, spec: DatasetSpec | str = "Universe") -> dict[str, int]:
     """Append new members of an index; known ones keep their numbers.  {total, added}; its fingerprint goes into the manifest."""
-    table = Table(spark, root, "Universe")
+    table = Table(spark, root, spec)
     old = table._all()
-    new = pool.new_members(old, members, position)
+    new = pool.new_members(old, members, position, table.spec.code_form)
     added = table.upsert(new, conflict="ignore") if not new.isEmpty() else 0
     both = table._all()
     Manifest(spark, root).update(table, pool.fingerprint(both).first()[0])
     return {"total": both.count(), "added": added}
 
 
-def update(spark: SparkSession, root: str, name: str, landed: DataFrame, today: date, **options) -> Summary | dict[str, int]:
-    """Update by dataset name; ValueError for an unknown one."""
+def update(spark: SparkSession, root: str, name: DatasetSpec | str, landed: DataFrame, today: date, **options) -> Summary | dict[str, int]:
+    """Update by dataset name or declaration; ValueError for an unknown one."""
     spec = spec_of(name)
     if spec.name == "Universe":
-        return load_universe(spark, root, landed)
+        return load_universe(spark, root, landed, spec=spec)
     if spec.name == "Stock_KData":
-        return load_bars(spark, root, landed, today, **options)
-    return refresh(spark, root, spec.name, landed, today, **options)
+        return load_bars(spark, root, landed, today, spec=spec, **options)
+    return refresh(spark, root, spec, landed, today, **options)

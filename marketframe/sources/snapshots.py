@@ -111,7 +111,7 @@ class Table:
     """A dataset under a root folder.  Daily and quarterly Parquet tables are kept by the year of their time column."""
 
     def __init__(self, spark: SparkSession, root: str, spec: DatasetSpec | str) -> None:
-        self.spark, self.spec = spark, spec_of(spec) if isinstance(spec, str) else spec
+        self.spark, self.spec = spark, spec_of(spec)
         self.root, self.path = root.rstrip("/"), f"{root.rstrip('/')}/{self.spec.name}"
         self.by_year = self.spec.format == "parquet" and self.spec.time_col is not None
         self._stored = T.StructType([*self.spec.schema.fields, T.StructField("_year", T.IntegerType())])
