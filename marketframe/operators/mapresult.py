@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import traceback
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: ``map_combine`` deals out a code that has more rows than this; another is one share.
+SHARE_ROWS = 10_000
+
 
 def map_with_result(df: DataFrame, fn: Callable, inputs: Sequence[str], returns: str, position: str) -> DataFrame:
     """position, success, value, error, traceback for every row: ``fn`` of the input columns, as separate arguments.
@@ -88,8 +92,10 @@ def _guarded(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], col
         try:
             for made in fn(parts):
                 none &= not len(made)
-                yield made[columns].assign(_code=key[0], _error=None)
+                yield pd.DataFrame({c: made[c] for c in columns} | {"_code": key[0], "_error": None})
             error = "no rows" if none else None
+        except _ShareError as e:
+            error = str(e)
         except Exception as e:  # a failing item is listed, not fatal
             error = f"{type(e).__name__}: {e}"
         if error:
@@ -110,9 +116,20 @@ def map_batches(df: DataFrame, code: str, fn: Callable[[Iterator[pd.DataFrame]],
 
 
 def _mapped(df: DataFrame, by: list[str], fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    code = by[0]
-    out = T.StructType([*schema.fields, T.StructField("_code", df.schema[code].dataType), T.StructField("_error", T.StringType())])
-    made = df.groupBy(*by).applyInPandas(_guarded(fn, schema.names), out)
+    return _split(_called(df, by, fn, schema), by[0], schema)
+
+
+def _called(df: DataFrame, by: list[str], fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> DataFrame:
+    """What ``fn`` makes of each group, with the group's first key as ``_code``; a failed group has a row with ``_error``.
+
+    Calls cost far more than bytes, so groups are dealt to a stated number of tasks: Spark merges no small ones then.
+    """
+    out = T.StructType([*schema.fields, T.StructField("_code", df.schema[by[0]].dataType), T.StructField("_error", T.StringType())])
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by).groupBy(*by).applyInPandas(_guarded(fn, schema.names), out)
+
+
+def _split(made: DataFrame, code: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     problems = made.where("_error is not null").select(F.col("_code").alias(code), F.col("_error").alias("error"))
     bad = problems.where("error <> 'no rows'").select(F.col(code).alias("_bad"))
     rows = made.where("_error is null").join(bad, F.col("_code").eqNullSafe(F.col("_bad")), "left_anti").select(*schema.names)
@@ -121,15 +138,55 @@ def _mapped(df: DataFrame, by: list[str], fn: Callable[[Iterator[pd.DataFrame]],
 
 def map_combine(df: DataFrame, code: str, part: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], partial: T.StructType, combine: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType, parts: int = 16) -> tuple[DataFrame, DataFrame]:
     """``map_batches`` for codes that may hold any share of the rows: ``part`` sees one of ``parts`` shares of a code (dealt by a hash of the
-    row), ``combine`` the rows of type ``partial`` that all its shares gave.  ``partial`` must have the code's column."""
-    dealt = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    some, problems = _mapped(dealt, [code, "_share"], part, partial)
-    rows, more = map_batches(some, code, combine, schema)
-    early = problems.where("error <> 'no rows'").groupBy(code).agg(F.min("error").alias("error"))
-    late = more.join(early.select(F.col(code).alias("_early")), F.col(code).eqNullSafe(F.col("_early")), "left_anti")
-    empty = df.select(code).distinct().join(some.select(F.col(code).alias("_some")).distinct(), F.col(code).eqNullSafe(F.col("_some")), "left_anti")
-    empty = empty.join(early.select(F.col(code).alias("_early")), F.col(code).eqNullSafe(F.col("_early")), "left_anti").select(code, F.lit("no rows").alias("error"))
-    return rows, early.unionByName(late).unionByName(empty)
+    row; a code of at most ``SHARE_ROWS`` rows is one share), ``combine`` the rows of type ``partial`` that all its shares gave.  ``partial``
+    must have the code's column.  What ``part`` raised goes with its rows to the task that combines them, so each function is called once a group
+    for the problems; ``combine`` may be called for a code of which a share failed, and its rows do not count then.
+    """
+    large = df.groupBy(F.col(code).alias("_large")).count().where(F.col("count") > SHARE_ROWS).drop("count").withColumn("_is_large", F.lit(True))
+    dealt = df.join(F.broadcast(large), df[code].eqNullSafe(large["_large"]), "left").withColumn("_share", F.when(F.col("_is_large"), F.pmod(F.xxhash64(*(df[c] for c in df.columns)), F.lit(parts))).otherwise(0))
+    some = _called(dealt.select(*df.columns, "_share"), [code, "_share"], part, partial)
+    some = some.withColumn("_code", F.when(F.col("_error").isNull(), F.col(code)).otherwise(F.col("_code")))
+    whole = [f for f in partial if isinstance(f.dataType, T.IntegralType | T.BooleanType)]  # a null beside them would make them floats in pandas
+    some = some.withColumns({f.name: F.when(F.col("_error").isNull(), F.col(f.name)).otherwise(F.lit(0).cast(f.dataType)) for f in whole})
+    rows, problems = _split(_called(some, ["_code"], _of_shares(combine, partial.names), schema), "_code", schema)
+    return rows, problems.withColumnRenamed("_code", code)
+
+
+class _ShareError(Exception):
+    """The error of a share, as text."""
+
+
+def _of_shares(combine: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: list[str]) -> Callable:
+    """``combine`` over the rows that shares gave; an error of a share, the least if there are several, stands before its own."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        errors: set[str] = set()
+
+        def given() -> Iterator[pd.DataFrame]:
+            for f in frames:
+                bad = f["_error"].notna()
+                if bad.any():
+                    errors.update(e for e in f.loc[bad, "_error"].unique() if e != "no rows")
+                    f = f[~bad].reset_index(drop=True)
+                if len(f):
+                    yield f.iloc[:, : len(columns)]
+
+        rest = given()
+        first = next(rest, None)
+        if first is not None:
+            try:
+                yield from combine(chain([first], rest))
+            except Exception:
+                for _ in rest:  # an error of a share may still come
+                    pass
+                if not errors:
+                    raise
+            for _ in rest:
+                pass
+        if errors:
+            raise _ShareError(min(errors))
+
+    return run
 
 
 def map_tables(df: DataFrame, code: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, DataFrame]:

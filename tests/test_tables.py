@@ -4,6 +4,7 @@ import re
 from datetime import date
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -360,3 +361,36 @@ def test_adjusted_and_doubled_panels(spark, tmp_path):
             rows.collect()
     none = N.adj_factor_panel([])
     assert none.count() == 0 and none.columns == ["trade_date", "stock_code", "adj_factor"]
+
+
+def test_shares_are_combined_in_one_pass(spark, monkeypatch):
+    """Each function is called once a group for the problems, few rows are one share, and calls keep their tasks; of a code's errors the least
+    counts, whole numbers stay whole beside them, and a share's error stands before that of combining."""
+    monkeypatch.setattr(M, "SHARE_ROWS", 50)
+    partial, kind = T.StructType.fromDDL("code string, n long, big long"), T.StructType.fromDDL("code string, n long, big long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def part(frames):
+        seen.add(1)
+        for f in frames:
+            c = f["code"].iloc[0]
+            if c == "bad" or c == "some" and (f["id"] == 207).any():
+                raise ValueError(c)
+            if c != "none":
+                yield pd.DataFrame({"code": [c], "n": [len(f)], "big": [2**53 + 1]})
+
+    def combine(frames):
+        seen.add(1)
+        got = [f for f in frames]
+        if got[0]["code"].iloc[0] in ("late", "some"):
+            raise KeyError("late")
+        yield got[0][["code", "big"]].head(1).assign(n=sum(int(f["n"].sum()) for f in got))
+
+    i = F.col("id")
+    code = F.when(i < 100, "hot").when(i < 200, "none").when(i < 300, "some").when(i < 310, "bad").when(i < 320, "late").when(i < 330, "few")
+    rows, problems = M.map_combine(spark.range(331).select(code.alias("code"), "id"), "code", part, partial, combine, kind, parts=4)
+    assert {(r.code, r.error) for r in problems.collect()} == {("none", "no rows"), ("some", "ValueError: some"), ("bad", "ValueError: bad"), ("late", "KeyError: 'late'")}
+    assert seen.value <= 3 * 4 + 4 + 5  # shares of hot, none and some; bad, late, few and null; hot, some, late, few and null
+    assert {(r.code, r.n, r.big) for r in rows.collect()} == {("hot", 100, 2**53 + 1), ("few", 10, 2**53 + 1), (None, 1, 2**53 + 1)}
+    plan = problems._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == plan.count("RepartitionByExpression") == 2
