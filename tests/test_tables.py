@@ -394,3 +394,23 @@ def test_shares_are_combined_in_one_pass(spark, monkeypatch):
     assert {(r.code, r.n, r.big) for r in rows.collect()} == {("hot", 100, 2**53 + 1), ("few", 10, 2**53 + 1), (None, 1, 2**53 + 1)}
     plan = problems._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsIn") == plan.count("RepartitionByExpression") == 2
+
+
+def test_legacy_files_come_in_slices(spark, tmp_path, monkeypatch):
+    """No read lists more than a slice of the files; a folder or file may be named after the whole code, where six digits don't say the exchange."""
+    monkeypatch.setattr(load, "SLICE_FILES", 2)
+    asked, plain = [], type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, path, *a, **b: (asked.append(path), plain(self, path, *a, **b))[1])
+    for k, name in enumerate(("000001", "100000.SZ", "code=000002", "300000", "code=540000.SZ")):
+        (tmp_path / "raw" / name).mkdir(parents=True)
+        (tmp_path / "adj").mkdir(exist_ok=True)
+        (tmp_path / "raw" / name / "part-000009.csv").write_text(f"date,open,high,low,close,amount,volume\n2024-01-02,1,2,1,{k},9,3\n")
+        (tmp_path / "adj" / f"{name.removeprefix('code=')}.csv").write_text(f"date,adj_factor\n2024-01-02,{k}.5\n")
+    root = str(tmp_path / "root")
+    done = load.migrate_legacy(spark, root, str(tmp_path / "raw/*/*.csv"), str(tmp_path / "adj/*.csv"))
+    assert set(done.values()) == {5} and all(len(p) <= 2 for p in asked if isinstance(p, list)) and sum(len(p) for p in asked if isinstance(p, list)) >= 10
+    codes = ["000001.SZ", "000002.SZ", "100000.SZ", "300000.SZ", "540000.SZ"]
+    assert [(r.stock_code, r.close) for r in Table(spark, root, "Stock_KData").read().orderBy("stock_code").collect()] == list(zip(codes, [0.0, 2.0, 1.0, 3.0, 4.0], strict=True))
+    assert [(r.stock_code, r.adj_factor) for r in load.load_stock_basic_data(spark, root, None, None).orderBy("stock_code").collect()] == list(zip(codes, [0.5, 2.5, 1.5, 3.5, 4.5], strict=True))
+    with pytest.raises(FileNotFoundError):
+        load.migrate_legacy(spark, root, str(tmp_path / "none/*.csv"), str(tmp_path / "adj/*.csv"))
